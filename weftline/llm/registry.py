@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import pieces, token_counts
+from weftline.llm import language, licenses, pieces, token_counts, url_filter
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -35,3 +35,21 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
         F.coalesce(F.element_at("ends", F.when(F.size("ends") > 0, -1)), F.lit(0)).alias("covered_bytes"),
     )
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~out))
+    return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
