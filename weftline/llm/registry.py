@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, licenses, pieces, token_counts, url_filter
+from weftline.llm import bench_leaks, language, licenses, passages, pieces, token_counts, url_filter
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -53,3 +53,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bench_leaks.regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
