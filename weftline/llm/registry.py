@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bench_leaks, language, licenses, passages, pieces, token_counts, url_filter
+from weftline.llm import bench_leaks, language, licenses, neighbours, passages, pieces, token_counts, token_store, url_filter
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -63,3 +63,15 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench_leaks.regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), token_store.new_store(spark))
+    return token_store.summary(spark, store)
