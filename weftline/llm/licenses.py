@@ -48,22 +48,22 @@ def template_grams(spark: SparkSession, phrases: list[tuple[str, str]], notices:
         if len(w) < K:
             raise ValueError(f"a template needs {K} words: {line}")
         rows += [(t, label, t < len(phrases), p, len(w) - K + 1, w[p], w[p + 1]) for p in range(len(w) - K + 1)]
-    grams = spark.createDataFrame(rows, "template int, label string, phrase boolean, place int, grams int, one string, two string")
+    names = ["template", "label", "phrase", "place", "grams", "one", "two"]
+    grams = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
     return grams.withColumn("hash", F.xxhash64("one", "two"))
 
 
 def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, template, label, phrase, first, last, cover): each span that a template matches, in words of the text.
+    """(doc_id, text_hash, label, phrase, first, last, cover): each span that a template matches, in words of the text.
 
     Every rolling gram of K words is joined by hash to the grams of the
     templates and its words are compared; hits vote for the diagonal (place in
     the text less place in the template). A phrase takes only diagonals with
-    all its grams. A notice takes runs of neighbouring diagonals that hold
-    COVER of its grams. Rows that repeat with the same id and text give the
-    same spans once.
+    all its grams. A notice takes runs of diagonals that are at most NEAR apart
+    and together hold COVER of its grams. Rows that repeat with the same id
+    and text give the same spans once.
     """
-    spark = df.sparkSession
-    grams = F.broadcast(template_grams(spark, phrases, notices))
+    grams = F.broadcast(template_grams(df.sparkSession, phrases, notices))
     w = F.col("w")
     rolled = (
         df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), words(F.col(f"`{text_col}`")).alias("w"))
@@ -73,26 +73,20 @@ def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id
         .where("b is not null")
         .withColumn("h", F.xxhash64("a", "b"))
     )
-    hits = (
-        rolled.join(grams, (F.col("h") == F.col("hash")) & (F.col("a") == F.col("one")) & (F.col("b") == F.col("two")))
-        .select("doc_id", "text_hash", "template", "label", "phrase", "grams", "place", "at", (F.col("at") - F.col("place")).alias("diagonal"))
-        .distinct()
-    )
     key = ["doc_id", "text_hash", "template", "label", "phrase", "grams"]
-    diagonals = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list("place").alias("places"))
-    whole = diagonals.where("phrase and votes = grams").select(*key[:5], F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("grams") + K - 2).alias("last"), F.lit(1.0).alias("cover"))
+    hits = rolled.join(grams, (F.col("h") == F.col("hash")) & (F.col("a") == F.col("one")) & (F.col("b") == F.col("two")))
+    hits = hits.select(*key, "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    diagonals = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
     along = Window.partitionBy(*key).orderBy("diagonal")
-    runs = (
-        diagonals.where("not phrase")
-        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR).cast("int"))
-        .withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(along))
+    fresh = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR)
+    return (
+        diagonals.where("not phrase or votes = grams")
+        .withColumn("run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(along))
         .groupBy(*key, "run")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"))
-        .withColumn("cover", F.col("held") / F.col("grams"))
+        .agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.least(F.lit(1.0), F.sum("votes") / F.col("grams")).alias("cover"))
         .where(F.col("cover") >= COVER)
-        .select(*key[:5], "first", (F.col("last") + K - 1).alias("last"), "cover")
+        .select("doc_id", "text_hash", "label", "phrase", "first", "last", "cover")
     )
-    return whole.unionByName(runs)
 
 
 def scan(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,6 +100,11 @@ def scan(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id"
     rows each give the same row; a null id is kept and matched as a value.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("n_words"))
+    labels = sorted({label for _, label in [*phrases, *notices]})
+
+    def names(only: Column) -> Column:
+        return F.concat_ws(",", *[F.max(F.when((F.col("label") == x) & only, F.lit(x))) for x in labels])
+
     found = (
         spans(df, phrases, notices, id_col, text_col)
         .groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("th"))
@@ -113,8 +112,8 @@ def scan(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id"
             F.count_if("phrase").alias("n"),
             F.min(F.when(F.col("phrase"), F.col("first"))).cast("long").alias("first_word"),
             F.max(F.when(F.col("phrase"), F.col("first"))).cast("long").alias("last_word"),
-            F.array_join(F.array_sort(F.collect_set(F.when(F.col("phrase"), F.col("label")))), ",").alias("bl"),
-            F.array_join(F.array_sort(F.collect_set("label")), ",").alias("l"),
+            names(F.col("phrase")).alias("bl"),
+            names(F.lit(True)).alias("l"),
             F.max("cover").alias("s"),
         )
     )
