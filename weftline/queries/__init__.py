@@ -1,5 +1,6 @@
 """Registered queries over the driver's tables and over fixtures."""
 
+from weftline.queries import counts, joins, maths, pages, prose  # noqa: F401
 from weftline.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
