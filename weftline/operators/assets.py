@@ -81,7 +81,7 @@ def harvest(sources: DataFrame, url_col: str = "url", text_col: str = "text") ->
 def verdict(fetched: DataFrame) -> Column:
     """What is wrong with a fetched asset, "ok", or "stub" for an analytics library that isn't kept; the first that holds."""
     path, kind = urls.part(F.col("url"), "path"), F.lower(F.coalesce("content_type", F.lit("")))
-    head = F.lower(F.ltrim(F.decode(F.substring("body", 1, 64), F.lit("ISO-8859-1"))))
+    head = F.lower(F.ltrim(F.decode(F.substring("body", 1, 64), "ISO-8859-1")))
     page = head.startswith("<!doctype") | head.startswith("<html")
     is_text = F.regexp_like(path, F.lit(urls.TEXT_ASSET))
     return (
@@ -115,7 +115,7 @@ def fixpoint(pages: DataFrame, fetched: DataFrame, rounds: int = ROUNDS) -> Data
     level = known
     for k in range(1, rounds):
         text = fetched.where(verdict(fetched) == "ok").where(F.regexp_like(urls.part(F.col("url"), "path"), F.lit(urls.TEXT_ASSET))).join(level.select("url"), "url", "left_semi")
-        new = with_siblings(harvest(text.select("url", F.decode("body", F.lit("UTF-8")).alias("text"))).select(F.col("asset_url").alias("url")).distinct())
+        new = with_siblings(harvest(text.select("url", F.decode("body", "UTF-8").alias("text"))).select(F.col("asset_url").alias("url")).distinct())
         level = cut(new.join(known.select("url"), "url", "left_anti").withColumn("round", F.lit(k)))
         if not level.limit(1).count():
             break

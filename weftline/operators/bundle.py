@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import ngrams
 from weftline.operators.library import GRADES
 from weftline.plans import gates
 
@@ -79,7 +80,7 @@ def corpus_traces(files: DataFrame, names: DataFrame) -> DataFrame:
     rows = files.select("rel", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "body"))
     words = F.regexp_extract_all("body", F.lit("[a-z0-9]+(?:[^a-z0-9\\s]+[a-z0-9]+)*"), F.lit(0))
     plain = F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0))
-    grams = F.flatten(F.array(words, plain, *[F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i, w=w, n=n: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (2, 3, 4) for w in (words,)]))
+    grams = F.flatten(F.array(words, plain, *[ngrams(words, n) for n in (2, 3, 4)]))
     cut = rows.select("rel", "at", "body", F.explode(F.array_distinct(grams)).alias("name"))
     hits = cut.join(names.select("name"), "name").withColumn("place", F.instr("body", F.col("name")))
     return hits.groupBy("rel", "at").agg(F.min_by("name", F.struct("place", -F.length("name"))).alias("name")).select("rel", (F.col("at") + 1).alias("line"), "name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import markup, text
@@ -13,10 +13,15 @@ from weftline.plans import gates
 LEAST_WORDS, RATE, FLOOR, SIZES, KEPT = 150, 3.0, 5, (4, 3, 2), 3
 
 
-def phrase_counts(df: DataFrame, id_col: str, text_col: str, sizes=SIZES) -> DataFrame:
-    """(id, n, phrase, hits, first, words): how often each habit phrase occurs in each text, with the place of its first hit."""
+def phrase_counts(df: DataFrame, id_col: str, text_col: str, sizes=SIZES, habits: bool = True) -> DataFrame:
+    """(id, n, phrase, hits, first, words): how often each phrase occurs in each text, with the place of its first hit. habits leaves out glue and subject matter."""
+
+    def sized(n: int) -> Column:
+        own = text.habit_grams(F.col("w"), n) if habits else text.ngrams(F.col("w"), n)
+        return F.transform(own, lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
+
     base = df.select(id_col, text.tokens(F.col(text_col)).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    grams = F.flatten(F.array(*[F.transform(text.habit_grams(F.col("w"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("phrase"))) for n in sizes]))
+    grams = F.flatten(F.array(*[sized(n) for n in sizes]))
     rows = base.select(id_col, F.size("w").alias("words"), F.posexplode(grams).alias("at", "g"))
     return rows.groupBy(id_col, "g.n", "g.phrase").agg(F.count("*").alias("hits"), F.min("at").alias("first"), F.max("words").alias("words"))
 
