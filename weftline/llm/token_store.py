@@ -6,7 +6,6 @@ import json
 import re
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import chain
@@ -14,7 +13,6 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,10 +24,12 @@ from weftline.session import shared_dir
 MEAN, MEMORY, MOST = 256, 8, 2048
 #: Documents of a recipe shard, about.
 SHARD_DOCS = 50_000
-#: Words that a task remembers.
-REMEMBER = 400_000
+#: Units that a task remembers, and slots of its table.
+REMEMBER, SLOTS = 1_500_000, 1 << 22
 #: Texts with one of these go through the library whole: other white space, letters whose lower case depends on what stands around, special strings.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Fixed value: the pre-tokens of the vocabulary.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens that go through the library in one text.
 TOGETHER = 500
 CODEC = {"compression": "zstd"}
@@ -39,9 +39,9 @@ class WordEncoder:
     """Encodes texts with a tokenizers file of lower-case words with word ends.
 
     Its pre-tokens never cross white space and each ends with a token marked
-    as such, so a text's ids are those of its words, and words can be encoded
-    together and told apart again. Each distinct word and each distinct
-    pre-token goes through the library once, until the tables are full.
+    as such, so a text's ids are those of its units, and units can be encoded
+    together and told apart again. Each distinct unit goes through the library
+    once, until the table is full; units are known by a 64-bit hash.
     """
 
     def __init__(self, path: str):
@@ -55,7 +55,8 @@ class WordEncoder:
         steps = [n.get("type") for n in spec["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"] or not spec["model"].get("end_of_word_suffix"):
             raise ValueError(f"not a lower-case vocabulary with word ends: {path}")
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != SPLIT:
+            raise ValueError(f"other pre-tokens than are known here: {path}")
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.width = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
@@ -65,54 +66,137 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.count = array("q")
-        self.flat = array("i")
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, words: list[str]) -> None:
-        split = [self.split.findall(w) for w in words]
-        fresh = list(set().union(*split) - self.parts.keys())
-        lines = [" ".join(fresh[k : k + TOGETHER]) for k in range(0, len(fresh), TOGETHER)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int64)
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist() if len(ids) else []
-        if len(ends) != len(fresh):
+        """Starts the table anew: open addressing from the hash of a unit to its number, ids of all units one behind the other."""
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.number = np.zeros(SLOTS, np.int32)
+        self.count = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of known hashes, -1 for others."""
+        out = np.full(len(h), -1, np.int32)
+        open_, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while len(open_):
+            key = self.keys[at]
+            hit = key == h[open_]
+            out[open_[hit]] = self.number[at[hit]]
+            go = ~hit & (key != 0)
+            open_, at = open_[go], (at[go] + 1) & (SLOTS - 1)
+        return out
+
+    def learn(self, h: np.ndarray, units: list[str], simple: np.ndarray) -> None:
+        """Adds distinct unknown units. Simple ones are one pre-token each and go through the library together."""
+        one = np.flatnonzero(simple).tolist()
+        lines = [" ".join([units[k] for k in one[a : a + TOGETHER]]) for a in range(0, len(one), TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), np.int32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(one):
             raise ValueError("words of this vocabulary can't be told apart")
-        flat = ids.tolist()
-        self.parts.update((w, tuple(flat[a:b])) for w, a, b in zip(fresh, [0, *ends], ends, strict=False))
-        get = self.parts.__getitem__
-        for w, own in zip(words, split, strict=True):
-            n = len(self.flat)
-            for p in own:
-                self.flat.extend(get(p))
-            self.known[w] = len(self.known)
-            self.count.append(len(self.flat) - n)
+        count = np.zeros(len(units), np.int64)
+        count[one] = np.diff(ends, prepend=0)
+        parts = [ids]
+        other = np.flatnonzero(~simple).tolist()
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([units[k] for k in other], add_special_tokens=False) if other else [], strict=True):
+            count[k] = len(e.ids)
+            parts.append(np.array(e.ids, np.int32))
+        order = np.concatenate([one, other]).astype(np.int64)
+        first = np.empty(len(units), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order] + len(self.flat)
+        number = len(self.count) + np.arange(len(units), dtype=np.int32)
+        self.flat = np.concatenate([self.flat, *parts])
+        self.count, self.first = np.append(self.count, count), np.append(self.first, first)
+        left, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]
+            won = free & (self.keys[at] == h[left])
+            self.number[at[won]] = number[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (SLOTS - 1)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        odd, split = {}, []
+        odd, plain = {}, []
         for k, t in enumerate(texts):
             if not t or "<|" in t or RARE.search(t) or not (t.isascii() or is_normalized("NFC", t)):
                 odd[k] = t or ""
-                split.append(())
+                plain.append(b"")
             else:
-                split.append(t.lower().split())
-        if len(self.known) > REMEMBER:
+                plain.append(t.lower().encode())
+        flat = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8)
+        edge = np.cumsum([0, *(len(p) + 1 for p in plain)])
+        begin, stop, h, simple = units_of(flat)
+        if len(self.count) > REMEMBER:
             self.forget()
-        words = list(chain.from_iterable(split))
-        numbers = list(map(self.known.get, words))
-        if None in numbers:
-            self.learn(list({w for w, n in zip(words, numbers, strict=True) if n is None}))
-            numbers = [self.known[w] if n is None else n for w, n in zip(words, numbers, strict=True)]
-        which = np.array(numbers, np.int64)
-        counts = np.array(self.count, np.int64)
-        own = counts[which]
-        stop = np.cumsum(own)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = np.array(self.flat, np.int32)[np.arange(total) + np.repeat((np.cumsum(counts) - counts)[which] - (stop - own), own)].astype(self.width)
-        edge = np.concatenate([[0], stop])[np.cumsum([0, *map(len, split)])].tolist()
+        number = self.find(h)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            new, at = np.unique(h[fresh], return_index=True)
+            at = fresh[at]
+            raw = flat.tobytes()
+            self.learn(new, [raw[a:b].decode() for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)], simple[at])
+            number[fresh] = self.find(h[fresh])
+        own = self.count[number]
+        last = np.cumsum(own)
+        total = int(last[-1]) if len(last) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.first[number] - (last - own), own)].astype(self.width)
+        cut = np.concatenate([[0], last])[np.searchsorted(begin, edge)].tolist()
         done = dict(zip(odd, self.tokenizer.encode_batch_fast(list(odd.values()), add_special_tokens=False), strict=True)) if odd else {}
-        return [np.append(np.array(done[k].ids, self.width) if k in done else ids[edge[k] : edge[k + 1]], self.width.type(end)) for k in range(len(texts))]
+        return [np.append(np.array(done[k].ids, self.width) if k in done else ids[cut[k] : cut[k + 1]], self.width.type(end)) for k in range(len(texts))]
+
+
+def kinds() -> np.ndarray:
+    """Kind of each byte of lower-case text: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 beyond ASCII."""
+    out = np.full(256, 4, np.uint8)
+    for b in range(128):
+        c = chr(b)
+        out[b] = 0 if c in " \n\t\r" else 1 if c.isalpha() else 2 if c.isdigit() else 3
+    return out
+
+
+KINDS = kinds()
+LETTER_HASH = np.random.default_rng(9).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
+
+
+def units_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end, hash and simplicity of the units of a text.
+
+    A word of ASCII and Latin-1 letters without an apostrophe is cut into its
+    pre-tokens: runs of letters, runs of marks and single digits. Such a unit
+    is simple; any other word is one unit as it stands.
+    """
+    kind = KINDS[flat]
+    lead = np.flatnonzero(flat[:-1] == 0xC3)
+    lead = lead[(flat[lead + 1] != 0x97) & (flat[lead + 1] != 0xB7)]
+    kind[lead] = 1
+    kind[lead + 1] = 1
+    inside = np.flatnonzero(kind)
+    if not len(inside):
+        return inside, inside, np.empty(0, np.uint64), np.empty(0, bool)
+    k, b = kind[inside], flat[inside]
+    gap = np.ones(len(inside), bool)
+    gap[1:] = inside[1:] != inside[:-1] + 1
+    word = np.flatnonzero(gap)
+    whole = np.logical_or.reduceat((k == 4) | (b == 39), word)
+    split = np.zeros(len(inside), bool)
+    split[1:] = (k[1:] != k[:-1]) | (k[1:] == 2)
+    if whole.any():
+        split &= ~np.repeat(whole, np.diff(np.append(word, len(inside))))
+    new = gap | split
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(start, size)
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat(LETTER_HASH[b] * power[place], start)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    h[h == 0] = 1
+    begin = inside[start]
+    simple = np.ones(len(start), bool)
+    if whole.any():
+        simple = ~whole[np.searchsorted(word, start, side="right") - 1]
+    return begin, begin + size, h, simple
 
 
 @lru_cache(maxsize=2)
@@ -160,7 +244,7 @@ def chunk_rows(df: DataFrame, path: str, end: int, id_col: str, text_col: str) -
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             owner, idx, digests, count, held = [], [], [], [], []
-            if len(given) > REMEMBER:
+            if len(given) > REMEMBER // 4:
                 given.clear()
             for k, ids in enumerate(model.encode(part.column("text").to_pylist(), end)):
                 at = 0
