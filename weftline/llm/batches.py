@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 
+#: What the running Python worker keeps between tasks: one model, so that those of earlier stages don't fill its memory.
+_kept: tuple = (None, None)
+
+
+def only(key, make: Callable[[], object] = lambda: None):
+    """The worker's one kept model: the one of this key, made if another is kept."""
+    global _kept
+    if _kept[0] != key:
+        _kept = (None, None)
+        _kept = (key, make())
+    return _kept[1]
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns with any name stay out of an operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -31,8 +44,24 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         yield batch.slice(at)
 
 
+def arrow_rows(df: DataFrame, column: str, add: Callable, schema: str, key) -> DataFrame:
+    """df with more columns, which add(texts) gives as Arrow arrays for slices of bounded text."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(key)
+        for batch in batches:
+            for part in steps(batch, column):
+                new = add(part.column(column).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], [*names, *new])
+
+    from pyspark.sql.types import StructType
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
+
+
 def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded text. make() runs once in a task and returns the step."""
+    """mapInArrow over slices of bounded text. make() runs once in a task and returns the step; it names the model that the worker keeps with only()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

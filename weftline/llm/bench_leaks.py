@@ -224,6 +224,7 @@ def regions(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         held = df.sparkSession.sparkContext.broadcast(items)
 
         def make(held=held):
+            batches.only("bench_leaks")
             index = build(held.value)
 
             def step(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -73,6 +73,7 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null and text <> ''")
 
     def make():
+        batches.only("passages")
         digest = xxhash.xxh3_64_intdigest
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,8 +16,10 @@ from weftline.llm.ragged import PairTable, merge
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-#: Words that a task remembers; the table starts anew when it is full.
-REMEMBER = 600_000
+#: Units that a task remembers, and slots of its table; it starts anew when it is full.
+REMEMBER, SLOTS = 800_000, 1 << 21
+U = np.uint64
+RANDOM = np.random.default_rng(2).integers(1, 1 << 63, 256, np.int64).astype(U)
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -128,6 +128,9 @@ class PieceModel:
         self.piece_size = np.array([len(p) for p in self.pieces], np.int64)
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
         self.odd = np.array([k != NORMAL for k in kinds])
+        for b, i in self.bytes.items():  # an ASCII byte is a character by itself
+            if b < 128:
+                self.shown[i], self.odd[i] = chr(b), False
         self.table = PairTable(left, right, rank[whole], whole, self.base)
         # Marks that stand beside a letter or digit in some piece; between any other mark and a letter or digit, no piece crosses.
         letter = re.compile(r"[^\W_]")
@@ -137,9 +140,10 @@ class PieceModel:
             for a, b in zip(p, p[1:], strict=False):
                 if bool(letter.match(a)) != bool(letter.match(b)):
                     tied.add(b if letter.match(a) else a)
-        tie = re.escape("".join(sorted(tied)))
-        #: Stretches of normalised text whose edges no piece crosses.
-        self.word = re.compile(rf"{SPACE}*(?:[^\W_]++(?![{tie}])|[^\w{tie}{SPACE}]++(?![{tie}])|[^{SPACE}]+)|{SPACE}+")
+        #: Kind of each byte of a text: 0 space, 1 letter or digit, 2 mark that no piece ties to these, 3 any other.
+        self.kind = np.full(256, 3, np.uint8)
+        for c in map(chr, range(128)):
+            self.kind[ord(c)] = 0 if c == " " else 1 if letter.match(c) else 3 if c in tied else 2
         self.forget()
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -189,8 +193,52 @@ class PieceModel:
                 yield size, raw[at : at + size].decode()
             at += size
 
-    def learn(self, words: list[str]) -> None:
-        """Pieces of words that are not known yet, all merged together."""
+    def units(self, flat: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and hash of the units of normalised texts, whose spaces are still plain; texts: the byte where each begins.
+
+        A unit begins with a text, with the first space of a run, or, in words
+        of ASCII and Latin-1 letters and of marks that no piece ties to them,
+        where letters and marks meet. No piece crosses the edge of a unit.
+        """
+        kind = self.kind[flat]
+        lead = np.flatnonzero(flat[:-1] == 0xC3)
+        lead = lead[(flat[lead + 1] != 0x97) & (flat[lead + 1] != 0xB7)]
+        kind[lead] = 1
+        kind[lead + 1] = 1
+        word = np.zeros(len(flat), bool)
+        word[1:] = (kind[1:] == 0) & (kind[:-1] != 0)
+        word[texts] = True
+        split = np.zeros(len(flat), bool)
+        split[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0) & (kind[1:] != 0)
+        starts = np.flatnonzero(word)
+        whole = np.maximum.reduceat(kind, starts) == 3
+        if whole.any():
+            split &= ~np.repeat(whole, np.diff(np.append(starts, len(flat))))
+        begin = np.flatnonzero(word | split)
+        size = np.diff(np.append(begin, len(flat)))
+        place = np.arange(len(flat)) - np.repeat(begin, size)
+        power = np.cumprod(np.full(int(size.max()), U(0x9E3779B97F4A7C15), U))
+        h = np.add.reduceat(RANDOM[flat] * power[place], begin)
+        h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+        h ^= h >> U(31)
+        h[h == 0] = 1
+        return begin, h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of known hashes, -1 for others."""
+        out = np.full(len(h), -1, np.int32)
+        left, at = np.arange(len(h)), (h >> U(20)).astype(np.int64) & (SLOTS - 1)
+        while len(left):
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.number[at[hit]]
+            go = ~hit & (key != 0)
+            left, at = left[go], (at[go] + 1) & (SLOTS - 1)
+        return out
+
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        """Pieces of distinct units that are not known yet, all merged together."""
         get, over = self.ids.get, len(self.pieces)
         flat = np.array([get(c, over + ord(c)) for w in words for c in w], np.int64).astype(np.int32)
         symbols, left = merge(flat, np.array([len(w) for w in words]), self.table)
@@ -206,23 +254,24 @@ class PieceModel:
             symbols = np.fromiter(chain.from_iterable(new), np.int64)
             first, size, which = (np.repeat(x, times) for x in (first, size, which))
             left = np.bincount(which, minlength=len(words))
-        for own, more in zip(self.flat, (symbols, first, first + size), strict=True):
-            own.frombytes(more.tobytes())
-        self.counts.frombytes(np.asarray(left, np.int64).tobytes())
-        self.sizes.extend(map(len, words))
-        ids, stop = symbols.tolist(), np.cumsum(left).tolist()
-        plain, shown = ~(np.isin(which, which[self.odd[symbols]])), self.shown
-        start = [0, *stop[:-1]]
-        easy = plain[np.array(start)].tolist()
-        self.texts += ["".join([shown[i] for i in ids[a:b]]) if e else self.join(ids[a:b]) for a, b, e in zip(start, stop, easy, strict=True)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        number = len(self.count) + np.arange(len(words), dtype=np.int32)
+        self.first = np.append(self.first, len(self.flat[0]) + np.cumsum(left) - left)
+        self.count = np.append(self.count, left)
+        self.size = np.append(self.size, [len(w) for w in words])
+        self.flat = [np.concatenate([own, more.astype(np.int32)]) for own, more in zip(self.flat, (symbols, first, first + size), strict=True)]
+        open_, at = np.arange(len(h)), (h >> U(20)).astype(np.int64) & (SLOTS - 1)
+        while len(open_):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[open_[free]]
+            won = free & (self.keys[at] == h[open_])
+            self.number[at[won]] = number[open_[won]]
+            open_, at = open_[~won], (at[~won] + 1) & (SLOTS - 1)
 
     def forget(self) -> None:
-        """Starts the table of known words anew: a number for each word, and what holds for it by number."""
-        self.known: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.sizes, self.counts = array("q"), array("q")
-        self.flat = array("q"), array("q"), array("q")
+        """Starts the table of known units anew: open addressing from the hash of a unit to its number, and what holds for it by number."""
+        self.keys, self.number = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
+        self.count, self.first, self.size = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = [np.zeros(0, np.int32) for _ in range(3)]
 
     def join(self, ids: list[int]) -> str:
         """Text of ids with spaces in place, before the first space goes."""
@@ -251,34 +300,44 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Of all texts, one behind the other: ids, original byte where each piece begins and ends; the number of ids of each text; the decoded texts."""
         normal = [self.normalise(t or "") for t in texts]
-        words = [self.word.findall(t) for t, _ in normal]
-        if len(self.known) > REMEMBER:
+        raw = [t.replace(SPACE, " ").encode() for t, _ in normal]
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        edge = np.cumsum([0, *map(len, raw)])
+        if not len(flat):
+            none = np.zeros(0, np.int64)
+            return none.astype(np.int32), none, none, np.zeros(len(texts), np.int64), [""] * len(texts)
+        begin, h = self.units(flat, np.unique(edge[:-1][np.diff(edge) > 0]))
+        if len(self.count) > REMEMBER:
             self.forget()
-        fresh = set().union(*words) - self.known.keys()
-        if fresh:
-            self.learn(list(fresh))
-        get, text_of = self.known.__getitem__, self.texts.__getitem__
-        numbers = [list(map(get, own)) for own in words]
-        decoded = ["".join(map(text_of, own)) for own in numbers]
-        which = np.fromiter(chain.from_iterable(numbers), np.int64)
-        n_words = np.array([len(own) for own in numbers], np.int64)
-        counts, sizes = np.array(self.counts, np.int64), np.array(self.sizes, np.int64)
-        count = counts[which]
-        stop = np.cumsum(count)
-        row = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat((np.cumsum(counts) - counts)[which] - (stop - count), count)
-        ids, begin, end = (np.array(x, np.int64)[row] for x in self.flat)
-        # place of each word in the characters of all normalised texts; a text has one place more than characters
-        before = np.cumsum(sizes[which]) - sizes[which] + np.repeat(np.arange(len(texts)), n_words)
+        number = self.find(h)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            new, at = np.unique(h[fresh], return_index=True)
+            at = fresh[at]
+            stop = np.append(begin, len(flat))[at + 1]
+            held = flat.tobytes()
+            self.learn(new, [held[a:b].decode().replace(" ", SPACE) for a, b in zip(begin[at].tolist(), stop.tolist(), strict=True)])
+            number[fresh] = self.find(h[fresh])
+        count = self.count[number]
+        last = np.cumsum(count)
+        row = np.arange(int(last[-1])) + np.repeat(self.first[number] - (last - count), count)
+        ids, first, end = (x[row] for x in self.flat)
+        unit_edge = np.searchsorted(begin, edge)
+        total = np.concatenate([[0], last])[unit_edge]
+        # place of each unit in the characters of all normalised texts; a text has one place more than characters
+        size = self.size[number]
+        before = np.cumsum(size) - size + np.repeat(np.arange(len(texts)), np.diff(unit_edge))
         shift = np.repeat(before, count)
-        place = np.concatenate([p for _, p in normal]) if texts else np.zeros(0, np.int64)
-        total = np.concatenate([[0], stop])
-        edge = np.concatenate([[0], np.cumsum(n_words)])
-        per_text = total[edge[1:]] - total[edge[:-1]]
-        if self.prefix or self.squeeze:
-            for k, text in enumerate(decoded):
-                if text.startswith(" ") and self.kinds[ids[total[edge[k]]]] == NORMAL:
-                    decoded[k] = text[1:]
-        return ids.astype(np.int32), place[begin + shift], place[end + shift], per_text, decoded
+        place = np.concatenate([p for _, p in normal])
+        odd = np.concatenate([[0], np.cumsum(self.odd[ids])])[total]
+        flat_ids, shown, decoded = ids.tolist(), self.shown, []
+        for k, (a, b) in enumerate(zip(total.tolist(), total[1:].tolist(), strict=False)):
+            if odd[k + 1] > odd[k]:
+                decoded.append(self.decode(flat_ids[a:b]))
+                continue
+            text = "".join([shown[i] for i in flat_ids[a:b]])
+            decoded.append(text[1:] if (self.prefix or self.squeeze) and text.startswith(" ") else text)
+        return ids, place[first + shift], place[end + shift], np.diff(total), decoded
 
 
 def replaced(raw: bytes) -> str:
@@ -301,9 +360,8 @@ def replaced(raw: bytes) -> str:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
-    return PieceModel(path)
+    return batches.only(("pieces", path), lambda: PieceModel(path))
 
 
 def listed(flat: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -332,9 +390,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             own = [part.column("doc_id"), listed(ids, count, pa.int32()), pa.array(text, pa.string())]
             if not spans:
                 return pa.RecordBatch.from_arrays(own, ["doc_id", "ids", "decoded"])
-            return pa.RecordBatch.from_arrays([*own[:2], listed(begin, count, pa.int64()), listed(end, count, pa.int64()), own[2]], ["doc_id", "ids", "begins", "ends", "decoded"])
+            return pa.RecordBatch.from_arrays([*own[:2], listed(begin, count, pa.int32()), listed(end, count, pa.int32()), own[2]], ["doc_id", "ids", "begins", "ends", "decoded"])
 
         return step
 
-    more = "begins array<bigint>, ends array<bigint>, " if spans else ""
+    more = "begins array<int>, ends array<int>, " if spans else ""
     return batches.map_steps(src, make, f"doc_id {kind}, ids array<int>, {more}decoded string").withColumnRenamed("doc_id", id_col)

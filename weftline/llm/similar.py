@@ -107,6 +107,7 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(parts):
+        batches.only("similar")
         sketch = np.zeros(BUCKETS, np.uint32)
         id_type = pa.int64()
         names = ["doc_id", "n", "low", "high", "bands", "slice", "counts"]
@@ -164,6 +165,7 @@ def prefixes(df: DataFrame, level: np.ndarray, id_col: str, text_col: str) -> Da
     shared = df.sparkSession.sparkContext.broadcast(level)
 
     def make():
+        batches.only("similar")
         own = shared.value
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +70,8 @@ class ByteBpe:
         return [sum(map(get, t)) + n for t, n in split]
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return batches.only(("token_counts", path), lambda: ByteBpe(path))
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -199,9 +199,8 @@ def units_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return begin, begin + size, h, simple
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return batches.only(("token_store", path), lambda: WordEncoder(path))
 
 
 def cut_ids(ids: np.ndarray) -> list[int]:
