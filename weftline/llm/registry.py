@@ -7,11 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bench_leaks, language, licenses, neighbours, passages, pieces, similar, token_counts, token_store, url_filter
+from weftline.llm import bench_leaks, language, licenses, neighbours, oracles, passages, pieces, similar, token_counts, token_store, url_filter
 from weftline.session import table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = dict(oracles.ORACLES)
 
 
 def query(fn):
