@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's own number: whole texts in batches of 10,000 would fill an executor's memory outside the heap.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches kept small unless it has been told otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS, "10000") == "10000":
+        conf.set(_ROWS, str(BATCH_ROWS))
+    return df
+
+
 #: What the running Python worker keeps between tasks: one model, so that those of earlier stages don't fill its memory.
 _kept: tuple = (None, None)
 
@@ -57,7 +70,7 @@ def arrow_rows(df: DataFrame, column: str, add: Callable, schema: str, key) -> D
 
     from pyspark.sql.types import StructType
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
+    return bounded(df).mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
 
 
 def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
@@ -69,4 +82,4 @@ def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for part in steps(batch, column):
                 yield step(part)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)

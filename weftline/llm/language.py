@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,61 +25,75 @@ UNSEEN = 0.5
 #: Words after which more of them add no confidence.
 SURE = 24
 #: Words that a task remembers.
-REMEMBER = 300_000
+REMEMBER = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
-    langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def __post_init__(self):
-        self.floor = np.zeros(len(self.langs), np.float32)
+    """Log frequencies by language: a row of a table for each known word and n-gram."""
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.forget()
+    langs: list[str]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.zeros((0, len(self.langs)), np.float32)
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean over the letters of an unseen word: each is scored by the longest known n-gram that starts there."""
-        marked = f" {word} "
-        total, n = np.zeros(len(self.langs), np.float32), 0
+    def starts(self, word: str) -> list[int]:
+        """Of each letter of an unseen word the longest known n-gram that starts there."""
+        marked, get, out = f" {word} ", self.grams.get, []
         for i in range(len(marked) - 1):
-            for size in range(min(LONGEST, len(marked) - i), 0, -1):
-                got = self.grams.get(marked[i : i + size])
+            for size in range(LONGEST, 0, -1):
+                got = get(marked[i : i + size])
                 if got is not None:
-                    total = total + got
-                    n += 1
+                    out.append(got)
                     break
-        return total * (UNSEEN / n) if n else self.floor
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Rows of words: their own where they are known, else UNSEEN times the mean of their n-grams (zero without any)."""
+        new = np.zeros((len(words), len(self.langs)), np.float32)
+        at = [self.words.get(w, -1) for w in words]
+        known = np.flatnonzero(np.array(at) >= 0)
+        new[known] = self.word_rows[np.array(at)[known]]
+        rest = [k for k, a in enumerate(at) if a < 0]
+        parts = [self.starts(words[k]) for k in rest]
+        count = np.array([len(p) for p in parts])
+        if count.sum():
+            flat = np.concatenate([[0.0 * self.gram_rows[0]], self.gram_rows[np.fromiter(chain.from_iterable(parts), np.int64)]]).astype(np.float64)
+            total = np.cumsum(flat, 0)
+            end = np.cumsum(count)
+            mean = (total[end] - total[end - count]) / np.maximum(count, 1)[:, None] * UNSEEN
+            new[rest] = mean
+        self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.rows = np.concatenate([self.rows, new])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and confidence of each text; ties go to the first language in order."""
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         split = [WORD.findall(t.lower()) if t else [] for t in texts]
         split = [w if any(c.isalpha() for x in w[:50] for c in x) or any(c.isalpha() for x in w for c in x) else [] for w in split]
         if len(self.known) > REMEMBER:
             self.forget()
-        for w in set().union(*split) - self.known.keys():
-            self.known[w] = len(self.rows)
-            own = self.words.get(w)
-            self.rows.append(self.backoff(w) if own is None else own)
-        if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        table = np.array(self.rows, np.float32).reshape(-1, len(self.langs))
-        get = self.known.__getitem__
-        lang, score = [], []
+        flat = list(chain.from_iterable(split))
+        numbers = list(map(self.known.get, flat))
+        if None in numbers:
+            self.learn(sorted({w for w, n in zip(flat, numbers, strict=True) if n is None}))
+            numbers = [self.known[w] if n is None else n for w, n in zip(flat, numbers, strict=True)]
+        which = np.array(numbers, np.int64)
+        lang, score, at = [], [], 0
         for w in split:
             if not w:
                 lang.append("und")
                 score.append(0.0)
                 continue
-            mean = table[np.fromiter(map(get, w), np.int64, len(w))].astype(np.float64).mean(0)
+            mean = self.rows[which[at : at + len(w)]].astype(np.float64).mean(0)
+            at += len(w)
             best = int(mean.argmax())
             p = np.exp((mean - mean[best]) * min(len(w), SURE))
             lang.append(self.langs[best])
@@ -120,13 +135,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for size in range(1, LONGEST + 1):
             for i in range(len(marked) - size + 1):
                 grams[size][marked[i : i + size]] += own
-    total = sum(table.values()) if table else np.zeros(len(langs))
 
-    def logs(counted: dict) -> dict:
-        whole = sum(counted.values()) if counted else total
-        return {k: np.log((v + 0.5) / (whole + 0.5 * len(counted))).astype(np.float32) for k, v in counted.items()}
+    def logs(parts: list[dict]) -> tuple[dict[str, int], np.ndarray]:
+        rows = [np.zeros((0, len(langs)), np.float32)]
+        for counted in parts:
+            if counted:
+                own = np.stack(list(counted.values()))
+                rows.append(np.log((own + 0.5) / (own.sum(0) + 0.5 * len(own))).astype(np.float32))
+        return {k: i for i, k in enumerate(chain.from_iterable(parts))}, np.concatenate(rows)
 
-    model = Model(langs, logs(table), {k: v for part in grams[1:] for k, v in logs(part).items()})
+    model = Model(langs, *logs([table]), *logs(grams[1:]))
     model.forget()
     return model
 
@@ -143,6 +161,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        batches.only("language")
         own = held.value
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -158,20 +177,11 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", lang_as: str =
     """df with two more columns, for use in a pipeline; see identify()."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def predict(text):
-        import pandas as pd
-
-        lang, score = [], []
-        values = text.tolist()
-        for i in range(0, len(values), 500):
-            a, b = held.value.predict([v if isinstance(v, str) else None for v in values[i : i + 500]])
-            lang += a
-            score += b
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+    def add(texts):
+        lang, score = held.value.predict(texts)
+        return {lang_as: pa.array(lang, pa.string()), score_as: pa.array(score, pa.float64())}
 
-    own = "__predicted"
-    return df.withColumn(own, predict(F.col(f"`{text_col}`"))).withColumns({lang_as: F.col(f"{own}.lang_pred"), score_as: F.col(f"{own}.score")}).drop(own)
+    return batches.arrow_rows(df, text_col, add, f"`{lang_as}` string, `{score_as}` double", "language")
 
 
 def held_out(id_col: Column) -> Column:

@@ -17,7 +17,7 @@ from weftline.llm.ragged import PairTable, merge
 SPACE = "▁"
 UNKNOWN = " ⁇ "
 #: Units that a task remembers, and slots of its table; it starts anew when it is full.
-REMEMBER, SLOTS = 800_000, 1 << 21
+REMEMBER, SLOTS = 400_000, 1 << 20
 U = np.uint64
 RANDOM = np.random.default_rng(2).integers(1, 1 << 63, 256, np.int64).astype(U)
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

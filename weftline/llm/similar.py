@@ -136,7 +136,7 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             none = [pa.nulls(SLICES, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([np.minimum(sketch[k * wide : (k + 1) * wide], 65535).astype("<u2").tobytes() for k in range(SLICES)], pa.binary())], names)
 
-    return src.mapInArrow(run, f"doc_id {kind}, n bigint, low bigint, high bigint, bands array<bigint>, slice int, counts binary")
+    return batches.bounded(src).mapInArrow(run, f"doc_id {kind}, n bigint, low bigint, high bigint, bands array<bigint>, slice int, counts binary")
 
 
 def levels(described_rows: DataFrame) -> np.ndarray:
