@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from weftline.session import held
 SHINGLE = 5
 #: Buckets of the frequency sketch, in slices.
 BUCKETS, SLICES = 1 << 20, 64
+#: Tasks whose sketches are added up at a time.
+TOGETHER = 64
 #: Bins of the minimum sketch and bins of a band.
 BINS, BAND = 64, 4
 #: Documents of a group and queries of a block, at most about.
@@ -102,7 +105,7 @@ def prefix_size(n):
 
 
 def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of each document (doc_id, n, low, high, bands): size, digest and bands of its set. Of each task also its share of the frequency sketch (slice, counts), on rows of their own."""
+    """Of each document (doc_id, n, low, high, bands): size, digest and bands of its set. Of each task also its share of the frequency sketch (slice, counts, the task's number as n), on rows of their own."""
     kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
@@ -133,8 +136,9 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
         wide = BUCKETS // SLICES
         if sketch.any():
-            none = [pa.nulls(SLICES, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([np.minimum(sketch[k * wide : (k + 1) * wide], 65535).astype("<u2").tobytes() for k in range(SLICES)], pa.binary())], names)
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), task, *none, pa.array(range(SLICES), pa.int32()), pa.array([np.minimum(sketch[k * wide : (k + 1) * wide], 65535).astype("<u2").tobytes() for k in range(SLICES)], pa.binary())], names)
 
     return batches.bounded(src).mapInArrow(run, f"doc_id {kind}, n bigint, low bigint, high bigint, bands array<bigint>, slice int, counts binary")
 
@@ -142,17 +146,26 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def levels(described_rows: DataFrame) -> np.ndarray:
     """Of each bucket of the sketch a level: 0 where its tokens are as frequent as most, else higher with their frequency. BUCKETS bytes, whatever the input."""
 
+    wide = BUCKETS // SLICES
+
     def add(key, part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS // SLICES, np.int64)
+        total = np.zeros(wide, np.int64)
         for raw in part["counts"]:
-            total += np.frombuffer(raw, "<u2")
-        return pd.DataFrame({"slice": [key[0]], "total": [total.tobytes()]})
-
-    rows = described_rows.where("slice is not null").select("slice", "counts")
+            total += np.frombuffer(raw, np.int64 if len(raw) == 8 * wide else "<u2")
+        return pd.DataFrame({"slice": [key[0]], "task": [key[1]], "counts": [total.tobytes()]})
+
+    # the shares of TOGETHER tasks are added up at a time, so no group grows with the number of tasks
+    rows = described_rows.where("slice is not null").select("slice", F.col("n").alias("task"), "counts")
+    most = rows.agg(F.max("task")).first()[0] or 0
+    while True:
+        rows = rows.groupBy("slice", F.floor(F.col("task") / TOGETHER).alias("task")).applyInPandas(add, "slice int, task bigint, counts binary")
+        most //= TOGETHER
+        if not most:
+            break
+        rows = held(rows, "sketch")
     out = np.zeros(BUCKETS, np.int64)
-    wide = BUCKETS // SLICES
-    for r in rows.groupBy("slice").applyInPandas(add, "slice int, total binary").toLocalIterator():
-        out[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["total"], np.int64)
+    for r in rows.toLocalIterator():
+        out[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["counts"], np.int64)
     mean = out.mean()
     hot = out > mean + 6 * np.sqrt(mean) + 16
     return np.where(hot, np.minimum(1 + np.log2(np.maximum(out - mean, 1)), 255), 0).astype(np.uint8)
