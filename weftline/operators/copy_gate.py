@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import markup, text
-from weftline.functions.lexicon import TELLS
+from weftline.functions.lexicon import FUNCTION_WORDS, GLUE_WORDS, TELLS
 from weftline.plans import gates
 
 #: Shortest text whose phrases count, rate per thousand words, floor, sizes of phrases, phrases kept.
 LEAST_WORDS, RATE, FLOOR, SIZES, KEPT = 150, 3.0, 5, (4, 3, 2), 3
 
 
-def phrase_counts(df: DataFrame, id_col: str, text_col: str, sizes=SIZES, habits: bool = True) -> DataFrame:
-    """(id, n, phrase, hits, first, words): how often each phrase occurs in each text, with the place of its first hit. habits leaves out glue and subject matter."""
-
-    def sized(n: int) -> Column:
-        own = text.habit_grams(F.col("w"), n) if habits else text.ngrams(F.col("w"), n)
-        return F.transform(own, lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
+def frequent_phrases(df: DataFrame, id_col: str, text_col: str, sizes=SIZES, habits: bool = True) -> DataFrame:
+    """(id, n, phrase, hits, first, words): phrases over the budget of their text, with the place of the first hit. habits leaves out glue and subject matter.
 
+    Phrases are counted by a 64-bit hash, so the aggregate holds numbers of
+    fixed width; only those over the budget are read from their texts.
+    """
     base = df.select(id_col, text.tokens(F.col(text_col)).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    grams = F.flatten(F.array(*[sized(n) for n in sizes]))
-    rows = base.select(id_col, F.size("w").alias("words"), F.posexplode(grams).alias("at", "g"))
-    return rows.groupBy(id_col, "g.n", "g.phrase").agg(F.count("*").alias("hits"), F.min("at").alias("first"), F.max("words").alias("words"))
+    longest = max(sizes)
+    # each word with those that follow it, so that phrases are put together row by row in compiled code
+    ahead = F.arrays_zip(*[(F.slice("w", k + 1, F.size("w")) if k else F.col("w")).alias(f"w{k}") for k in range(longest)])
+    rows = base.select(id_col, F.size("w").alias("words"), F.posexplode(ahead).alias("first", "g")).select(id_col, "words", "first", "g.*")
+
+    def own(n: int) -> list[Column]:
+        return [F.col(f"w{k}") for k in range(n)]
+
+    def key(n: int) -> Column:
+        good = own(n)[-1].isNotNull()
+        if habits:
+            glue = reduce(and_, (w.isin(*sorted(GLUE_WORDS)) for w in own(n)))
+            content = sum(((~w.isin(*sorted(FUNCTION_WORDS))).cast("int") for w in own(n)), F.lit(0))
+            good = good & ~glue & (content <= n // 3)
+        return F.when(good, F.struct(F.lit(n).alias("n"), F.xxhash64(*own(n)).alias("h")))
+
+    keyed = rows.select(id_col, "words", "first", F.explode(F.array(*[key(n) for n in sizes])).alias("p")).where("p is not null").select(id_col, "words", "first", "p.*")
+    counted = keyed.groupBy(id_col, "n", "h").agg(F.count("*").alias("hits"), F.min("first").alias("first"), F.max("words").alias("words"))
+    often = counted.where(F.col("hits") > text.budget(RATE, FLOOR, F.col("words")))
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    phrase = F.array_join(F.slice(text.tokens(F.col("__text")), F.col("first") + 1, F.col("n")), " ")
+    return often.join(texts, F.col(id_col) == F.col("__id")).select(id_col, "n", phrase.alias("phrase"), "hits", "first", "words")
 
 
 def repeated_phrases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,8 +54,7 @@ def repeated_phrases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     over; that depends on the order, so it folds over each text's few
     candidates.
     """
-    over = phrase_counts(df, id_col, text_col).where(F.col("hits") > text.budget(RATE, FLOOR, F.col("words")))
-    ordered = over.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("size"), (-F.col("hits")).alias("less"), "first", "phrase"))).alias("found"))
+    ordered = frequent_phrases(df, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("size"), (-F.col("hits")).alias("less"), "first", "phrase"))).alias("found"))
     none = F.array().cast("array<struct<less: bigint, place: int, phrase: string>>")
     kept = F.aggregate(
         "found", none, lambda acc, x: F.when(F.exists(acc, lambda k: F.contains(k["phrase"], x["phrase"])), acc).otherwise(F.array_append(acc, F.struct(x["less"].alias("less"), F.size(acc).alias("place"), x["phrase"].alias("phrase"))))

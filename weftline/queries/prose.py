@@ -38,8 +38,7 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("repeated_phrases_counts", f"with {GRAMS_SQL} select doc_id, n, phrase, count(*) as hits from f group by doc_id, n, phrase, words having count(*) > greatest(5, round_even(3.0 * words / 1000, 0))")
 def repeated_phrases_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = copy_gate.phrase_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.where(F.col("hits") > text.budget(copy_gate.RATE, copy_gate.FLOOR, F.col("words"))).select("doc_id", "n", "phrase", "hits")
+    return copy_gate.frequent_phrases(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n", "phrase", "hits")
 
 
 @query("repeated_ngrams", f"""with w as (select doc_id, {TOKENS_SQL} as w from documents), big as (select * from w where len(w) >= 150),
@@ -47,8 +46,7 @@ def repeated_phrases_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  select doc_id, n, array_to_string(gram, ' ') as phrase, count(*) as hits from g group by doc_id, n, words, array_to_string(gram, ' ') having count(*) > greatest(5, round_even(3.0 * words / 1000, 0))""")
 def repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same count without word classes, which the driver's invented prose hardly meets."""
-    rows = copy_gate.phrase_counts(table(spark, sf_dir, "documents"), "doc_id", "text", habits=False)
-    return rows.where(F.col("hits") > text.budget(copy_gate.RATE, copy_gate.FLOOR, F.col("words"))).select("doc_id", "n", "phrase", "hits")
+    return copy_gate.frequent_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", habits=False).select("doc_id", "n", "phrase", "hits")
 
 
 @query("repeated_phrases_top3")
