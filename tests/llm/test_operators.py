@@ -228,6 +228,26 @@ def test_similar(spark, edge):
     assert similar.group(frame(spark, [])).collect() == []
 
 
+def test_links_are_counted(spark):
+    """Every link counts, also between copies of one component that spans groups, and equal sets count document by document."""
+    r = random.Random(19)
+    rows = []
+    for k, copies in enumerate([300, 9, 4]):
+        text = prose(1, 800 + k, 60)[0].split()
+        for c in range(copies):
+            own = list(text)
+            for _ in range(r.randint(0, 2)):
+                own[r.randrange(len(own))] = f"new{r.randrange(99)}"
+            rows.append((1000 * (k + 1) + c, " ".join(own)))
+    rows += [(5000, rows[0][1]), (5001, rows[0][1].upper()), (6000, "all alone here"), (6001, None), (6002, "")]
+    sets = shingle_sets(rows)
+    want = {i: sum(1 for j in sets if j != i and (c := len(sets[i] & sets[j])) and 5 * c >= 4 * len(sets[i] | sets[j])) for i in sets}
+    got = {x.doc_id: (x.n_links, x.component_id) for x in similar.linked(frame(spark, rows + [rows[0], (None, rows[0][1])])).collect()}
+    assert got.pop(None) == (None, None)
+    assert {i: n for i, (n, _) in got.items()} == want and max(want.values()) > 128
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(0, 60)] + [(200, x) for x in range(201, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)]

@@ -210,25 +210,34 @@ def among(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def verify(docs: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
-    """Links (a, b) between queries and members of groups: asked (doc_id, grp) against members (doc_id, grp), by whole shingle sets.
+    """(node, links, root) of what queries of groups link with: asked against members, both (doc_id, grp, comp, own, docs), by whole shingle sets.
 
     Queries of a group are dealt to blocks of about BLOCK. A block holds the
     texts of its group (GROUP at most) and of its queries. The group's tokens
     are united; a query that shares too few tokens with the union for any
-    member is passed over, else its overlap with every member is counted.
+    member is passed over, else its overlap with every member is counted. A
+    pair counts where its later side (by comp, own, doc_id) is the query.
+    links are the documents (docs of each class) that a node links with in the
+    block, and root is a node that links lead to from it, so a block gives a
+    row for each node and not for each pair.
     """
     size = asked.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    queries = asked.join(size, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"))
-    opened = members.join(size, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"))
-    parts = held(queries.unionByName(opened), "opened")
+    rest = ["comp", "own", "docs"]
+    queries = asked.join(size, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"), F.lit(False).alias("member"), *rest)
+    opened = members.join(size, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), F.lit(True).alias("member"), *rest)
+    once = queries.unionByName(opened).groupBy("doc_id", "grp", "block").agg(F.max("query").alias("query"), F.max("member").alias("member"), *[F.first(c).alias(c) for c in rest])
+    parts = held(once, "opened")
     texts = among(docs, parts, "doc_id").join(parts, "doc_id")
 
     def look(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates(["doc_id", "text"])
         sets = shingles(part["text"].tolist())
-        ids, query = part["doc_id"].to_numpy(), part["query"].to_numpy(bool)
-        own = [k for k in np.flatnonzero(~query) if len(sets[k])]
-        out = []
-        if own:
+        ids, query, count_of = part["doc_id"].to_numpy(), part["query"].to_numpy(bool), part["docs"].to_numpy()
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, part["own"].to_numpy(), part["comp"].to_numpy()))] = np.arange(len(ids))
+        own = np.array([k for k in np.flatnonzero(part["member"].to_numpy(bool)) if len(sets[k])], np.int64)
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        if len(own):
             flat = np.concatenate([sets[k] for k in own])
             order = np.argsort(flat, kind="stable")
             union, first = np.unique(flat[order], return_index=True)
@@ -247,64 +256,95 @@ def verify(docs: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
                 count = first[at + 1] - first[at]
                 row = np.arange(count.sum()) + np.repeat(first[at] - (np.cumsum(count) - count), count)
                 overlap = np.bincount(holder[row], minlength=len(own))
-                for j in np.flatnonzero(9 * overlap >= 4 * (len(q) + sizes)):
-                    out.append((int(ids[k]), int(ids[own[j]])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                hit = own[(9 * overlap >= 4 * (len(q) + sizes)) & (rank[own] < rank[k]) & (ids[own] != ids[k])]
+                if len(hit):
+                    links[k] += count_of[hit].sum()
+                    links[hit] += count_of[k]
+                    roots = np.unique(root[np.append(hit, k)])
+                    if len(roots) > 1:
+                        root[np.isin(root, roots)] = roots[0]
+        some = links > 0
+        return pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[root[some]]}).astype("int64")
 
-    return texts.groupBy("grp", "block").applyInPandas(look, "a bigint, b bigint").where("a <> b").distinct()
+    return texts.groupBy("grp", "block").applyInPandas(look, "node bigint, links bigint, root bigint")
 
 
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: size of its shingle set and the smallest id that links reach.
+    """(id, n_shingles, component_id) of every row: size of its shingle set and the smallest id that links reach; see linked()."""
+    return linked(df, id_col, text_col).drop("n_links")
+
+
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, n_links, component_id) of every row: size of its shingle set, number of other documents that it links with and the smallest id that links reach.
 
     Exact: two documents link if their sets of SHINGLE-word shingles (A-Z
     lower-cased, words between white space) have a Jaccard similarity of 0.8 or
     more. A document with fewer words has all of them as its one shingle; one
     without words, or with a null text, has none and links with nothing. Equal
-    sets are one class from the start. A null id has a null component; rows
-    that repeat an id count as one document.
+    sets are one class from the start. A null id has a null component and null
+    links; rows that repeat an id count as one document.
 
     1. Classes that share a band of minimum hashes are checked against the
     smallest id of the band, which puts most copies into components in linear
-    time. 2. Components are cut into groups of at most GROUP classes. The
-    matrix of tokens and groups holds the first tokens (rare first) of all
-    members. A class asks for the groups of other components with which it
-    shares enough first tokens for the similarity to be possible; these are
-    opened and compared whole. So no link is lost, and no pair within a
-    component is made.
+    time. 2. Components are cut into groups of at most GROUP classes. A class
+    asks for its own group and, of its component, those groups before its own
+    whose sizes allow a link. 3. The matrix of tokens and groups holds the
+    first tokens (rare first) of all members. A class asks for the groups of
+    other components with which it shares enough first tokens for the
+    similarity to be possible. 4. All groups asked for are opened and compared
+    whole, so each pair of classes that links is found once; components come
+    from these links. Work within a component grows with the square of its
+    classes, what is written with its classes for each block.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     seen = held(described(df, id_col, text_col), "described")
     rows = seen.where("slice is null").select("doc_id", "n", "low", "high", "bands")
-    classes = held(rows.where("n > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    real = rows.where("n > 0 and doc_id is not null")
+    counts = real.select("low", "high", "doc_id").distinct().groupBy("low", "high").agg(F.count("*").alias("docs"))
+    classes = real.groupBy("low", "high").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = held(classes.join(counts, ["low", "high"]), "classes")
     key = classes.select("rep", F.explode("bands").alias("band"))
     hubs = key.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     near = key.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("doc_id"), F.col("hub").alias("grp")).distinct()
     near = held(near, "near")
-    links = held(verify(docs, near.select(F.col("grp").alias("doc_id"), "grp").distinct(), near), "links")
-    linked = components(links)
-    sized = linked.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    placed = linked.join(sized, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("groups"))).alias("grp"))
-    nodes = classes.select("rep", "n").join(placed, "rep", "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"), F.coalesce("grp", F.xxhash64("rep")).alias("grp"))
+    alone = [F.col("doc_id").alias("comp"), F.lit(0).cast("long").alias("own"), F.lit(1).cast("long").alias("docs")]
+    hub = near.select(F.col("grp").alias("doc_id"), "grp").distinct()
+    first = held(verify(docs, hub.select("*", *alone), near.select("*", *alone)).select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
+    together = components(first)
+    sized = together.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    placed = together.join(sized, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("groups"))).alias("grp"), F.lit(True).alias("many"))
+    nodes = classes.select("rep", "n", "docs").join(placed, "rep", "left").select("rep", "n", "docs", F.coalesce("comp", "rep").alias("comp"), F.coalesce("grp", F.xxhash64("rep")).alias("grp"), F.coalesce("many", F.lit(False)).alias("many"))
     bounds = nodes.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     nodes = held(nodes.join(bounds, "grp"), "nodes")
+    n, low, high = F.col("n"), F.greatest(F.col("least"), F.floor((4 * F.col("n") + 4) / 5)), F.least(F.col("most"), F.floor(5 * F.col("n") / 4))
+
+    within = nodes.where("many")
+    groups = within.select("comp", F.col("grp").alias("g"), "least", "most").distinct()
+    inner = within.select("rep", "comp", "grp", "n").join(groups, "comp").where((F.col("g") <= F.col("grp")) & (low <= high)).select(F.col("rep").alias("doc_id"), F.col("g").alias("grp"))
 
     tokens = prefixes(df, levels(seen), id_col, text_col).select(F.col("doc_id").cast("long").alias("rep"), "tokens")
     cells = tokens.join(nodes.select("rep", "comp"), "rep").select("comp", "rep", F.explode("tokens").alias("token")).repartition("token")
     common = cells.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("token")
     cells = held(cells.join(common, "token"), "cells").join(nodes, ["rep", "comp"])
     matrix = cells.select("token", F.col("grp").alias("g"), F.col("comp").alias("c"), "least", "most").distinct()
-    n, low, high = F.col("n"), F.greatest(F.col("least"), F.floor((4 * F.col("n") + 4) / 5)), F.least(F.col("most"), F.floor(5 * F.col("n") / 4))
     shares = cells.select("token", "rep", "comp", "n").join(matrix, "token").where((F.col("comp") > F.col("c")) & (low <= high)).groupBy("rep", "g", "n", "least", "most").agg(F.count("*").alias("c"))
     able = ((low <= n) & (45 * F.col("c") + 16 * n - 20 * low >= 0)) | ((high >= n) & (45 * F.col("c") + 16 * high - 20 * n >= 0))
-    asked = held(shares.where(able).select(F.col("rep").alias("doc_id"), F.col("g").alias("grp")), "asked")
-    opened = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp")
-    more = held(verify(docs, opened, asked), "links")
-    joined = components(links.unionByName(more)) if more.limit(1).count() else linked
-    final = classes.select("low", "high", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
+    asked = held(inner.unionByName(shares.where(able).select(F.col("rep").alias("doc_id"), F.col("g").alias("grp"))).distinct(), "asked")
+    about = nodes.select(F.col("rep").alias("doc_id"), "comp", F.col("grp").alias("own"), "docs")
+    opened = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp", "comp", F.col("grp").alias("own"), "docs")
+    links = held(verify(docs, opened, asked.join(about, "doc_id")), "links")
+    joined = components(links, "node", "root")
+    others = links.groupBy(F.col("node").alias("linker")).agg(F.sum("links").alias("links"))
+    final = (
+        classes.select("low", "high", "rep", "docs")
+        .join(joined, F.col("rep") == F.col("node"), "left")
+        .join(others, F.col("rep") == F.col("linker"), "left")
+        .select("low", "high", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    )
     kind = df.schema[id_col].dataType.simpleString()
+    known = F.col("doc_id").isNotNull()
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"), "low", "high")
         .join(final, ["low", "high"], "left")
-        .select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component").cast(kind), F.col("doc_id"))).alias("component_id"))
+        .select(F.col("doc_id").alias(id_col), "n_shingles", F.when(known, F.coalesce("links", F.lit(0))).alias("n_links"), F.when(known, F.coalesce(F.col("component").cast(kind), F.col("doc_id"))).alias("component_id"))
     )
