@@ -386,6 +386,27 @@ def test_damaged_store_fails(spark, tmp_path):
         token_store.summary(spark, store).collect()
 
 
+def test_damaged_recipes_fail(spark, tmp_path):
+    """Swapped chunks of the same total length, a lost recipe and a lost chunk fail, in both ways of reading back."""
+    rows = [(i, prose(1, 30 + i, 900)[0]) for i in range(6)]
+    store = token_store.write(frame(spark, rows), public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "store"))
+    recipes, chunks = spark.read.parquet(f"{store}/recipes"), spark.read.parquet(f"{store}/chunks")
+    assert recipes.where("doc_id = 2 and size(chunks) > 1").count() == 1
+    named = recipes.where("doc_id = 2").first().chunks[0]
+    bad = {
+        "recipe of document 2 is damaged": ("recipes", recipes.withColumn("chunks", F.when(F.col("doc_id") == 2, F.reverse("chunks")).otherwise(F.col("chunks")))),
+        "shard 0 is damaged": ("recipes", recipes.where("doc_id <> 3")),
+        "doesn't have": ("chunks", chunks.where(F.col("digest") != F.lit(named))),
+    }
+    for k, (said, (part, rows)) in enumerate(bad.items()):
+        to = tmp_path / f"bad{k}"
+        for name in ("recipes", "chunks", "manifest"):
+            (rows if name == part else spark.read.parquet(f"{store}/{name}")).write.parquet(f"{to}/{name}")
+        for way in (token_store.summary, token_store.read):
+            with pytest.raises(Exception, match=said):
+                way(spark, str(to)).collect()
+
+
 def test_empty_store(spark, tmp_path):
     store = token_store.write(frame(spark, []), public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "store"))
     assert token_store.summary(spark, store).collect() == []

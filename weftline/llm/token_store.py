@@ -273,6 +273,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sealed(key, part):
+    """The manifest's row of one shard, from its recipes."""
+    import pandas as pd
+
+    part = part.sort_values(["doc_id", "row"], na_position="first")
+    return pd.DataFrame({"shard": [key[0]], "docs": [len(part)], "n_tokens": [int(part["n_tokens"].sum())], "root": [merkle(part["root"].tolist())]})
+
+
 def write(df: DataFrame, path: str, to: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the store of a table of documents into the folder `to` and returns it.
 
@@ -311,12 +319,6 @@ def write(df: DataFrame, path: str, to: str, end: int = 2, id_col: str = "doc_id
     recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").withColumn("shard", F.spark_partition_id()).write.options(**CODEC).parquet(f"{to}/recipes")
     remove(spark, staged)
 
-    def sealed(key, part):
-        import pandas as pd
-
-        part = part.sort_values(["doc_id", "row"], na_position="first")
-        return pd.DataFrame({"shard": [key[0]], "docs": [len(part)], "n_tokens": [int(part["n_tokens"].sum())], "root": [merkle(part["root"].tolist())]})
-
     spark.read.parquet(f"{to}/recipes").select("shard", "doc_id", "row", "n_tokens", "root").groupBy("shard").applyInPandas(sealed, "shard int, docs bigint, n_tokens bigint, root binary").write.parquet(f"{to}/manifest")
     return to
 
@@ -375,17 +377,41 @@ def read_chunks(spark: SparkSession, store: str, width: int) -> DataFrame:
     return spark.read.parquet(f"{store}/chunks").mapInArrow(run, "digest binary, n int, crc bigint")
 
 
+def sound_shards(spark: SparkSession, store: str) -> DataFrame:
+    """(shard, n_tokens) of the manifest. Fails on a recipe whose chunk digests don't have its root, and on a shard whose recipes don't have the documents, tokens and root that the manifest names."""
+
+    def rooted(parts):
+        for part in parts:
+            for doc, chunks, root in zip(part.column("doc_id").to_pylist(), part.column("chunks").to_pylist(), part.column("root").to_pylist(), strict=True):
+                if merkle(chunks or []) != root:
+                    raise ValueError(f"the recipe of document {doc} is damaged")
+            yield part.select(["shard", "doc_id", "row", "n_tokens", "root"])
+
+    def same(key, part, named):
+        if len(part) and len(named) == 1:
+            own, told = sealed(key, part).iloc[0], named.iloc[0]
+            if own["docs"] == told["docs"] and own["n_tokens"] == told["n_tokens"] and own["root"] == told["root"]:
+                return named[["shard", "n_tokens"]]
+        raise ValueError(f"shard {key[0]} is damaged: its recipes and the manifest differ")
+
+    recipes = spark.read.parquet(f"{store}/recipes").select("shard", "doc_id", "row", "n_tokens", "root", "chunks")
+    kind = recipes.schema["doc_id"].dataType.simpleString()
+    checked = recipes.mapInArrow(rooted, f"shard int, doc_id {kind}, row bigint, n_tokens bigint, root binary")
+    return checked.groupBy("shard").cogroup(spark.read.parquet(f"{store}/manifest").groupBy("shard")).applyInPandas(same, "shard int, n_tokens bigint")
+
+
 def summary(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a store.
 
     start is the number of ids of all documents before it; ids_crc32 is taken
     over all its ids as little-endian unsigned 32-bit numbers, put together
     from the chunks that its recipe names. A recipe that names a chunk the
-    store doesn't have, or other ids than it counts, fails.
+    store doesn't have, or other ids than it counts, fails, as does one that
+    differs from its root or a shard that differs from the manifest.
     """
     recipes = spark.read.parquet(f"{store}/recipes")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spark.read.parquet(f"{store}/manifest").select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
+    offsets = sound_shards(spark, store).select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.select("doc_id", "row", "n_tokens", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within")).join(offsets, "shard")
     named = recipes.select("row", F.posexplode("chunks").alias("pos", "digest"))
@@ -411,15 +437,33 @@ def summary(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
 
 
 def read(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
-    """(doc_id, row, ids) of every document, put together again from chunks and recipes."""
+    """(doc_id, row, ids) of every document, put together again from chunks and recipes. Fails on whatever summary() fails on."""
     kind = f"<u{width}"
 
-    @F.pandas_udf("array<bigint>")
-    def numbers(parts):
-        return parts.map(lambda own: np.frombuffer(b"".join(p["ids"] for p in own), kind).astype(np.int64))
+    def sound(batch):
+        for part in batch:
+            for d, raw in zip(part.column("digest").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                if digest(raw) != d:
+                    raise ValueError(f"chunk {d.hex()} is damaged")
+            yield part
 
-    named = spark.read.parquet(f"{store}/recipes").select("doc_id", "row", F.posexplode("chunks").alias("pos", "digest"))
-    return named.join(spark.read.parquet(f"{store}/chunks"), "digest").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select("doc_id", "row", numbers("parts").alias("ids"))
+    @F.pandas_udf("array<bigint>")
+    def numbers(parts, n):
+        out = []
+        for own, size in zip(parts, n, strict=True):
+            if any(p["ids"] is None for p in own):
+                raise ValueError("a recipe names a chunk that the store doesn't have")
+            out.append(np.frombuffer(b"".join(p["ids"] for p in own), kind).astype(np.int64))
+            if len(out[-1]) != size:
+                raise ValueError("a recipe counts other ids than its chunks hold")
+        return pd.Series(out)
+
+    import pandas as pd
+
+    recipes = spark.read.parquet(f"{store}/recipes").join(sound_shards(spark, store).select("shard"), "shard")
+    named = recipes.select("doc_id", "row", "n_tokens", F.posexplode("chunks").alias("pos", "digest"))
+    chunks = spark.read.parquet(f"{store}/chunks").select("digest", "ids").mapInArrow(sound, "digest binary, ids binary")
+    return named.join(chunks, "digest", "left").groupBy("doc_id", "row", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select("doc_id", "row", numbers("parts", "n_tokens").alias("ids"))
 
 
 def new_store(spark: SparkSession) -> str:
