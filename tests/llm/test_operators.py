@@ -121,6 +121,13 @@ def test_licenses(spark, edge):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_a_repeated_gram_counts_once(spark):
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, "of this " * 20), (2, "the license " * 10), (3, licenses.NOTICES[0][0]), (4, long), (5, " ".join(long.split()[:70])), (6, "w1 w2 " * 90)]
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.scan(frame(spark, rows), notices=[*licenses.NOTICES, (long, "long")]).collect()}
+    assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("mit", 1.0), 4: ("long", 1.0), 5: ("", 0.0), 6: ("", 0.0)}
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan(frame(spark, [(1, "mit license")]).limit(1))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

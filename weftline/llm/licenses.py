@@ -32,6 +32,8 @@ K = 2
 NEAR = 2
 #: Share of a notice's grams that a span must hold.
 COVER = 0.8
+#: Places of a template that one number holds as bits.
+BITS = 63
 
 
 def words(text: Column) -> Column:
@@ -60,7 +62,7 @@ def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id
     templates and its words are compared; hits vote for the diagonal (place in
     the text less place in the template). A phrase takes only diagonals with
     all its grams. A notice takes runs of diagonals that are at most NEAR apart
-    and together hold COVER of its grams. Rows that repeat with the same id
+    and together hold COVER of its grams, each counted once. Rows that repeat with the same id
     and text give the same spans once.
     """
     grams = F.broadcast(template_grams(df.sparkSession, phrases, notices))
@@ -76,14 +78,19 @@ def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id
     key = ["doc_id", "text_hash", "template", "label", "phrase", "grams"]
     hits = rolled.join(grams, (F.col("h") == F.col("hash")) & (F.col("a") == F.col("one")) & (F.col("b") == F.col("two")))
     hits = hits.select(*key, "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    diagonals = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
+    # the places of a span as bits, so that a place counts once however often it is hit
+    place = F.col("at") - F.col("diagonal")
+    parts = range(max(len(line.split(" ")) for line, _ in [*phrases, *notices]) // BITS + 1)
+    masks = [F.bit_or(F.when(F.floor(place / BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (place % BITS).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"places{k}") for k in parts]
+    held = sum((F.bit_count(F.bit_or(f"places{k}")) for k in parts), F.lit(0))
+    diagonals = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), *masks)
     along = Window.partitionBy(*key).orderBy("diagonal")
     fresh = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR)
     return (
         diagonals.where("not phrase or votes = grams")
         .withColumn("run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(along))
         .groupBy(*key, "run")
-        .agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.least(F.lit(1.0), F.sum("votes") / F.col("grams")).alias("cover"))
+        .agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), (held / F.col("grams")).alias("cover"))
         .where(F.col("cover") >= COVER)
         .select("doc_id", "text_hash", "label", "phrase", "first", "last", "cover")
     )
