@@ -51,8 +51,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that held() has written and that are still there, by their path.
+_written: set[str] = set()
+
+
 def held(df: DataFrame, name: str = "part") -> DataFrame:
-    """df as written to a table in the shared folder: computed once, and read again by whoever needs it."""
+    """df as written to a table in the shared folder: computed once, and read again by whoever needs it. It stays until discard() or release()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _written.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._held_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of held() that nothing reads any more."""
+    for t in tables:
+        path = t._held_at
+        _written.discard(path)
+        remove(t.sparkSession, path)
+
+
+def kept(spark: SparkSession, path: str) -> str:
+    """path, to be deleted by release()."""
+    _written.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that held() has written and kept() has named, once the results that read them are no longer needed."""
+    for path in sorted(_written):
+        remove(spark, path)
+    _written.clear()
