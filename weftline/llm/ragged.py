@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
-#: A sequence with more symbols is merged by a heap, in n log n steps, as rounds over it would be many.
-LONG = 4096
 NONE = np.int32(2**31 - 1)
 
 
@@ -19,6 +15,11 @@ class PairTable:
         order = np.argsort(key, kind="stable")
         self.base, self.key = base, key[order]
         self.rank, self.merged = rank[order].astype(np.int32), merged[order].astype(np.int32)
+        # A merge is settled if no pair with its symbol ranks as low: then it makes nothing that goes before other places of its rank.
+        least = np.full(base, NONE, np.int32)
+        np.minimum.at(least, left, rank.astype(np.int32))
+        np.minimum.at(least, right, rank.astype(np.int32))
+        self.settled = least[self.merged] > self.rank
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE if there is none) and its place in the table."""
@@ -27,78 +28,37 @@ class PairTable:
         at[at == len(self.key)] = 0
         return np.where(self.key[at] == key, self.rank[at], NONE), at
 
-    def by_heap(self, symbols: np.ndarray) -> list[int]:
-        """One long sequence: lowest rank first, ties to the leftmost."""
-        sym = symbols.tolist()
-        n = len(sym)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            r, at = self.ranks(np.array([sym[i]]), np.array([sym[j]]))
-            if r[0] != NONE:
-                heapq.heappush(heap, (int(r[0]), i, sym[i], sym[j], int(self.merged[at[0]])))
-
-        rank, at = self.ranks(symbols[:-1], symbols[1:])
-        for i in np.flatnonzero(rank != NONE).tolist():
-            heap.append((int(rank[i]), i, sym[i], sym[i + 1], int(self.merged[at[i]])))
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = nxt[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j] = m, -1
-            nxt[i] = nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-                push(i, nxt[i])
-            if prev[i] >= 0:
-                push(prev[i], i)
-        return [s for s in sym if s != -1]
-
 
 def merge(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merges ragged sequences until no pair of the table is left.
 
     symbols holds all sequences one behind the other, lengths their sizes. In
-    each round every sequence finds its lowest-rank adjacent pair (leftmost of
-    equals), all of them merge at once, and sequences without a pair leave.
+    each round every sequence merges its lowest-rank pair, all of them at
+    once: each place of that pair from the left, or only the leftmost where
+    the new symbol could take part in a pair of as low a rank. Only pairs
+    beside a merge are looked up again. Sequences without a pair leave.
     Returns the surviving symbols and their number in each sequence.
     """
     n = len(lengths)
-    out_len = np.asarray(lengths, np.int64).copy()
+    size = np.asarray(lengths, np.int64).copy()
     pieces: list[np.ndarray] = [np.empty(0, np.int32)] * n
-    seq = np.arange(n)
-    sym, size = np.asarray(symbols, np.int32), out_len.copy()
-    for k in np.flatnonzero(size > LONG).tolist():
-        at = int(size[:k].sum())
-        pieces[k] = np.array(table.by_heap(sym[at : at + size[k]]), np.int32)
-    if (long := size > LONG).any():
-        sym = sym[~np.repeat(long, size)]
-        seq, size = seq[~long], size[~long]
+    seq = np.flatnonzero(size > 0)
+    size = size[seq]
+    sym = np.array(symbols, np.int32)
+    last = np.zeros(len(sym), bool)
+    last[np.cumsum(size) - 1] = True
+    rank, at = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+    pair = np.flatnonzero(~last)
+    rank[pair], at[pair] = table.ranks(sym[pair], sym[pair + 1])
     ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(seq):
         start = np.cumsum(size) - size
-        last = np.zeros(len(sym), bool)
-        last[(start + size - 1)[size > 0]] = True
-        if len(sym) > 1:
-            rank, at = table.ranks(sym[:-1], sym[1:])
-            rank = np.append(rank, NONE)
-            at = np.append(at, 0)
-        else:
-            rank, at = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
-        rank[last] = NONE
-        full = size > 0
-        least = np.full(len(seq), NONE, np.int32)
-        if full.any():
-            least[full] = np.minimum.reduceat(rank, start[full])
+        least = np.minimum.reduceat(rank, start)
         done = least == NONE
         if done.any():
-            held = np.repeat(done, size)
-            ended.append((seq[done], size[done], sym[held]))
-            keep = ~held
-            sym, rank, at = sym[keep], rank[keep], at[keep]
+            gone = np.repeat(done, size)
+            ended.append((seq[done], size[done], sym[gone]))
+            sym, rank, at, last = (x[~gone] for x in (sym, rank, at, last))
             seq, size, least = seq[~done], size[~done], least[~done]
             if not len(seq):
                 break
@@ -107,11 +67,26 @@ def merge(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[n
         owner = np.searchsorted(start, hits, side="right") - 1
         first = np.ones(len(hits), bool)
         first[1:] = owner[1:] != owner[:-1]
-        hits = hits[first]
+        # of places that overlap every other one, from the left
+        run = np.ones(len(hits), bool)
+        run[1:] = (hits[1:] != hits[:-1] + 1) | first[1:]
+        step = np.arange(len(hits))
+        even = (step - np.maximum.accumulate(np.where(run, step, 0))) % 2 == 0
+        settled = np.logical_and.reduceat(table.settled[at[hits]], np.flatnonzero(first))
+        take = first | even & np.repeat(settled, np.diff(np.append(np.flatnonzero(first), len(hits))))
+        hits, owner = hits[take], owner[take]
         sym[hits] = table.merged[at[hits]]
+        last[hits] = last[hits + 1]
         keep = np.ones(len(sym), bool)
         keep[hits + 1] = False
-        sym, size = sym[keep], size - 1
+        sym, rank, at, last = (x[keep] for x in (sym, rank, at, last))
+        size -= np.bincount(owner, minlength=len(seq))
+        hits -= np.arange(len(hits))
+        rank[hits] = NONE
+        left = hits[hits > 0] - 1
+        pair = np.concatenate([hits, left])
+        pair = pair[~last[pair]]
+        rank[pair], at[pair] = table.ranks(sym[pair], sym[pair + 1])
     for ids, sizes, held in ended:
         for k, part in zip(ids.tolist(), np.split(held, np.cumsum(sizes)[:-1]), strict=True):
             pieces[k] = part

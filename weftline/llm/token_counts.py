@@ -42,12 +42,14 @@ class ByteBpe:
         self.start = np.array([vocab[c] for c in byte_symbols()], np.int32)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        # a character that all special strings hold, if there is one: a text without it holds none
+        self.mark = next((c for c in sorted(set.intersection(*map(set, special)))), "") if special else ""
         self.split = regex.compile(SPLIT)
         self.known: dict[str, int] = {}
 
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and how many special strings stand in it (each is one token)."""
-        if self.special is None or "<" not in text:
+        if self.special is None or self.mark not in text:
             return self.split.findall(text), 0
         parts = self.special.split(text)
         return [t for p in parts for t in self.split.findall(p)], len(parts) - 1
