@@ -4,28 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a vectorised operator holds; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
 
-#: Rows of an Arrow batch, where the session leaves Spark's own number: whole texts in batches of 10,000 would fill an executor's memory outside the heap.
-BATCH_ROWS = 512
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches kept small unless it has been told otherwise."""
-    conf = df.sparkSession.conf
-    if conf.get(_ROWS, "10000") == "10000":
-        conf.set(_ROWS, str(BATCH_ROWS))
-    return df
-
-
 #: What the running Python worker keeps between tasks: one model, so that those of earlier stages don't fill its memory.
 _kept: tuple = (None, None)
 
@@ -39,9 +27,21 @@ def only(key, make: Callable[[], object] = lambda: None):
     return _kept[1]
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns with any name stay out of an operator."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns beside those of df: the given ones, with as many _ behind them as make them new."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_keys(text_col: str) -> list[Column]:
+    """text_low and text_high: 128 bits that tell the texts of one id apart, by two hashes of different seeds."""
+    text = F.col(f"`{text_col}`")
+    return [F.xxhash64(text).alias("text_low"), F.xxhash64(F.lit(5), text).alias("text_high")]
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def arrow_rows(df: DataFrame, column: str, add: Callable, schema: str, key) -> D
 
     from pyspark.sql.types import StructType
 
-    return bounded(df).mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
 
 
 def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
@@ -82,4 +82,28 @@ def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for part in steps(batch, column):
                 yield step(part)
 
-    return bounded(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+class Spelling:
+    """The bytes of numbered units, to compare units that have one hash."""
+
+    def __init__(self):
+        self.raw, self.first, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, units: list[bytes]) -> None:
+        size = np.array([len(u) for u in units], np.int64)
+        self.first = np.append(self.first, len(self.raw) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.raw = np.append(self.raw, np.frombuffer(b"".join(units), np.uint8))
+
+    def differ(self, number: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of the units at begin, those whose bytes are not those of their number."""
+        same = self.size[number] == size
+        if same.all():
+            at = np.arange(int(size.sum()))
+            shift = np.cumsum(size) - size
+            bad = self.raw[at + np.repeat(self.first[number] - shift, size)] != flat[at + np.repeat(begin - shift, size)]
+            return np.unique(np.repeat(np.arange(len(size)), size)[bad]) if bad.any() else np.zeros(0, np.int64)
+        some = np.flatnonzero(same)
+        return np.union1d(np.flatnonzero(~same), some[self.differ(number[some], flat, begin[some], size[some])])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import batches
+from weftline.llm.batches import text_keys
 
 #: A cut is the least gear hash among so many bytes on either side, so chunks have 49 bytes on average and 25 at least.
 REACH = 24
@@ -34,9 +35,11 @@ def cuts(raw: list[bytes]) -> list[np.ndarray]:
 
     The gear hash of a place depends on the MEMORY bytes that end there. A
     place is a cut if its hash is the least within REACH places before and
-    after it, the leftmost of equal ones, and a character ends there. So the
-    cuts of a passage, but for its first REACH + MEMORY and its last REACH
-    bytes, are the same wherever it stands.
+    after it and a character ends there. So the cuts of a passage, but for its
+    first REACH + MEMORY and its last REACH bytes, are the same wherever it
+    stands. Where equal hashes stand within REACH of one another, as in text
+    that repeats with a short period, those more than REACH apart are cuts:
+    whole periods, so the chunks of such a stretch are equal too.
     """
     gap = b"\0" * (MEMORY + REACH)
     begin = np.cumsum([len(gap), *(len(r) + len(gap) for r in raw)])[:-1]
@@ -59,7 +62,8 @@ def cuts(raw: list[bytes]) -> list[np.ndarray]:
     m = np.minimum(m[:-8], m[8:])  # m[i]: least of h[i : i + REACH]
     n = len(h) - 2 * REACH
     mid = h[REACH : REACH + n]
-    hit = np.flatnonzero((mid < m[:n]) & (mid <= m[REACH + 1 : REACH + 1 + n])) + REACH if n > 0 else np.empty(0, np.int64)
+    hit = np.flatnonzero((mid < most) & (mid <= m[:n]) & (mid <= m[REACH + 1 : REACH + 1 + n])) + REACH if n > 0 else np.empty(0, np.int64)
+    hit = spaced(hit)
     own = np.searchsorted(begin, hit, side="right") - 1
     at = hit + 1 - begin[own] if len(begin) else hit
     real = at < sizes[own] if len(begin) else np.zeros(0, bool)
@@ -67,14 +71,29 @@ def cuts(raw: list[bytes]) -> list[np.ndarray]:
     return np.split(at, np.cumsum(np.bincount(own, minlength=len(raw)))[:-1]) if raw else []
 
 
+def spaced(at: np.ndarray) -> np.ndarray:
+    """Of places, those that stand more than REACH after the last one that is kept, in each run of places at most REACH apart."""
+    near = np.flatnonzero(np.diff(at) <= REACH) + 1
+    if not len(near):
+        return at
+    keep, places, last = np.ones(len(at), bool), at.tolist(), -1
+    for k in near.tolist():
+        if keep[k - 1]:
+            last = places[k - 1]
+        if places[k] - last <= REACH:
+            keep[k] = False
+    return at[keep]
+
+
 def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, place) of every chunk of every text; place packs start and size in bytes. Null and empty texts and null ids have none."""
+    """(doc_id, text_low, text_high, low, high, place) of every chunk of every text: the 128-bit digest of the chunk, and its start and size in bytes as one number. Null and empty texts and null ids have none."""
     kind = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null and text <> ''")
+    own = ["doc_id", "text_low", "text_high"]
+    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *text_keys(text_col)).where("doc_id is not null and text is not null and text <> ''")
 
     def make():
         batches.only("passages")
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             raw = [t.encode() for t in part.column("text").to_pylist()]
@@ -87,49 +106,57 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 sizes.append(np.diff(edge))
                 count.append(len(edge) - 1)
             place = (np.concatenate(starts) << SHIFT | np.concatenate(sizes)) if raw else np.empty(0, np.int64)
-            owner = np.repeat(np.arange(len(raw)), count)
-            return pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(place)], ["doc_id", "digest", "place"])
+            owner = pa.array(np.repeat(np.arange(len(raw)), count))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([*(part.column(c).take(owner) for c in own), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(place)], [*own, "low", "high", "place"])
 
         return step
 
-    return batches.map_steps(src, make, f"doc_id {kind}, digest bigint, place bigint")
+    return batches.map_steps(src, make, f"doc_id {kind}, text_low bigint, text_high bigint, low bigint, high bigint, place bigint")
 
 
 def shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, first_doc, n_passages, shared_bytes, removed_bytes, removed) of every document that shares a passage with another.
+    """(id, text_low, text_high, first_doc, n_passages, shared_bytes, removed_bytes, removed) of every document that shares a passage with another.
 
+    A document is an id and a text (told by text_keys()), so rows that repeat
+    both count as one and rows that repeat an id with other texts as several.
     A passage is a stretch of neighbouring chunks, `least` bytes long at
     least, that all stand in other documents too. The document with the
-    smallest id keeps a chunk; others list it in removed, as spans of bytes of
-    their text. first_doc is the smallest id that holds part of the passages.
-    Copies within one document are left. Rows that repeat an id count as one
-    document.
+    smallest id (then the smallest text_low, text_high) keeps a chunk; others
+    list it in removed, as spans of bytes of their text. first_doc is the
+    smallest id that holds part of the passages. Copies within one document
+    are left. Rows with a null id or a null or empty text give none; other
+    columns are not read.
     """
     rows = chunks(df, id_col, text_col)
-    known = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    mine = rows.join(known, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("place", "first")).alias("held"))
+    who = F.struct("doc_id", "text_low", "text_high")
+    known = rows.groupBy("low", "high").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first < last").select("low", "high", "first")
+    held = rows.join(known, ["low", "high"]).select("doc_id", "text_low", "text_high", F.struct("place", F.col("first.doc_id").alias("first"), (F.col("first") == who).alias("keeps")).alias("chunk"))
+    mine = held.groupBy("doc_id", "text_low", "text_high").agg(F.collect_set("chunk").alias("held"))
     kind = df.schema[id_col].dataType.simpleString()
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+    names = ["doc_id", "text_low", "text_high", "first_doc", "n_passages", "shared_bytes", "removed_bytes", "removed"]
 
     def run(parts):
         for part in parts:
             out = []
-            for doc, held in zip(part.column("doc_id").to_pylist(), part.column("held").to_pylist(), strict=True):
-                own = merged(doc, [(h["place"] >> SHIFT, h["place"] & MASK, h["first"]) for h in held], least)
+            for k, held in enumerate(part.column("held").to_pylist()):
+                own = merged([(h["place"] >> SHIFT, h["place"] & MASK, h["first"], h["keeps"]) for h in held], least)
                 if own:
-                    out.append((doc, *own))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
+                    out.append((k, *own))
+            which, first, *counts, removed = zip(*out, strict=True) if out else [()] * 6
+            take = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], part.schema.field("doc_id").type), pa.array(cols[1], part.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array([[{"begin": a, "end": b} for a, b in c] for c in cols[5]], pa.list_(span))],
-                ["doc_id", "first_doc", "n_passages", "shared_bytes", "removed_bytes", "removed"],
+                [*(part.column(c).take(take) for c in names[:3]), pa.array(first, part.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in counts), pa.array([[{"begin": a, "end": b} for a, b in c] for c in removed], pa.list_(span))],
+                names,
             )
 
-    out = mine.mapInArrow(run, f"doc_id {kind}, first_doc {kind}, n_passages bigint, shared_bytes bigint, removed_bytes bigint, removed array<struct<begin: bigint, `end`: bigint>>")
+    out = mine.mapInArrow(run, f"doc_id {kind}, text_low bigint, text_high bigint, first_doc {kind}, n_passages bigint, shared_bytes bigint, removed_bytes bigint, removed array<struct<begin: bigint, `end`: bigint>>")
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def merged(doc, held: list[tuple], least: int) -> tuple | None:
-    """Passages of one document from its shared chunks (start, size, first document)."""
+def merged(held: list[tuple], least: int) -> tuple | None:
+    """Passages of one document from its shared chunks (start, size, first document, whether this document keeps it): smallest first document, passages, their bytes, bytes that go, spans that go."""
     held = sorted(held)
     runs: list[list[tuple]] = []
     for h in held:
@@ -140,31 +167,40 @@ def merged(doc, held: list[tuple], least: int) -> tuple | None:
     runs = [r for r in runs if sum(h[1] for h in r) >= least]
     if not runs:
         return None
+    flat = [h for r in runs for h in r]
     gone: list[list[int]] = []
-    for start, size, first in (h for r in runs for h in r):
-        if first != doc:
+    for start, size, _, keeps in flat:
+        if not keeps:
             if gone and gone[-1][1] == start:
                 gone[-1][1] += size
             else:
                 gone.append([start, start + size])
-    flat = [h for r in runs for h in r]
     return min(h[2] for h in flat), len(runs), sum(h[1] for h in flat), sum(b - a for a, b in gone), gone
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """df with the removed spans of shared() cut out of the texts; a document of which only white space is left goes."""
-    found = shared(df, id_col, text_col, least).where("removed_bytes > 0").select(F.col(f"`{id_col}`").alias("__doc"), F.col("removed").alias("__gone"))
+    """df with the removed spans of shared() cut out of the texts.
+
+    A document of which only white space is left goes; one that lost nothing
+    stays as it is, null and empty texts and null ids included. Rows that
+    repeat an id are cut each by its own text; repeated rows stay repeated.
+    Columns of any other name are carried along.
+    """
+    doc, low, high, gone = batches.fresh(df, "doc", "low", "high", "gone")
+    found = shared(df, id_col, text_col, least).where("removed_bytes > 0")
+    found = found.select(F.col(f"`{id_col}`").alias(doc), F.col("text_low").alias(low), F.col("text_high").alias(high), F.col("removed").alias(gone))
 
     @F.pandas_udf("string")
-    def cut(text, gone):
+    def cut(text, spans):
         out = text.copy()
-        for k in np.flatnonzero(gone.notna()):
+        for k in np.flatnonzero(spans.notna()):
             raw, at, parts = text.iloc[k].encode(), 0, []
-            for s in gone.iloc[k]:
+            for s in spans.iloc[k]:
                 parts.append(raw[at : s["begin"]])
                 at = s["end"]
             out.iloc[k] = b"".join([*parts, raw[at:]]).decode(errors="replace")
         return out
 
-    text = F.col(f"`{text_col}`")
-    return df.join(found, F.col(f"`{id_col}`") == F.col("__doc"), "left").withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(cut(text, "__gone"))).where("__gone is null or " + f"`{text_col}` rlike '[^ \\t\\r\\n]'").drop("__doc", "__gone")
+    text, (text_low, text_high) = F.col(f"`{text_col}`"), text_keys(text_col)
+    joined = df.join(found, (F.col(f"`{id_col}`") == F.col(doc)) & (text_low == F.col(low)) & (text_high == F.col(high)), "left")
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(cut(text, gone))).where(F.col(gone).isNull() | text.rlike(r"[^ \t\r\n]")).drop(doc, low, high, gone)
