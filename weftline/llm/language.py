@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import batches
+from weftline.session import discard, held
 
 #: Documents that a model is fitted on, about: labelled rows are taken by a hash of their id, as many as make this number.
 FIT_DOCS = 20_000
-#: Words that a model keeps, the most frequent ones over all languages.
-FIT_WORDS = 60_000
 #: Longest character n-gram.
 LONGEST = 4
 #: Weight of an unseen word against a known one.
@@ -26,49 +25,74 @@ UNSEEN = 0.5
 SURE = 24
 #: Words that a task remembers.
 REMEMBER = 250_000
+#: Seed of the 64-bit hash that stands for a word or n-gram, as xxhash64() has it.
+SEED = 42
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    """What xxhash64() gives for each word."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w.encode(), SEED) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+class Table:
+    """Rows by 64-bit hash, which are kept sorted."""
+
+    def __init__(self, key: np.ndarray, rows: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.rows = key[order], rows[order]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Number of the row of each key, -1 without one."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        return np.where(self.key[at] == key, at, -1)
+
+
 @dataclass
 class Model:
-    """Log frequencies by language: a row of a table for each known word and n-gram."""
+    """Log frequencies by language: a row of a table for each known word, and for each n-gram of one size."""
 
     langs: list[str]
-    words: dict[str, int]
-    word_rows: np.ndarray
-    grams: dict[str, int]
-    gram_rows: np.ndarray
+    words: Table
+    grams: list[Table]
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
 
-    def starts(self, word: str) -> list[int]:
-        """Of each letter of an unseen word the longest known n-gram that starts there."""
-        marked, get, out = f" {word} ", self.grams.get, []
-        for i in range(len(marked) - 1):
-            for size in range(LONGEST, 0, -1):
-                got = get(marked[i : i + size])
-                if got is not None:
-                    out.append(got)
-                    break
-        return out
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Rows of unseen words: the mean over their letters (and the space before them) of the longest known n-gram that starts there, times UNSEEN; zero without any."""
+        marked = [f" {w} " for w in words]
+        count = np.array([len(m) - 1 for m in marked])
+        owner = np.repeat(np.arange(len(words)), count)
+        row, open_ = np.zeros((len(owner), len(self.langs))), np.ones(len(owner), bool)
+        spots = [(m, i) for m in marked for i in range(len(m) - 1)]
+        for size in range(LONGEST, 0, -1):  # shorter ones only where no longer one is known
+            left = np.flatnonzero(open_)
+            wanted = [spots[k] for k in left.tolist()]
+            fits = np.array([i + size <= len(m) for m, i in wanted], bool)
+            at = np.full(len(left), -1, np.int64)
+            at[fits] = self.grams[size - 1].find(hashes([m[i : i + size] for (m, i), f in zip(wanted, fits.tolist(), strict=True) if f]))
+            hit = at >= 0
+            row[left[hit]] = self.grams[size - 1].rows[at[hit]]
+            open_[left[hit]] = False
+        total, n = np.zeros((len(words), len(self.langs))), np.bincount(owner[~open_], minlength=len(words))
+        np.add.at(total, owner, row)
+        return total / np.maximum(n, 1)[:, None] * UNSEEN
 
     def learn(self, words: list[str]) -> None:
-        """Rows of words: their own where they are known, else UNSEEN times the mean of their n-grams (zero without any)."""
+        """Rows of words: their own where they are known, else those of backed_off()."""
         new = np.zeros((len(words), len(self.langs)), np.float32)
-        at = [self.words.get(w, -1) for w in words]
-        known = np.flatnonzero(np.array(at) >= 0)
-        new[known] = self.word_rows[np.array(at)[known]]
-        rest = [k for k, a in enumerate(at) if a < 0]
-        parts = [self.starts(words[k]) for k in rest]
-        count = np.array([len(p) for p in parts])
-        if count.sum():
-            flat = np.concatenate([[0.0 * self.gram_rows[0]], self.gram_rows[np.fromiter(chain.from_iterable(parts), np.int64)]]).astype(np.float64)
-            total = np.cumsum(flat, 0)
-            end = np.cumsum(count)
-            mean = (total[end] - total[end - count]) / np.maximum(count, 1)[:, None] * UNSEEN
-            new[rest] = mean
+        at = self.words.find(hashes(words))
+        known = at >= 0
+        new[known] = self.words.rows[at[known]]
+        rest = np.flatnonzero(~known).tolist()
+        if rest:
+            new[rest] = self.backed_off([words[k] for k in rest])
         self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.rows = np.concatenate([self.rows, new])
 
@@ -101,50 +125,43 @@ class Model:
         return lang, score
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = FIT_DOCS, words: int = FIT_WORDS) -> Model:
+def logs(counts: pa.Table, langs: list[str]) -> Table:
+    """Smoothed log frequencies by language from (h, l, n), one row for each h."""
+    key, at = np.unique(counts["h"].to_numpy(), return_inverse=True)
+    number = {x: k for k, x in enumerate(langs)}
+    column = np.array([number[x] for x in counts["l"].to_pylist()], np.int64)
+    own = np.zeros((len(key), len(langs)))
+    np.add.at(own, (at, column), counts["n"].to_numpy())
+    return Table(key, np.log((own + 0.5) / (own.sum(0) + 0.5 * len(own))).astype(np.float32))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = FIT_DOCS) -> Model:
     """Fits on rows with a text and a language. Of more than `docs` rows, a share of about that size is taken by a hash of the id.
 
-    The model holds at most `words` words and the n-grams of these, so its
-    size is bounded; it is made on the driver from that many counts.
+    Words and their n-grams are counted in Spark; every one of the fitted rows
+    is kept, as a 64-bit hash and a number for each language, so the model
+    grows with the distinct words of about `docs` rows and not with the table.
+    Rows that repeat count each; other columns are not read.
     """
     rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")).where("t is not null and l is not null")
     n = rows.count()
     if n > docs:
         rows = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * docs / n))
-    counts = (
-        rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w"))
-        .where("w <> ''")
-        .groupBy("w", "l")
-        .count()
-        .groupBy("w")
-        .agg(F.sum("count").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "count")))).alias("by"))
-        .orderBy(F.desc("n"), "w")
-        .limit(words)
-    )
-    got = counts.collect()
-    langs = sorted({k for r in got for k in r["by"]})
-    at = {x: i for i, x in enumerate(langs)}
-    table: dict[str, np.ndarray] = {}
-    grams: list[defaultdict] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(LONGEST + 1)]
-    for r in got:
-        own = np.zeros(len(langs))
-        for k, c in r["by"].items():
-            own[at[k]] = c
-        table[r["w"]] = own
-        marked = f" {r['w']} "
-        for size in range(1, LONGEST + 1):
-            for i in range(len(marked) - size + 1):
-                grams[size][marked[i : i + size]] += own
-
-    def logs(parts: list[dict]) -> tuple[dict[str, int], np.ndarray]:
-        rows = [np.zeros((0, len(langs)), np.float32)]
-        for counted in parts:
-            if counted:
-                own = np.stack(list(counted.values()))
-                rows.append(np.log((own + 0.5) / (own.sum(0) + 0.5 * len(own))).astype(np.float32))
-        return {k: i for i, k in enumerate(chain.from_iterable(parts))}, np.concatenate(rows)
-
-    model = Model(langs, *logs([table]), *logs(grams[1:]))
+    counts = held(rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("w", "l").agg(F.count("*").alias("n")), "words")
+    marked = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
+
+    def gathered(of: DataFrame) -> pa.Table:
+        return of.select(F.xxhash64("w").alias("h"), "l", "n").toArrow()
+
+    words = gathered(counts)
+    langs = sorted(set(words["l"].to_pylist()))
+    grams = []
+    for size in range(1, LONGEST + 1):
+        starts = F.when(F.length(marked) >= size, F.sequence(F.lit(1), F.length(marked) - size + 1))
+        parts = counts.select("l", "n", marked.alias("m"), F.explode(starts).alias("k")).select("l", "n", F.substring(F.col("m"), F.col("k"), F.lit(size)).alias("w"))
+        grams.append(logs(gathered(parts.groupBy("w", "l").agg(F.sum("n").alias("n"))), langs))
+    discard(counts)
+    model = Model(langs, logs(words, langs), grams)
     model.forget()
     return model
 
@@ -158,11 +175,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    held = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         batches.only("language")
-        own = held.value
+        own = shared.value
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             lang, score = own.predict(part.column("text").to_pylist())
@@ -174,11 +191,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def annotate(df: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """df with two more columns, for use in a pipeline; see identify()."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    """df with two more columns, for use in a pipeline; see identify(). Null texts, empty tables and repeated rows are treated as there, and all columns of df are carried along; the two names must be new (batches.fresh())."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def add(texts):
-        lang, score = held.value.predict(texts)
+        lang, score = shared.value.predict(texts)
         return {lang_as: pa.array(lang, pa.string()), score_as: pa.array(score, pa.float64())}
 
     return batches.arrow_rows(df, text_col, add, f"`{lang_as}` string, `{score_as}` double", "language")
