@@ -28,9 +28,9 @@ NOTICES = [
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a rolling gram.
 K = 2
-#: Diagonals of one template up to so far apart are one span with inserted or dropped words.
-NEAR = 2
-#: Share of a notice's grams that a span must hold.
+#: Diagonals of one template up to so far apart are one span: as many words at most may be put in, or dropped, in all of it.
+DRIFT = 6
+#: Share of a notice's grams that a span must hold in their order.
 COVER = 0.8
 #: Places of a template that one number holds as bits.
 BITS = 63
@@ -55,15 +55,37 @@ def template_grams(spark: SparkSession, phrases: list[tuple[str, str]], notices:
     return grams.withColumn("hash", F.xxhash64("one", "two"))
 
 
+def set_bits(number: Column, first: int) -> Column:
+    """The bits of a number that are set, counted from `first`."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda p: F.getbit(number, p) == 1), lambda p: p + first)
+
+
+def in_order(hits: Column, grams: Column) -> Column:
+    """The most of a template's grams that stand in a text in their order, each after the one before: hits are (at, back) in order, back the place counted backwards so that one word of the text counts once."""
+    zeros = F.array_repeat(F.lit(0), grams)
+
+    def step(best: Column, hit: Column) -> Column:
+        # best[p]: most grams of a row that ends with the gram of place p
+        p = -hit["back"]
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), p)), F.lit(0))
+        return F.transform(best, lambda x, k: F.when(k == p, F.greatest(x, before + 1)).otherwise(x))
+
+    return F.array_max(F.aggregate(hits, zeros, step))
+
+
 def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, label, phrase, first, last, cover): each span that a template matches, in words of the text.
 
     Every rolling gram of K words is joined by hash to the grams of the
     templates and its words are compared; hits vote for the diagonal (place in
     the text less place in the template). A phrase takes only diagonals with
-    all its grams. A notice takes runs of diagonals that are at most NEAR apart
-    and together hold COVER of its grams, each counted once. Rows that repeat with the same id
-    and text give the same spans once.
+    all its grams. A notice merges each diagonal with those up to DRIFT behind
+    it; where these together hold COVER of its grams, each counted once, the
+    span is verified: as many must stand in the text in the template's order.
+    So a span is DRIFT words longer than its template at most. cover is the
+    share of grams in order. Spans of one label that begin at the same word
+    are one. A null text has no words and no spans; rows that repeat with the
+    same id and text give the same spans once; a null id is a value.
     """
     grams = F.broadcast(template_grams(df.sparkSession, phrases, notices))
     w = F.col("w")
@@ -78,22 +100,26 @@ def spans(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id
     key = ["doc_id", "text_hash", "template", "label", "phrase", "grams"]
     hits = rolled.join(grams, (F.col("h") == F.col("hash")) & (F.col("a") == F.col("one")) & (F.col("b") == F.col("two")))
     hits = hits.select(*key, "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    # the places of a span as bits, so that a place counts once however often it is hit
+    # the places that a diagonal hits as bits, so that a place counts once however many diagonals hit it
     place = F.col("at") - F.col("diagonal")
     parts = range(max(len(line.split(" ")) for line, _ in [*phrases, *notices]) // BITS + 1)
     masks = [F.bit_or(F.when(F.floor(place / BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (place % BITS).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"places{k}") for k in parts]
-    held = sum((F.bit_count(F.bit_or(f"places{k}")) for k in parts), F.lit(0))
     diagonals = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), *masks)
-    along = Window.partitionBy(*key).orderBy("diagonal")
-    fresh = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR)
-    return (
-        diagonals.where("not phrase or votes = grams")
-        .withColumn("run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(along))
-        .groupBy(*key, "run")
-        .agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), (held / F.col("grams")).alias("cover"))
+    whole = diagonals.where("phrase and votes = grams").select("doc_id", "text_hash", "label", "phrase", "first", (F.col("last") + K - 1).alias("last"), F.lit(1.0).alias("cover"))
+    behind = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, DRIFT)
+    held = sum((F.bit_count(F.bit_or(f"places{k}").over(behind)) for k in parts), F.lit(0))
+    merged = diagonals.where("not phrase").withColumn("near", F.collect_list(F.struct("diagonal", *[f"places{k}" for k in parts])).over(behind)).withColumn("held", held).where(F.col("held") >= COVER * F.col("grams"))
+    # the hits of the merged diagonals, taken from their bits: DRIFT + 1 for each gram of the template at most
+    places = merged.select(*key, F.col("diagonal").alias("start"), F.explode("near").alias("one_of")).select(*key, "start", F.col("one_of.diagonal").alias("diagonal"), F.explode(F.concat(*[set_bits(F.col(f"one_of.places{k}"), k * BITS) for k in parts])).alias("place"))
+    verified = (
+        places.groupBy(*key, "start")
+        .agg(F.sort_array(F.collect_list(F.struct((F.col("diagonal") + F.col("place")).alias("at"), (-F.col("place")).alias("back")))).alias("hits"))
+        .withColumn("cover", in_order(F.col("hits"), F.col("grams")) / F.col("grams"))
         .where(F.col("cover") >= COVER)
-        .select("doc_id", "text_hash", "label", "phrase", "first", "last", "cover")
+        .groupBy("doc_id", "text_hash", "label", "phrase", F.element_at("hits", 1)["at"].alias("first"))
+        .agg((F.max(F.element_at("hits", -1)["at"]) + K - 1).alias("last"), F.max("cover").alias("cover"))
     )
+    return whole.unionByName(verified)
 
 
 def scan(df: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
