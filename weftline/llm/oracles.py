@@ -18,21 +18,25 @@ JACCARD = rf"""with recursive w as (select doc_id, list_filter(string_split_rege
 
 
 def license_sql() -> str:
-    """The scan with the operator's own templates, as one statement."""
+    """The scan with the operator's own templates, as one statement: phrases as slices of the word list, notices as longest chains of grams."""
     rows = [(t, label, t < len(licenses.PHRASES), line) for t, (line, label) in enumerate([*licenses.PHRASES, *licenses.NOTICES])]
     values = ", ".join(f"({t}, '{label}', {str(phrase).lower()}, '{line}')" for t, label, phrase, line in rows)
-    return rf"""with t as (select t, label, phrase, string_split(line, ' ') as w from (values {values}) as v(t, label, phrase, line)),
- g as (select t, label, phrase, len(w) - 1 as grams, i - 1 as place, w[i] as a, w[i + 1] as b from (select *, unnest(range(1, len(w))) as i from t)),
+    return rf"""with recursive t as (select t, label, phrase, string_split(line, ' ') as w from (values {values}) as v(t, label, phrase, line)),
  d as (select doc_id, list_filter(string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
- r as (select doc_id, i - 1 as pos, w[i] as a, w[i + 1] as b from (select doc_id, w, unnest(range(1, len(w))) as i from d)),
- h as (select distinct doc_id, t, label, phrase, grams, pos, pos - place as diagonal from r join g using (a, b)),
- v as (select doc_id, t, label, phrase, grams, diagonal, count(*) as votes, min(pos) as first from h group by all),
- k as (select *, case when phrase or diagonal - lag(diagonal) over o > {licenses.NEAR} then 1 else 0 end as fresh from v where not phrase or votes = grams window o as (partition by doc_id, t order by diagonal)),
- q as (select *, sum(fresh) over (partition by doc_id, t order by diagonal) as run from k),
- s as (select doc_id, label, phrase, min(first) as first, least(1.0, sum(votes) / grams::double) as cover from q group by doc_id, t, label, phrase, grams, run),
- f as (select doc_id, count(*) filter (phrase) as n_base, min(first) filter (phrase) as first_word, max(first) filter (phrase) as last_word,
-  coalesce(string_agg(distinct label, ',' order by label) filter (phrase), '') as base_labels, string_agg(distinct label, ',' order by label) as labels, max(cover) as score from s where cover >= {licenses.COVER} group by doc_id)
- select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from d left join f on f.doc_id = d.doc_id"""
+ pos as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+ base as (select doc_id, i - 1 as first, label from pos, t where phrase and pos.w[i] = t.w[1] and pos.w[i:i + len(t.w) - 1] = t.w),
+ g as (select t, label, len(w) - 1 as grams, i as place, w[i] as a, w[i + 1] as b from (select t, label, w, unnest(range(1, len(w))) as i from t where not phrase)),
+ h as (select doc_id, t, label, grams, i as at, place from (select doc_id, i, w[i] as a, w[i + 1] as b from pos where i < len(w)) join g using (a, b)),
+ near as (select s.doc_id, s.t, s.start, h.label, h.grams, h.at, h.place from (select distinct doc_id, t, at - place as start from h) s join h on h.doc_id = s.doc_id and h.t = s.t and h.at - h.place between s.start and s.start + {licenses.DRIFT}),
+ able as (select doc_id, t, start from near group by all having count(distinct place) >= {licenses.COVER} * any_value(grams)),
+ c as (select near.* from near join able using (doc_id, t, start)),
+ chain(doc_id, t, start, label, grams, at, place, n) as (select doc_id, t, start, label, grams, at, place, 1 from c
+  union select k.doc_id, k.t, k.start, k.label, k.grams, c.at, c.place, k.n + 1 from chain k join c on c.doc_id = k.doc_id and c.t = k.t and c.start = k.start and c.at > k.at and c.place > k.place),
+ found as (select doc_id, label, max(n) / any_value(grams)::double as cover from chain group by doc_id, t, start, label having max(n) >= {licenses.COVER} * any_value(grams)
+  union all select doc_id, label, 1.0 from base),
+ f as (select doc_id, string_agg(distinct label, ',' order by label) as labels, max(cover) as score from found group by doc_id),
+ n as (select doc_id, count(*) as n_base, min(first) as first_word, max(first) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by doc_id)
+ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from d left join n on n.doc_id = d.doc_id left join f on f.doc_id = d.doc_id"""
 
 
 ORACLES = {"op3_license_scan": license_sql(), "op6_ngram_jaccard": JACCARD}
