@@ -238,7 +238,18 @@ class PieceModel:
         return out
 
     def learn(self, h: np.ndarray, words: list[str]) -> None:
-        """Pieces of distinct units that are not known yet, all merged together."""
+        """Adds distinct unknown units to the table."""
+        number = self.store(words)
+        open_, at = np.arange(len(h)), (h >> U(20)).astype(np.int64) & (SLOTS - 1)
+        while len(open_):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[open_[free]]
+            won = free & (self.keys[at] == h[open_])
+            self.number[at[won]] = number[open_[won]]
+            open_, at = open_[~won], (at[~won] + 1) & (SLOTS - 1)
+
+    def store(self, words: list[str]) -> np.ndarray:
+        """Numbers of new units, whose pieces are kept; all are merged together."""
         get, over = self.ids.get, len(self.pieces)
         flat = np.array([get(c, over + ord(c)) for w in words for c in w], np.int64).astype(np.int32)
         symbols, left = merge(flat, np.array([len(w) for w in words]), self.table)
@@ -254,24 +265,20 @@ class PieceModel:
             symbols = np.fromiter(chain.from_iterable(new), np.int64)
             first, size, which = (np.repeat(x, times) for x in (first, size, which))
             left = np.bincount(which, minlength=len(words))
+        self.spelled.add([w.replace(SPACE, " ").encode() for w in words])
         number = len(self.count) + np.arange(len(words), dtype=np.int32)
         self.first = np.append(self.first, len(self.flat[0]) + np.cumsum(left) - left)
         self.count = np.append(self.count, left)
         self.size = np.append(self.size, [len(w) for w in words])
         self.flat = [np.concatenate([own, more.astype(np.int32)]) for own, more in zip(self.flat, (symbols, first, first + size), strict=True)]
-        open_, at = np.arange(len(h)), (h >> U(20)).astype(np.int64) & (SLOTS - 1)
-        while len(open_):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[open_[free]]
-            won = free & (self.keys[at] == h[open_])
-            self.number[at[won]] = number[open_[won]]
-            open_, at = open_[~won], (at[~won] + 1) & (SLOTS - 1)
+        return number
 
     def forget(self) -> None:
         """Starts the table of known units anew: open addressing from the hash of a unit to its number, and what holds for it by number."""
         self.keys, self.number = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
         self.count, self.first, self.size = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = [np.zeros(0, np.int32) for _ in range(3)]
+        self.spelled = batches.Spelling()
 
     def join(self, ids: list[int]) -> str:
         """Text of ids with spaces in place, before the first space goes."""
@@ -318,6 +325,11 @@ class PieceModel:
             held = flat.tobytes()
             self.learn(new, [held[a:b].decode().replace(" ", SPACE) for a, b in zip(begin[at].tolist(), stop.tolist(), strict=True)])
             number[fresh] = self.find(h[fresh])
+        size = np.diff(np.append(begin, len(flat)))
+        other = self.spelled.differ(number, flat, begin, size)
+        if len(other):  # units with the hash of another one
+            held = flat.tobytes()
+            number[other] = self.store([held[a : a + n].decode().replace(" ", SPACE) for a, n in zip(begin[other].tolist(), size[other].tolist(), strict=True)])
         count = self.count[number]
         last = np.cumsum(count)
         row = np.arange(int(last[-1])) + np.repeat(self.first[number] - (last - count), count)

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm import batches
-from weftline.session import shared_dir
+from weftline.session import kept, remove, shared_dir
 
 #: A chunk ends where MEAN divides the rolling hash of its last MEMORY ids, or after MOST ids.
 MEAN, MEMORY, MOST = 256, 8, 2048
 #: Documents of a recipe shard, about.
 SHARD_DOCS = 50_000
+#: Shards whose sizes are added up in one task.
+BLOCK = 1000
 #: Units that a task remembers, and slots of its table.
 REMEMBER, SLOTS = 1_500_000, 1 << 22
 #: Texts with one of these go through the library whole: other white space, letters whose lower case depends on what stands around, special strings.
@@ -41,7 +43,8 @@ class WordEncoder:
     Its pre-tokens never cross white space and each ends with a token marked
     as such, so a text's ids are those of its units, and units can be encoded
     together and told apart again. Each distinct unit goes through the library
-    once, until the table is full; units are known by a 64-bit hash.
+    once, until the table is full; units are looked up by a 64-bit hash and
+    compared byte by byte with what the table holds.
     """
 
     def __init__(self, path: str):
@@ -72,6 +75,7 @@ class WordEncoder:
         self.count = np.zeros(0, np.int64)
         self.first = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.spelled = batches.Spelling()
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of known hashes, -1 for others."""
@@ -86,7 +90,18 @@ class WordEncoder:
         return out
 
     def learn(self, h: np.ndarray, units: list[str], simple: np.ndarray) -> None:
-        """Adds distinct unknown units. Simple ones are one pre-token each and go through the library together."""
+        """Adds distinct unknown units to the table."""
+        number = self.store(units, simple)
+        left, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]
+            won = free & (self.keys[at] == h[left])
+            self.number[at[won]] = number[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (SLOTS - 1)
+
+    def store(self, units: list[str], simple: np.ndarray) -> np.ndarray:
+        """Numbers of new units, whose ids are kept. Simple ones are one pre-token each and go through the library together."""
         one = np.flatnonzero(simple).tolist()
         lines = [" ".join([units[k] for k in one[a : a + TOGETHER]]) for a in range(0, len(one), TOGETHER)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), np.int32)
@@ -106,13 +121,8 @@ class WordEncoder:
         number = len(self.count) + np.arange(len(units), dtype=np.int32)
         self.flat = np.concatenate([self.flat, *parts])
         self.count, self.first = np.append(self.count, count), np.append(self.first, first)
-        left, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
-        while len(left):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[left[free]]
-            won = free & (self.keys[at] == h[left])
-            self.number[at[won]] = number[left[won]]
-            left, at = left[~won], (at[~won] + 1) & (SLOTS - 1)
+        self.spelled.add([u.encode() for u in units])
+        return number
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text and the end id."""
@@ -136,6 +146,10 @@ class WordEncoder:
             raw = flat.tobytes()
             self.learn(new, [raw[a:b].decode() for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)], simple[at])
             number[fresh] = self.find(h[fresh])
+        other = self.spelled.differ(number, flat, begin, stop - begin)
+        if len(other):  # units with the hash of another one
+            raw = flat.tobytes()
+            number[other] = self.store([raw[a:b].decode() for a, b in zip(begin[other].tolist(), stop[other].tolist(), strict=True)], simple[other])
         own = self.count[number]
         last = np.cumsum(own)
         total = int(last[-1]) if len(last) else 0
@@ -268,11 +282,6 @@ def chunk_rows(df: DataFrame, path: str, end: int, id_col: str, text_col: str) -
     return batches.map_steps(src, make, f"doc_id {kind}, row bigint, idx int, digest binary, n int, ids binary")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def sealed(key, part):
     """The manifest's row of one shard, from its recipes."""
     import pandas as pd
@@ -289,8 +298,9 @@ def write(df: DataFrame, path: str, to: str, end: int = 2, id_col: str = "doc_id
     (doc_id, row, n_tokens, chunks, root, shard): of each document its chunk
     digests in order and their Merkle root, in ascending order of doc_id (null
     first, then repeated rows as read), cut into shards. manifest/ (shard,
-    docs, n_tokens, root): the Merkle root over the documents of each shard.
-    A null text counts as empty; each document ends with the id `end`.
+    docs, n_tokens, root, width): the Merkle root over the documents of each
+    shard, and the bytes of an id. A null text counts as empty; each document
+    ends with the id `end`; other columns are not read.
     """
     spark = df.sparkSession
     staged = f"{to}/staged"
@@ -319,7 +329,7 @@ def write(df: DataFrame, path: str, to: str, end: int = 2, id_col: str = "doc_id
     recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").withColumn("shard", F.spark_partition_id()).write.options(**CODEC).parquet(f"{to}/recipes")
     remove(spark, staged)
 
-    spark.read.parquet(f"{to}/recipes").select("shard", "doc_id", "row", "n_tokens", "root").groupBy("shard").applyInPandas(sealed, "shard int, docs bigint, n_tokens bigint, root binary").write.parquet(f"{to}/manifest")
+    spark.read.parquet(f"{to}/recipes").select("shard", "doc_id", "row", "n_tokens", "root").groupBy("shard").applyInPandas(sealed, "shard int, docs bigint, n_tokens bigint, root binary").withColumn("width", F.lit(load(path).width.itemsize)).write.parquet(f"{to}/manifest")
     return to
 
 
@@ -361,6 +371,14 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
     return crc
 
 
+def width_of(spark: SparkSession, store: str) -> int:
+    """Bytes of an id, as the manifest of a store names them."""
+    named = spark.read.parquet(f"{store}/manifest").agg(F.min("width"), F.max("width")).first()
+    if named[0] != named[1]:
+        raise ValueError("shards of one store have ids of different width")
+    return named[0] or 4
+
+
 def read_chunks(spark: SparkSession, store: str, width: int) -> DataFrame:
     """(digest, n, crc) of the stored chunks, as read from their ids. Fails on a chunk whose ids don't have its digest."""
 
@@ -400,7 +418,16 @@ def sound_shards(spark: SparkSession, store: str) -> DataFrame:
     return checked.groupBy("shard").cogroup(spark.read.parquet(f"{store}/manifest").groupBy("shard")).applyInPandas(same, "shard int, n_tokens bigint")
 
 
-def summary(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
+def shard_offsets(shards: DataFrame) -> DataFrame:
+    """(shard, offset): ids in all shards before each. Summed in two steps, so no task has all shards: within blocks of BLOCK shards, and over blocks."""
+    shards = shards.withColumn("block", F.floor(F.col("shard") / BLOCK))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = shards.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(blocks, "block").select("shard", (F.col("ahead") + F.col("within")).alias("offset"))
+
+
+def summary(spark: SparkSession, store: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a store.
 
     start is the number of ids of all documents before it; ids_crc32 is taken
@@ -410,12 +437,11 @@ def summary(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     differs from its root or a shard that differs from the manifest.
     """
     recipes = spark.read.parquet(f"{store}/recipes")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sound_shards(spark, store).select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
+    offsets = shard_offsets(sound_shards(spark, store))
     inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.select("doc_id", "row", "n_tokens", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within")).join(offsets, "shard")
     named = recipes.select("row", F.posexplode("chunks").alias("pos", "digest"))
-    parts = named.join(read_chunks(spark, store, width), "digest", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
+    parts = named.join(read_chunks(spark, store, width_of(spark, store)), "digest", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
 
     def run(batch):
         for part in batch:
@@ -436,9 +462,9 @@ def summary(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     )
 
 
-def read(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, store: str) -> DataFrame:
     """(doc_id, row, ids) of every document, put together again from chunks and recipes. Fails on whatever summary() fails on."""
-    kind = f"<u{width}"
+    kind = f"<u{width_of(spark, store)}"
 
     def sound(batch):
         for part in batch:
@@ -467,4 +493,5 @@ def read(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
 
 
 def new_store(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    """A folder for a store that release() deletes."""
+    return kept(spark, f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}")
