@@ -174,6 +174,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def settled(part: pd.DataFrame) -> pd.DataFrame:
+    """One row for each id, in ascending order: of several the one with the smallest vector."""
+    if not part["id"].is_unique:
+        part = part.assign(own=part["v"].map(tuple)).sort_values(["id", "own"]).drop_duplicates("id")
+    return part.sort_values("id")
+
+
 def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> tuple[DataFrame, int]:
     """(shard, dims, graph) with the packed graph of each shard, and the number of shards. Every usable row is indexed, in shards of about `shard` rows dealt by a hash of the id."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -181,8 +188,8 @@ def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.size("v").alias("dims"), "id", F.col("v").cast("array<double>").alias("v"))
 
     def make(key, part: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(part["id"].to_numpy(np.int64), return_index=True)
-        g = build(ids, np.stack(part["v"].to_numpy()[at]).astype(np.float64))
+        part = settled(part)
+        g = build(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"shard": [key[0]], "dims": [key[1]], "graph": [g.pack()]})
 
     return dealt.groupBy("shard", "dims").applyInPandas(make, "shard int, dims int, graph binary"), n
@@ -195,7 +202,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     precision; rank counts from 1, ties go to the smaller id. Rows whose
     vector is null, zero or holds a null or non-finite component, or whose id
     is null, take no part on either side; vectors of different length are not
-    compared. Of rows that repeat an id the first counts. Fewer than k
+    compared. Of rows that repeat an id and have vectors
+    of one length the one with the smallest vector, component by component,
+    counts. Fewer than k
     candidates give all of them; an empty table gives no rows.
     """
     graphs, n = index(df, id_col, vector_col, shard)
@@ -212,11 +221,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
         if len(graph) and len(part):
             g = Graph.unpack(graph["graph"].iloc[0])
             seen = np.zeros(len(g.vectors), np.int64)
-            done = set()
+            part = settled(part)
             for mark, (i, v) in enumerate(zip(part["id"].tolist(), part["v"], strict=True), 1):
-                if i not in done:
-                    done.add(i)
-                    out += [(i, j, d) for d, j in g.search(np.asarray(v, np.float64), k, i, seen, mark)]
+                out += [(i, j, d) for d, j in g.search(np.asarray(v, np.float64), k, i, seen, mark)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = graphs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(look, "query_id bigint, vec_id bigint, score double")
