@@ -26,12 +26,12 @@ def license_sql() -> str:
  pos as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
  base as (select doc_id, i - 1 as first, label from pos, t where phrase and pos.w[i] = t.w[1] and pos.w[i:i + len(t.w) - 1] = t.w),
  g as (select t, label, len(w) - 1 as grams, i as place, w[i] as a, w[i + 1] as b from (select t, label, w, unnest(range(1, len(w))) as i from t where not phrase)),
- h as (select doc_id, t, label, grams, i as at, place from (select doc_id, i, w[i] as a, w[i + 1] as b from pos where i < len(w)) join g using (a, b)),
- near as (select s.doc_id, s.t, s.start, h.label, h.grams, h.at, h.place from (select distinct doc_id, t, at - place as start from h) s join h on h.doc_id = s.doc_id and h.t = s.t and h.at - h.place between s.start and s.start + {licenses.DRIFT}),
+ h as (select doc_id, t, label, grams, i as spot, place from (select doc_id, i, w[i] as a, w[i + 1] as b from pos where i < len(w)) join g using (a, b)),
+ near as (select s.doc_id, s.t, s.start, h.label, h.grams, h.spot, h.place from (select distinct doc_id, t, spot - place as start from h) s join h on h.doc_id = s.doc_id and h.t = s.t and h.spot - h.place between s.start and s.start + {licenses.DRIFT}),
  able as (select doc_id, t, start from near group by all having count(distinct place) >= {licenses.COVER} * any_value(grams)),
  c as (select near.* from near join able using (doc_id, t, start)),
- chain(doc_id, t, start, label, grams, at, place, n) as (select doc_id, t, start, label, grams, at, place, 1 from c
-  union select k.doc_id, k.t, k.start, k.label, k.grams, c.at, c.place, k.n + 1 from chain k join c on c.doc_id = k.doc_id and c.t = k.t and c.start = k.start and c.at > k.at and c.place > k.place),
+ chain(doc_id, t, start, label, grams, spot, place, n) as (select doc_id, t, start, label, grams, spot, place, 1 from c
+  union select k.doc_id, k.t, k.start, k.label, k.grams, c.spot, c.place, k.n + 1 from chain k join c on c.doc_id = k.doc_id and c.t = k.t and c.start = k.start and c.spot > k.spot and c.place > k.place),
  found as (select doc_id, label, max(n) / any_value(grams)::double as cover from chain group by doc_id, t, start, label having max(n) >= {licenses.COVER} * any_value(grams)
   union all select doc_id, label, 1.0 from base),
  f as (select doc_id, string_agg(distinct label, ',' order by label) as labels, max(cover) as score from found group by doc_id),
