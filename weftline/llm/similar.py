@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import batches
 from weftline.llm.components import components
-from weftline.session import held
+from weftline.session import discard, held
 
 #: Words of a shingle. Two documents link if 5 * intersection >= 4 * union of their shingle sets (0.8).
 SHINGLE = 5
@@ -140,7 +140,7 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), task, *none, pa.array(range(SLICES), pa.int32()), pa.array([np.minimum(sketch[k * wide : (k + 1) * wide], 65535).astype("<u2").tobytes() for k in range(SLICES)], pa.binary())], names)
 
-    return batches.bounded(src).mapInArrow(run, f"doc_id {kind}, n bigint, low bigint, high bigint, bands array<bigint>, slice int, counts binary")
+    return src.mapInArrow(run, f"doc_id {kind}, n bigint, low bigint, high bigint, bands array<bigint>, slice int, counts binary")
 
 
 def levels(described_rows: DataFrame) -> np.ndarray:
@@ -157,15 +157,18 @@ def levels(described_rows: DataFrame) -> np.ndarray:
     # the shares of TOGETHER tasks are added up at a time, so no group grows with the number of tasks
     rows = described_rows.where("slice is not null").select("slice", F.col("n").alias("task"), "counts")
     most = rows.agg(F.max("task")).first()[0] or 0
+    steps: list[DataFrame] = []
     while True:
         rows = rows.groupBy("slice", F.floor(F.col("task") / TOGETHER).alias("task")).applyInPandas(add, "slice int, task bigint, counts binary")
         most //= TOGETHER
         if not most:
             break
         rows = held(rows, "sketch")
+        steps.append(rows)
     out = np.zeros(BUCKETS, np.int64)
     for r in rows.toLocalIterator():
         out[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["counts"], np.int64)
+    discard(*steps)
     mean = out.mean()
     hot = out > mean + 6 * np.sqrt(mean) + 16
     return np.where(hot, np.minimum(1 + np.log2(np.maximum(out - mean, 1)), 255), 0).astype(np.uint8)
@@ -266,7 +269,9 @@ def verify(docs: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
         some = links > 0
         return pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[root[some]]}).astype("int64")
 
-    return texts.groupBy("grp", "block").applyInPandas(look, "node bigint, links bigint, root bigint")
+    out = held(texts.groupBy("grp", "block").applyInPandas(look, "node bigint, links bigint, root bigint"), "links")
+    discard(parts)
+    return out
 
 
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,8 +314,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     near = held(near, "near")
     alone = [F.col("doc_id").alias("comp"), F.lit(0).cast("long").alias("own"), F.lit(1).cast("long").alias("docs")]
     hub = near.select(F.col("grp").alias("doc_id"), "grp").distinct()
-    first = held(verify(docs, hub.select("*", *alone), near.select("*", *alone)).select(F.col("node").alias("a"), F.col("root").alias("b")), "links")
-    together = components(first)
+    first = verify(docs, hub.select("*", *alone), near.select("*", *alone))
+    together = components(first, "node", "root")
     sized = together.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     placed = together.join(sized, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("groups"))).alias("grp"), F.lit(True).alias("many"))
     nodes = classes.select("rep", "n", "docs").join(placed, "rep", "left").select("rep", "n", "docs", F.coalesce("comp", "rep").alias("comp"), F.coalesce("grp", F.xxhash64("rep")).alias("grp"), F.coalesce("many", F.lit(False)).alias("many"))
@@ -323,16 +328,18 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     inner = within.select("rep", "comp", "grp", "n").join(groups, "comp").where((F.col("g") <= F.col("grp")) & (low <= high)).select(F.col("rep").alias("doc_id"), F.col("g").alias("grp"))
 
     tokens = prefixes(df, levels(seen), id_col, text_col).select(F.col("doc_id").cast("long").alias("rep"), "tokens")
-    cells = tokens.join(nodes.select("rep", "comp"), "rep").select("comp", "rep", F.explode("tokens").alias("token")).repartition("token")
+    cells = tokens.join(nodes.select("rep", "comp"), "rep").select("comp", "rep", F.explode("tokens").alias("token"))
     common = cells.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("token")
-    cells = held(cells.join(common, "token"), "cells").join(nodes, ["rep", "comp"])
+    rough = held(cells.join(common, "token"), "cells")
+    cells = rough.join(nodes, ["rep", "comp"])
     matrix = cells.select("token", F.col("grp").alias("g"), F.col("comp").alias("c"), "least", "most").distinct()
     shares = cells.select("token", "rep", "comp", "n").join(matrix, "token").where((F.col("comp") > F.col("c")) & (low <= high)).groupBy("rep", "g", "n", "least", "most").agg(F.count("*").alias("c"))
     able = ((low <= n) & (45 * F.col("c") + 16 * n - 20 * low >= 0)) | ((high >= n) & (45 * F.col("c") + 16 * high - 20 * n >= 0))
     asked = held(inner.unionByName(shares.where(able).select(F.col("rep").alias("doc_id"), F.col("g").alias("grp"))).distinct(), "asked")
     about = nodes.select(F.col("rep").alias("doc_id"), "comp", F.col("grp").alias("own"), "docs")
     opened = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp", "comp", F.col("grp").alias("own"), "docs")
-    links = held(verify(docs, opened, asked.join(about, "doc_id")), "links")
+    links = verify(docs, opened, asked.join(about, "doc_id"))
+    discard(near, first, nodes, rough, asked)
     joined = components(links, "node", "root")
     others = links.groupBy(F.col("node").alias("linker")).agg(F.sum("links").alias("links"))
     final = (
