@@ -166,6 +166,72 @@ def test_cuts_resist_shifts():
     assert passages.cuts([b""])[0].tolist() == [] and passages.cuts([]) == []
 
 
+def test_passages_against_a_plain_chunker(spark):
+    """Shared stretches, against chunks cut place by place and counted in dictionaries."""
+    M, R = passages.MEMORY, passages.REACH
+    r = random.Random(23)
+    shared = [prose(1, 90 + k, n)[0] for k, n in enumerate([12, 30, 70])] + ["ab" * 240, "as " * 80, "x" * 400, "é" * 120]
+    rows = [(i, prose(1, 4000 + i, 30)[0] + r.choice([" ", "\n", ""]) + shared[i % len(shared)] + r.choice([" ", ""]) + prose(1, 5000 + i, 20)[0]) for i in range(28)]
+    rows += [(3, rows[3][1]), (3, "another text " + shared[2]), (None, shared[2]), (40, ""), (41, None)]
+
+    def chunked(raw):
+        h = []
+        for i in range(len(raw)):
+            if i + 1 < len(raw) and raw[i + 1] & 0xC0 == 0x80:
+                h.append(2**32 - 1)
+            else:
+                h.append((sum(int(passages.GEAR[raw[i - k]]) << k for k in range(M) if i >= k) & 0xFFFFFFFF) >> 1)
+        at, last, before = [], None, None
+        for i in range(len(raw)):
+            if h[i] < 2**32 - 1 and h[i] == min(h[max(0, i - R) : i + R + 1]):
+                if before is None or i - before > R or i - last > R:
+                    at.append(i + 1)
+                    last = i
+                before = i
+        return at
+
+    for _, t in rows:
+        if t:
+            raw = t.encode()
+            assert passages.cuts([raw])[0].tolist() == [c for c in chunked(raw) if c < len(raw)]
+    docs, where = {(i, t) for i, t in rows if i is not None and t}, defaultdict(set)
+    for d in docs:
+        raw = d[1].encode()
+        edge = [0, *[c for c in chunked(raw) if c < len(raw)], len(raw)]
+        for a, b in zip(edge, edge[1:]):
+            where[raw[a:b]].add(d)
+    rank = {(x.doc_id, x.text): (x.doc_id, x.l, x.h) for x in frame(spark, list(docs)).select("doc_id", "text", F.xxhash64("text").alias("l"), F.xxhash64(F.lit(5), "text").alias("h")).collect()}
+    want = {}
+    for d in docs:
+        raw = d[1].encode()
+        edge, runs = [0, *[c for c in chunked(raw) if c < len(raw)], len(raw)], [[]]
+        for a, b in zip(edge, edge[1:]):
+            if len(where[raw[a:b]]) > 1:
+                runs[-1].append((a, b, min(where[raw[a:b]], key=rank.get)))
+            elif runs[-1]:
+                runs.append([])
+        runs = [x for x in runs if x and x[-1][1] - x[0][0] >= passages.LEAST]
+        if runs:
+            gone = sum(b - a for x in runs for a, b, first in x if first != d)
+            want[rank[d]] = (min(f[0] for x in runs for _, _, f in x), len(runs), sum(x[-1][1] - x[0][0] for x in runs), gone)
+    out = passages.shared(frame(spark, rows)).collect()
+    assert {(x.doc_id, x.text_low, x.text_high): (x.first_doc, x.n_passages, x.shared_bytes, x.removed_bytes) for x in out} == want
+    assert {x.doc_id for x in out if x.removed_bytes > 100} >= {i for i in range(7, 28) if i % 7 in (2, 3, 4, 5)}
+
+
+def test_texts_of_repeated_ids_are_cut_apart(spark):
+    shared = prose(1, 9, 70)[0]
+    rows = [(1, "the first has " + shared), (2, shared + " the second too"), (2, prose(1, 10, 120)[0]), (2, shared + " the second too"), (None, shared), (3, "ab" * 480 + " one"), (4, "ab" * 480 + " two")]
+    clash = frame(spark, rows)
+    for name in ("doc", "low", "high", "gone", "__gone", "first", "held", "text_low", "place"):
+        clash = clash.withColumn(name, F.lit(1))
+    out = sorted((x.doc_id or 0, x.text) for x in passages.dedup(clash).collect())
+    texts = dict.fromkeys(t for _, t in rows)
+    assert [d for d, _ in out] == [0, 1, 2, 2, 2, 3, 4] and [t for d, t in out if d in (0, 1, 3)] == [rows[4][1], rows[0][1], rows[5][1]]
+    assert [t in texts for d, t in out if d == 2].count(True) == 1 and all(len(t) < 200 for d, t in out if d == 2 and t not in texts) and len(out[-1][1]) < 200
+    assert passages.dedup(clash).columns == clash.columns
+
+
 def test_passages(spark, edge):
     shared = prose(1, 9, 70)[0]
     rows = [(10 + i, prose(1, 50 + i, 80)[0]) for i in range(30)]
@@ -340,26 +406,78 @@ def test_bench_leaks(spark, edge):
     assert bench_leaks.regions(frame(spark, []), bench).count() == 0 and bench_leaks.regions(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def least_edits(p, t):
+    """Fewest edits between p and any stretch of t."""
+    p, t = np.frombuffer(p, np.uint8), np.frombuffer(t, np.uint8)
+    row, k = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for c in p:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (t != c))
+        row = np.minimum.accumulate(new - k) + k
+    return int(row.min())
+
+
 def test_alignment_is_edit_distance():
     r = random.Random(13)
     items = [(0, prose(1, 40, 12)[0][:60])]
     index = bench_leaks.build(items)
 
-    def distance(p, t):
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, x in enumerate(t, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
-            row = new
-        return min(row)
-
     pattern = index.text[0, : index.size[0]].astype(np.uint8)
     for _ in range(30):
         body = edited(pattern.tobytes().decode(errors="replace"), r, r.randint(0, 3)).encode()[:70]
         text = np.frombuffer(b"xyzxyz" + body + b"xyzxyz", np.uint8)
-        best, _ = bench_leaks.align(index, np.array([0]), np.array([0]), 24, text)
-        assert best[0] == distance(pattern.tolist(), text.tolist())
+        best, _ = bench_leaks.align(index, np.array([0]), np.array([0]), 24, text, np.array([0]), np.array([len(text)]))
+        assert best[0] == least_edits(pattern.tobytes(), text.tobytes())
+
+
+def test_regions_against_all_windows(spark):
+    """Which documents hold which items, against the edit distance of every window of every item to every stretch of every text."""
+    r = random.Random(22)
+    items = [(i, prose(1, 60 + i, n)[0]) for i, n in enumerate([9, 12, 14, 20, 8, 1])] + [(7, "What is the capital of France?"), (8, "ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab"), (9, "Zürich"), (7, "another text of the seventh"), (10, "...")]
+    rows = []
+    for i, (_, t) in enumerate(items):
+        for e in range(6):
+            cut = r.randrange(3) * len(t) // 8 if e else 0
+            rows.append((100 * i + e, f"{prose(1, 2000 + 10 * i + e, 12)[0]} {edited(t[cut:], r, e)} {prose(1, 3000 + 10 * i + e, 9)[0]}"))
+    rows += [(5000, "so: what is the CAPITAL, of france"), (5001, "zürichsee"), (5002, "ZÜRICH!"), (5003, "ab " * 60), (5004, None), (5005, ""), (5006, items[0][1][:40]), (5007, items[0][1][40:])]
+    want = set()
+    for i, t in items:
+        b = bench_leaks.levelled(t).tobytes()
+        for d, text in rows:
+            own = bench_leaks.levelled(text).tobytes()
+            if 0 < len(b) < 40:
+                if f" {b.decode()} " in f" {own.decode()} ":
+                    want.add((d, i))
+            elif b:
+                starts = {*range(0, max(len(b) - 64, 0) + 1, bench_leaks.STRIDE), max(len(b) - 64, 0)}
+                if any(least_edits(b[a : a + 64], own) <= int(len(b[a : a + 64]) * 0.05) for a in starts):
+                    want.add((d, i))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in bench_leaks.regions(frame(spark, rows), bench).collect()}
+    assert got == want and {(5000, 7), (5002, 9), (5003, 8)} <= got and (5001, 9) not in got
+    assert {d for d, _ in got} >= {100 * i for i in range(4)} and len({d for d, i in rows} - {d for d, _ in got}) > 10
+
+
+def test_leaks_of_repeated_ids(spark):
+    item = prose(1, 71, 20)[0]
+    rows = [(1, "clean text of its own"), (1, f"here is {item}"), (1, f"here is {item}"), (None, item), (None, "clean too"), (2, None)]
+    bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    df = frame(spark, rows).withColumn("doc", F.lit(1)).withColumn("low", F.lit(1)).withColumn("__leaked", F.lit(1))
+    assert sorted(((x.doc_id, x.text) for x in bench_leaks.clean(df, bench).collect()), key=str) == sorted([rows[0], rows[4], rows[5]], key=str)
+    out = bench_leaks.regions(df, bench).collect()
+    assert sorted(((x.doc_id, x.begin, x.edits) for x in out), key=str) == sorted([(1, 8, 0), (None, 0, 0)], key=str)
+
+
+def test_hits_of_one_letter_are_bounded():
+    """A text of one letter against an item of it: every place hits every q-gram."""
+    import tracemalloc
+
+    index = bench_leaks.build([(1, "a" * 200)])
+    tracemalloc.start()
+    out = bench_leaks.search(index, ["a" * 1_000_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:5] for x in out] == [(0, 1, 0, 1_000_000, 0)] and peak < 500e6
 
 
 def test_token_store(spark, edge, tmp_path):
@@ -466,7 +584,7 @@ def test_trees_learn():
 
 
 def test_merge_is_sequential_bpe():
-    from weftline.llm.ragged import LONG, PairTable, merge
+    from weftline.llm.ragged import PairTable, merge
 
     r = random.Random(18)
     pairs = [(0, 1), (1, 0), (0, 0), (3, 2), (4, 4)]
@@ -482,9 +600,20 @@ def test_merge_is_sequential_bpe():
             k = best[1]
             s[k : k + 2] = [ranks[s[k], s[k + 1]][1]]
 
-    seqs = [[r.randrange(2) for _ in range(r.randint(0, 12))] for _ in range(300)] + [[r.randrange(2) for _ in range(LONG + 50)]]
+    seqs = [[r.randrange(2) for _ in range(r.randint(0, 12))] for _ in range(300)] + [[], [0] * 4146] + [[r.randrange(2) for _ in range(4146)]]
     flat, left = merge(np.array([x for s in seqs for x in s], np.int32), np.array([len(s) for s in seqs]), table)
     at = 0
     for s, n in zip(seqs, left.tolist()):
         assert flat[at : at + n].tolist() == slow(s)
         at += n
+    # pairs of any ranks and ties, so that a merge may make a pair that goes first
+    for trial in range(40):
+        made = {}
+        while len(made) < 12:
+            made[r.randrange(8), r.randrange(8)] = (r.randrange(6), r.randrange(8))
+        pairs = list(made)
+        table = PairTable(*(np.array([p[k] for p in pairs]) for k in (0, 1)), np.array([made[p][0] for p in pairs]), np.array([made[p][1] for p in pairs]), 8)
+        ranks = made
+        seqs = [[r.randrange(8) for _ in range(r.randint(0, 30))] for _ in range(30)]
+        flat, left = merge(np.array([x for s in seqs for x in s], np.int32), np.array([len(s) for s in seqs]), table)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(left)[:-1])] == [slow(s) for s in seqs]

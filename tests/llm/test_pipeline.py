@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_components, prose
@@ -66,3 +67,28 @@ def test_stages_on_awkward_tables(spark, folder, k):
     want = {0: [1, 2, 3, 3, 6, 7, None], 1: [1, 2, 3, 6, 7, None], 2: [1, 2, 3, 3, 6, 7, None], 3: [1, 2, 3, 3, 6, 7, None], 4: [1, 2, 3, 3, 6, 7, None]}[k]
     assert ids == sorted(want, key=str)
     assert stage(spark, df.limit(0), folder).collect() == []
+
+
+def test_near_copies_of_repeated_ids(spark, folder):
+    """Rows that repeat an id with other texts are documents of their own; repeated rows are one."""
+    text = [prose(1, 60 + i, 60)[0] for i in range(4)]
+    near = text[0].rsplit(" ", 1)[0] + " changed"
+    rows = [(1, text[0]), (2, text[1]), (2, text[2]), (2, text[2]), (3, near), (3, text[3]), (None, text[0]), (4, text[3]), (5, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], SCHEMA).withColumn("lost", F.lit(1)).withColumn("place", F.lit(2))
+    out = corpus_pipeline.join_similar(spark, df, folder)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, text[0]), (2, text[1]), (2, text[2]), (3, text[3]), (None, text[0]), (5, ""), (5, None)], key=str)
+
+
+def test_released_tables_are_gone(spark, folder, tmp_path):
+    from weftline import session
+
+    session.release(spark)
+    where = tmp_path / "t"
+    spark.range(3).write.parquet(str(where))
+    session.kept(spark, str(where))
+    one = held(spark.range(5), "one")
+    assert one.count() == 5 and where.exists()
+    session.discard(one)
+    session.release(spark)
+    assert not where.exists()
