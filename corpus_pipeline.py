@@ -11,46 +11,71 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bench_leaks, language, passages, pieces, similar
+from weftline.llm import batches, bench_leaks, language, passages, pieces, similar
+from weftline.operators import ordering
 from weftline.session import held, table
 
 #: A document whose likeliest language has a smaller share of the likelihood is rejected.
 LEAST_SCORE = 0.3
 
 
+def quoted(docs: DataFrame) -> list:
+    """All columns of docs, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model knows. It is fitted on the labelled ones that are not held out; without any, all stay."""
+    """Keeps documents in a language that the model knows. It is fitted on the labelled ones that are not held out; without any, all stay.
+
+    Null and empty texts, and those without a letter, have no language and go.
+    Each row is judged by its own text, so rows that repeat stay or go alike.
+    """
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     if not model.langs:
         return docs
-    return language.annotate(docs, model, lang_as="__lang", score_as="__score").where(f"__lang <> 'und' and __score >= {LEAST_SCORE}").select(*docs.columns)
+    lang, score = batches.fresh(docs, "lang_found", "lang_score")
+    return language.annotate(docs, model, lang_as=lang, score_as=score).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*quoted(docs))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, once; documents without an id stay."""
-    lost = similar.group(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    """Keeps of each group of near-duplicates the document with the smallest id.
+
+    A document is an id and a text: of rows that repeat both one stays (the
+    smallest by its other columns), while rows that repeat an id with other
+    texts are documents of their own, in the order of their texts' hashes.
+    Documents without an id, or without words, stay.
+    """
+    own = quoted(docs)
     ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if ids[0] > ids[1]:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    if ids[0] == ids[1]:
+        lost = similar.group(docs).where("component_id < doc_id").select(F.col("doc_id").alias("lost_id"))
+        return docs.join(lost, F.col("doc_id") == F.col("lost_id"), "left_anti").select(*own)
+    # ids repeat: documents are numbered in order, and the numbers joined
+    low, high = batches.text_keys("text")
+    named = docs.where("doc_id is not null").select("doc_id", low, high, "text").groupBy("doc_id", "text_low", "text_high").agg(F.first("text").alias("text"))
+    numbered = held(ordering.numbered(named, ["doc_id", "text_low", "text_high"], "place"), "numbered")
+    gone = similar.group(numbered, id_col="place").where("component_id < place").select(F.col("place").alias("lost"))
+    lost = numbered.join(gone, F.col("place") == F.col("lost")).select(F.col("doc_id").alias("lost_id"), F.col("text_low").alias("lost_low"), F.col("text_high").alias("lost_high"))
+    kept = docs.where("doc_id is not null").join(lost, (F.col("doc_id") == F.col("lost_id")) & (low == F.col("lost_low")) & (high == F.col("lost_high")), "left_anti")
+    once = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*own)).alias("row")).select("row.*")
+    return once.unionByName(docs.where("doc_id is null")).select(*own)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document with a smaller id holds too; documents of which nothing is left go."""
+    """Cuts passages that a document with a smaller id holds too; documents of which nothing is left go. Null and empty texts, and rows without an id, stay as they are; repeated rows are cut alike."""
     out = passages.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    return bench_leaks.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Drops documents that hold a passage of the benchmark. Each row is judged by its own text; null and empty texts hold none and stay."""
+    return bench_leaks.clean(docs, table(spark, sf_dir, "benchmark")).select(*quoted(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, begins, ends, decoded) of every document."""
+    """(doc_id, n_tokens, ids, begins, ends, decoded) of every row, repeated ones too; a null text counts as empty and has no ids."""
     out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", "decoded")
 
