@@ -24,7 +24,7 @@ def rows(spark, name):
 def test_copy_gate(spark):
     got = broken(QUERIES["fixture_copy_gate"](spark, ""))
     assert not {g for g in got if g[0] == "clean"}
-    assert {g for s, g, _ in got if s == "tells"} == {"AI vocabulary", "negative parallelism", "promotional language", "vague attribution"}
+    assert {g for s, g, _ in got if s == "tells"} == {"7  AI vocabulary", "9  negative parallelism", "4  promotional language", "5  vague attribution"}
     assert {x for x in got if x[0] == "habit"} == {("habit", "repetition", "WARN")}
     assert {g for s, g, k in got if s == "bare" and k == "FAIL"} == {"title", "description", "one h1", "language", "image alternatives", "structured data"}
     assert {k for s, _, k in got if s == "matched"} == {"WARN"}
@@ -180,10 +180,22 @@ def test_library(spark):
 def test_provenance(spark):
     got = broken(QUERIES["fixture_provenance_gate"](spark, ""))
     assert {g for g in got if g[0] in ("clean", "rgb")} == set()
-    for case, gate, status in [("made-px", "fabricated", "FAIL"), ("made-hex", "fabricated", "FAIL"), ("made-date", "fabricated", "FAIL"), ("time-is-weight", "fabricated", "FAIL"), ("dropped-hex", "dropped palette", "FAIL"), ("dropped-curve", "dropped curves", "FAIL"), ("thin", "thin", "WARN")]:
+    for case, gate, status in [("made-px", "fabricated", "FAIL"), ("made-hex", "fabricated", "FAIL"), ("made-date", "fabricated", "FAIL"), ("time-is-weight", "fabricated", "FAIL"), ("dropped-hex", "dropped palette", "FAIL"), ("dropped-curve", "dropped curves", "FAIL"), ("thin", "thin", "WARN"), ("joined-thousands", "fabricated", "FAIL"), ("dwell", "fabricated", "FAIL"), ("role", "fabricated", "FAIL"), ("precision", "fabricated", "FAIL"), ("month", "fabricated", "FAIL")]:
         assert {g for g in got if g[0] == case} == {(case, gate, status)}, case
 
 
+def test_roles_of_keys_and_units():
+    """Roles come from whole words of key names as the rules have them, and from units."""
+    doc = {"items": [7.5], "dwell": 11.5, "hold_s": 12.5, "gutter": 13.5, "container": 14.5, "rhythm": 15.5, "gap": 16.5, "size": 17.5, "note": "18.5ms 19.5px 20.5s 21.5 #abc 22x33 rgb(1, 2, 300)", "curve_ms": "cubic-bezier(0.1, .2, 1, 1) cubic-bezier(a, 7, 8)"}
+    rows = list(provenance.walk(doc))
+    roles = {v: r for c, r, v in rows if c == "num"}
+    assert [roles[f"{k}.5"] for k in range(7, 22) if k != 8 and f"{k}.5" in roles] == [None, "time", "time", "len", "len", "len", None, None, "time", "len", "time", None]
+    assert roles["22.0"] is None and roles["33.0"] is None and roles["0.2"] is None and roles["300.0"] is None
+    assert [v for c, _, v in rows if c in ("hex", "bezier", "count")] == ["1.0", "#aabbcc", "0.1 0.2 1 1"]
+    said = list(provenance.asserted("7) one 8. two\n9. three cubic-bezier(x, 41) 404s .5s 24 fps 3x 1,234,567 12,34 1440×900 May 2026 5.0 16em."))
+    assert [(c, r) for c, r, *_ in said] == [("month", "May 2026"), ("num", "7"), ("num", "8."), ("num", "41"), ("num", ".5s"), ("num", "24"), ("num", "3"), ("num", "1234567"), ("num", "12"), ("num", "34"), ("num", "1440"), ("num", "900"), ("num", "5.0"), ("num", "16em")]
+
+
 def test_provenance_allows(spark):
     entries, captures = fixtures.provenance(spark)
     allow = spark.createDataFrame([("made-px", "37px")], "capture_id string, token string")

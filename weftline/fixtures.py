@@ -136,7 +136,7 @@ CAPTURE = {
 
 def provenance(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Entries over one capture: clean, and one case for each rule."""
-    good = "Captured 2026-03-04 at 1440x900. Type 16px, 20 px and 48px. Colours #0a0a0a and #CC2200. Curve cubic-bezier(0.16,1,.3,1), .3s and 700ms, stagger 60ms, travel 24px. 3 breakpoints: 390px, 810px, 1,440px."
+    good = "Captured 2026-03-04 at 1440x900. Type 16px, 20 px and 48px. Colours #0a0a0a and #CC2200. Curve cubic-bezier(0.16,1,.3,1), .3s and 700ms, stagger 60ms, travel 24px. 3 breakpoints: 390px, 810px, 1,440 px."
     cases = {
         "clean": good,
         "made-px": good + " A gap of 37px.",
@@ -146,6 +146,11 @@ def provenance(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         "rgb": good.replace("#CC2200", "rgb(204, 34, 0)"),
         "dropped-hex": good.replace(" and #CC2200", ""),
         "dropped-curve": good.replace("Curve cubic-bezier(0.16,1,.3,1), ", ""),
+        "joined-thousands": good + " Wide at 1,440px.",
+        "dwell": good + " Dwell 1.2s, then 16px/1.2s.",
+        "role": good + " Gutter 700px.",
+        "precision": good + " 1.2 of it, 8.33vw wide, 0.3 x.",
+        "month": good + " Measured March 2026, not April 2026.",
         "thin": "Colours #0a0a0a and #cc2200, curve cubic-bezier(0.16, 1, 0.3, 1), 404s.",
     }
     captures = [(c, json.dumps(CAPTURE)) for c in cases]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 
+#: Patterns of page source that the rules read.
 ANCHOR = r'<a\b[^>]*?href="([^"#][^"]*)"'
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 DESCRIPTION = r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["'](.*?)["']"""

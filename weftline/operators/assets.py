@@ -20,6 +20,7 @@ PATTERNS = [
     ("css", re.compile(r"""url\(\s*(['"]?)([^'")]+)\1""")),
     ("attribute", re.compile(r"""(?:src|href|poster|data-src)\s*=\s*(["'])([^"']+)\1""", re.I)),
 ]
+#: Absolute references, lists of candidates, names of chunks, and what ends a reference.
 ABSOLUTE = re.compile(r"https?://[^\s\"'<>\\`]+", re.I)
 SRCSET = re.compile(r"""\bsrcset\s*=\s*(["'])([^"']+)\1""", re.I)
 CHUNK_MAP = re.compile(r'(\d+)===(\w+)\?"static/chunks/"\+\2\+"-([0-9a-f]{6,})\.js"')
