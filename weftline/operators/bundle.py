@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import ngrams
 from weftline.operators.library import GRADES
 from weftline.plans import gates
 
@@ -73,16 +72,20 @@ def corpus_names(entries: DataFrame) -> DataFrame:
 def corpus_traces(files: DataFrame, names: DataFrame) -> DataFrame:
     """(rel, line, name): the first corpus name of each line, bounded by other characters than letters and digits.
 
-    Lines are cut into their runs of letters, digits and dots and into runs
-    without dots, which join with names for equality; names of several words
-    are looked up as phrases of up to four runs.
+    Every run of letters and digits may begin a name and every run may end
+    one, so stretches of a line of as many runs as names have join with the
+    names for equality. A null text has no lines; a name counts once a line.
     """
     rows = files.select("rel", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "body"))
-    words = F.regexp_extract_all("body", F.lit("[a-z0-9]+(?:[^a-z0-9\\s]+[a-z0-9]+)*"), F.lit(0))
-    plain = F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0))
-    grams = F.flatten(F.array(words, plain, *[ngrams(words, n) for n in (2, 3, 4)]))
-    cut = rows.select("rel", "at", "body", F.explode(F.array_distinct(grams)).alias("name"))
-    hits = cut.join(names.select("name"), "name").withColumn("place", F.instr("body", F.col("name")))
+    run = "[a-z0-9]+"
+    sizes = names.select(F.regexp_count(F.lower("name"), F.lit(run)).alias("size")).where("size > 0").distinct()
+    # runs and what stands between them by turns: a stretch of n runs is 2 n - 1 parts
+    parts = F.regexp_extract_all("body", F.lit(f"{run}|[^a-z0-9]+"), F.lit(0))
+    lined = rows.select("rel", "at", parts.alias("parts")).withColumn("from", F.when(F.regexp_like(F.get("parts", 0), F.lit("[a-z0-9]")), 1).otherwise(2))
+    starts = lined.join(F.broadcast(sizes), F.size("parts") - F.col("from") + 1 >= 2 * F.col("size") - 1)
+    places = F.sequence(F.col("from"), F.size("parts") - 2 * F.col("size") + 2, F.lit(2))
+    cut = starts.select("rel", "at", F.inline(F.transform(places, lambda i: F.struct(i.alias("place"), F.array_join(F.slice("parts", i, 2 * F.col("size") - 1), "").alias("name")))))
+    hits = cut.join(names.select(F.lower("name").alias("name")).distinct(), "name")
     return hits.groupBy("rel", "at").agg(F.min_by("name", F.struct("place", -F.length("name"))).alias("name")).select("rel", (F.col("at") + 1).alias("line"), "name")
 
 

@@ -87,6 +87,11 @@ def coverage(sitemap: DataFrame, reached: DataFrame) -> DataFrame:
     return only_s.unionByName(only_r.join(F.broadcast(some)).select("url", "side"))
 
 
+def unexplained(listed: DataFrame, reached: DataFrame, skipped: DataFrame, key: str = "key") -> DataFrame:
+    """(key): what a sitemap lists that was neither reached nor skipped with a reason."""
+    return listed.select(key).distinct().join(reached.select(key), key, "left_anti").join(skipped.select(key), key, "left_anti")
+
+
 def wired(link_rows: DataFrame, urlmap: DataFrame) -> DataFrame:
     """(src_url, ord, href, place): where an anchor points in a copy of a site: the file of its page, or #inert where the page isn't part of it."""
     return link_rows.join(urlmap.select("key", "slug"), "key", "left").select("src_url", "ord", "href", F.coalesce("slug", F.lit("#inert")).alias("place"))

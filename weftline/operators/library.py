@@ -34,8 +34,13 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c))
 
 
+def marks_only(line: Column) -> Column:
+    """Whether all characters of a line are those of a table's divider."""
+    return F.regexp_like(line, F.lit(r"^[|:\- ]*$"))
+
+
 def is_divider(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(r"^[|:\- ]+$")) & F.contains(line, F.lit("-"))
+    return marks_only(line) & F.contains(line, F.lit("-"))
 
 
 def table_rows(texts: DataFrame, text_col: str = "text", header: str = "Call it") -> DataFrame:
@@ -144,6 +149,11 @@ def counts(files: DataFrame) -> DataFrame:
     return entries(files).agg(F.count("*").alias("entries"), F.count_if(F.col("fidelity") == "spec").alias("spec"))
 
 
+def pattern_support(rows: DataFrame, pattern: str, entry: str, least: int = 2) -> DataFrame:
+    """(pattern, entries): patterns that so many entries or more show."""
+    return rows.groupBy(pattern).agg(F.count_distinct(entry).alias("entries")).where(F.col("entries") >= least)
+
+
 def upserted(index: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame:
     """Index rows with new ones in place of those of the same key."""
     return index.join(new.select(key), key, "left_anti").unionByName(new)

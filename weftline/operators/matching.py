@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side up to so many rows is offered for broadcast; beyond it bucketed equi-joins are used.
-SMALL = 100_000
+#: A rule table up to so many rows is broadcast; beyond it texts are cut up and joined for equality.
+SMALL = 10_000
+#: Characters of a phrase, or words of it, that are joined for equality before the whole is compared.
+HEAD, HEAD_WORDS = 8, 5
 
 
 def within(a: Column, b: Column, tolerance: float, floor: float = 16) -> Column:
@@ -53,6 +55,13 @@ def both_ways(left: DataFrame, right: DataFrame, key: str, left_name: str, right
     return a.unionByName(b)
 
 
+def set_sizes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(op, n): sizes of the union, the intersection and both differences of the distinct keys of two sides, by one aggregate."""
+    sides = left.select(key, F.lit(1).alias("side")).unionByName(right.select(key, F.lit(2).alias("side"))).groupBy(key).agg(F.bit_or("side").alias("in"))
+    n = sides.agg(F.count("*").alias("union"), F.count_if(F.col("in") == 3).alias("intersect"), F.count_if(F.col("in") == 1).alias("left"), F.count_if(F.col("in") == 2).alias("right"))
+    return n.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in n.columns]), F.array(*n.columns))).alias("op", "n"))
+
+
 def collisions(df: DataFrame, name: str, owner: str) -> DataFrame:
     """(name, owners, n): names that more than one owner claims."""
     return df.groupBy(name).agg(F.array_sort(F.collect_set(owner)).alias("owners"), F.count_distinct(owner).alias("n")).where("n > 1")
@@ -123,9 +132,48 @@ def near_above(df: DataFrame, others: DataFrame, by: Sequence[str], top: str, ot
     return hit.drop("__bin", "__t").dropDuplicates(["__id"]).drop("__id")
 
 
+def is_small(rules: DataFrame) -> bool:
+    """Whether a rule table has at most SMALL rows; reads no more than these."""
+    return rules.limit(SMALL + 1).count() <= SMALL
+
+
 def phrases_in(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
-    """texts x phrases where the phrase is contained; phrases are a rule table and are broadcast."""
-    return texts.join(F.broadcast(phrases), F.contains(F.col(text), F.col(phrase)))
+    """texts x phrases where the phrase is contained.
+
+    A small rule table is broadcast. A larger one is joined for equality: the
+    first HEAD characters of each phrase (all of a shorter one) with the
+    stretches of that length of each text, then compared whole.
+    """
+    if is_small(phrases):
+        return texts.join(F.broadcast(phrases), F.contains(F.col(text), F.col(phrase)))
+    heads = phrases.where(F.length(phrase) > 0).withColumn("__size", F.least(F.length(phrase), F.lit(HEAD))).withColumn("__head", F.substring(F.col(phrase), F.lit(1), F.col("__size")))
+    row = texts.withColumn("__id", F.monotonically_increasing_id())
+    body = row.withColumn("__size", F.explode(F.array(*[F.lit(k) for k in range(1, HEAD + 1)]))).join(F.broadcast(heads.select("__size").distinct()), "__size")
+    stretches = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("__size") + 1), lambda i: F.substring(F.col(text), i, F.col("__size"))))
+    cut_up = body.where(F.length(text) >= F.col("__size")).select("__id", *texts.columns, "__size", F.explode(stretches).alias("__head"))
+    found = cut_up.join(heads, ["__size", "__head"]).where(F.contains(F.col(text), F.col(phrase))).select(*texts.columns, *phrases.columns)
+    return found.unionByName(texts.where(F.col(text).isNotNull()).join(F.broadcast(phrases.where(F.length(phrase) == 0)), F.lit(True)).select(*texts.columns, *phrases.columns))
+
+
+def word_phrases_in(texts: DataFrame, phrases: DataFrame, id_col: str, text: str, phrase: str) -> DataFrame:
+    """(id, columns of phrases): texts that hold all words of a phrase in a row, words being what stands between white space.
+
+    The first HEAD_WORDS words of each phrase (all of a shorter one) are
+    joined by hash with the words that begin at each place of each text, then
+    all words are compared. Neither side is broadcast by hand or multiplied
+    with the other, so both may grow. Null texts and phrases without words
+    match nothing; rows that repeat an id count as one.
+    """
+    split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
+    rules = phrases.withColumn("__w", split(phrase)).withColumn("__k", F.least(F.size("__w"), F.lit(HEAD_WORDS))).where("__k > 0").withColumn("__h", F.xxhash64(F.slice("__w", F.lit(1), F.col("__k"))))
+    sizes = rules.select("__k").distinct()
+    row = texts.select(F.col(id_col).alias("__id"), split(text).alias("__t"))
+    starts = row.join(F.broadcast(sizes), F.size("__t") >= F.col("__k"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("__t") - F.col("__k") + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("__t", i, F.col("__k"))).alias("h")))
+    spots = starts.select("__id", "__k", F.inline(F.transform(grams, lambda g: F.struct(g["at"].alias("__at"), g["h"].alias("__h")))))
+    likely = spots.join(rules, ["__k", "__h"]).drop("__k", "__h")
+    hit = likely.join(row, "__id").where(F.slice("__t", F.col("__at"), F.size("__w")) == F.col("__w"))
+    return hit.select(F.col("__id").alias(id_col), *phrases.columns).distinct()
 
 
 def two_sided(left: DataFrame, right: DataFrame, key: Sequence[str], values: Sequence[str], tolerance: float = 0.0) -> DataFrame:

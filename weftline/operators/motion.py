@@ -82,14 +82,23 @@ def fidelity(captures: DataFrame) -> Column:
     return F.when((a > 0) & full, "spec").when((e > 0) & (n == 0), "signature-only").when((e > 0) | (n > 0), "partial").otherwise("none")
 
 
+def lost_curves(used: DataFrame) -> DataFrame:
+    """(value): curves of the reference that the build never uses, from profile()."""
+    curves = used.where("side = 'reference' and kind = 'easing'").where(F.contains("value", F.lit("cubic-bezier")) | F.contains("value", F.lit("linear(")))
+    return curves.select("value").distinct().join(used.where("side = 'build' and kind = 'easing'"), "value", "left_anti")
+
+
+def lost_properties(used: DataFrame) -> DataFrame:
+    """(value): carriers that the reference moves LEAST_USES times or more and the build never, from profile()."""
+    return used.where(f"side = 'reference' and kind = 'carrier' and n >= {LEAST_USES}").select("value").distinct().join(used.where("side = 'build' and kind = 'carrier'"), "value", "left_anti")
+
+
 def motion_gate(animations: DataFrame, meta: DataFrame, adapt: bool = False, scope: str = "build") -> DataFrame:
     """Gate results of a build's motion against its reference. animations have side reference or build; meta (side, reduced_motion)."""
     rows = kept(animations)
     total = rows.agg(F.count_if(F.col("side") == "reference").alias("ref"), F.count_if(F.col("side") == "build").alias("own"))
     p = profile(animations)
-    ref, own = p.where("side = 'reference'").drop("side"), p.where("side = 'build'").drop("side")
-    curves = ref.where("kind = 'easing'").where(F.contains("value", F.lit("cubic-bezier")) | F.contains("value", F.lit("linear(")))
-    lost_curves = curves.join(own.where("kind = 'easing'"), "value", "left_anti").agg(F.array_sort(F.collect_list("value")).alias("curves"))
+    no_curves = lost_curves(p).agg(F.array_sort(F.collect_list("value")).alias("curves"))
     durations = rows.where("duration is not null").select("side", F.col("duration").cast("double").alias("ms"))
     tiers = tallies.share_tiers(durations.where("side = 'reference'"), "ms", STRUCTURAL).where("tier = 'structural'").select("ms")
     lost_ms = matching.tolerance_anti(tiers, durations.where("side = 'build'").select(F.col("ms").alias("other")), "ms", "other", tolerance=TOLERANCE, floor=FLOOR).agg(F.array_sort(F.collect_list("ms")).alias("durations"))
@@ -98,9 +107,9 @@ def motion_gate(animations: DataFrame, meta: DataFrame, adapt: bool = False, sco
     built = lad.where("side = 'build'").select(F.col("gap").cast("double").alias("other"))
     lost_gap = matching.tolerance_anti(share, built, "gap", "other", tolerance=TOLERANCE, floor=FLOOR).agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
     some = built.agg(F.count("*").alias("ladders"))
-    props = ref.where(f"kind = 'carrier' and n >= {LEAST_USES}").join(own.where("kind = 'carrier'"), "value", "left_anti").agg(F.array_sort(F.collect_list("value")).alias("props"))
+    props = lost_properties(p).agg(F.array_sort(F.collect_list("value")).alias("props"))
     reduced = meta.where("side = 'build'").agg(F.max("reduced_motion").alias("reduced"))
-    one = total.crossJoin(lost_curves).crossJoin(lost_ms).crossJoin(lost_gap).crossJoin(some).crossJoin(props).crossJoin(reduced).withColumn("scope", F.lit(scope))
+    one = total.crossJoin(no_curves).crossJoin(lost_ms).crossJoin(lost_gap).crossJoin(some).crossJoin(props).crossJoin(reduced).withColumn("scope", F.lit(scope))
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ", ")
     stagger = F.struct(
         F.lit("stagger").alias("gate"),

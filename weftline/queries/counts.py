@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import tallies
+from weftline.operators import capture, library, matching, motion, tallies
 from weftline.queries.registry import query
 from weftline.session import table
 
@@ -104,8 +104,10 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("zero_duration_drop", "select event_type, count(*) filter (value >= 10) as kept, count(*) filter (value < 10) as dropped from events group by event_type")
 def zero_duration_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows below a least value are left out and counted."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") >= 10).alias("kept"), F.count_if(F.col("value") < 10).alias("dropped"))
+    """Transitions that take no time are left out and counted."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("side"), F.lit("CSSTransition").alias("kind"), F.floor(F.col("value") / 10).alias("duration"))
+    left = motion.kept(rows).groupBy("side").agg(F.count("*").alias("kept"))
+    return motion.dropped(rows).join(left, "side", "left").select(F.col("side").alias("event_type"), F.coalesce("kept", F.lit(0)).alias("kept"), "dropped")
 
 
 @query("set_ops", """with a as (select distinct user_id from events where event_type = (select min(event_type) from events)), b as (select distinct user_id from events where event_type = (select max(event_type) from events))
@@ -114,18 +116,15 @@ def zero_duration_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     ends = rows.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
-    a = rows.join(F.broadcast(ends), F.col("event_type") == F.col("lo")).select("user_id").distinct()
-    b = rows.join(F.broadcast(ends), F.col("event_type") == F.col("hi")).select("user_id").distinct()
-    parts = [("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("left", a.subtract(b)), ("right", b.subtract(a))]
-    out = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, d in parts]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+    a, b = (rows.join(F.broadcast(ends), F.col("event_type") == F.col(c)).select("user_id") for c in ("lo", "hi"))
+    return matching.set_sizes(a, b, "user_id")
 
 
 @query("subset_lines", r"select doc_id, i, line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i, l[i] as line from (select doc_id, string_split(text, chr(10)) as l from documents)) where regexp_full_match(line, '[|:\- ]*') and line <> ''")
 def subset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines made of table marks alone."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return rows.where(F.regexp_like("line", F.lit(r"^[|:\- ]*$")) & (F.col("line") != "")).select("doc_id", (F.col("i") + 1).alias("i"), "line")
+    return rows.where(library.marks_only(F.col("line")) & (F.col("line") != "")).select("doc_id", (F.col("i") + 1).alias("i"), "line")
 
 
 @query("spec_first_listing", "select s_suppkey, row_number() over (order by s_nationkey <> 7, s_name) as place from supplier")
@@ -138,8 +137,8 @@ def spec_first_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("length_order_top20", "select p_partkey, row_number() over (order by length(p_name) desc, p_name, p_partkey) as place from part qualify place <= 20")
 def length_order_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = table(spark, sf_dir, "part").orderBy(F.desc(F.length("p_name")), "p_name", "p_partkey").limit(20)
-    return top.select("p_partkey", F.expr("row_number() over (order by length(p_name) desc, p_name, p_partkey)").alias("place"))
+    """The longest names first, ties by name: a top-k report."""
+    return tallies.ranked(table(spark, sf_dir, "part"), [], [F.desc(F.length("p_name")), F.asc("p_name"), F.asc("p_partkey")], 20).select("p_partkey", F.col("rank").alias("place"))
 
 
 @query("extreme_elements", "select o_custkey, min(o_totalprice) as first_top, max(o_totalprice) as last_bottom, count(distinct floor(o_totalprice / 8000 + 0.5)) as n_rows from orders group by o_custkey")
@@ -150,4 +149,33 @@ def extreme_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pattern_support", "select p_type as pattern, count(distinct p_brand) as entries from part group by p_type having count(distinct p_brand) >= 2")
 def pattern_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns that two entries or more support."""
-    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("pattern")).agg(F.count_distinct("p_brand").alias("entries")).where("entries >= 2")
+    return library.pattern_support(table(spark, sf_dir, "part"), "p_type", "p_brand").select(F.col("p_type").alias("pattern"), "entries")
+
+
+@query("largest_canvases", "select o_custkey as page, arg_max(o_orderkey, (round(o_totalprice)::bigint * (o_orderkey % 300), o_orderkey)) as id, bool_or(w) as warn from (select *, (max((round(o_totalprice)::bigint * (o_orderkey % 300), o_orderkey)) over (partition by o_custkey) = (round(o_totalprice)::bigint * (o_orderkey % 300), o_orderkey)) and round(o_totalprice) >= 200 and o_orderkey % 300 >= 200 as w from orders) group by o_custkey")
+def largest_canvases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as canvases of their customers' pages: the largest, and whether both of its sides are large."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("long").alias("css_w"), (F.col("o_orderkey") % 300).alias("css_h"))
+    return capture.largest_canvas(rows)
+
+
+@query("fidelity_grades", "select p_partkey, case when p_size % 5 > 0 and p_size % 3 > 0 and p_size % 7 > 0 then 'spec' when p_size % 4 > 0 and p_size % 2 = 0 then 'signature-only' when p_size % 4 > 0 or p_size % 2 > 0 then 'partial' else 'none' end as grade from part")
+def fidelity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of captures of p_size % 5 animations, whose targets and triggers, easings and numbers come from other remainders."""
+    n = F.col("p_size")
+    many = lambda k, x: F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda _: x)).otherwise(F.filter(F.array(x), lambda _: F.lit(False)))
+    one = F.struct(F.when(n % 3 > 0, F.lit("div")).otherwise("").alias("target"), F.when(n % 7 > 0, F.lit("scroll")).alias("trigger"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", many(n % 5, one).alias("animations"), many(n % 4, F.lit("ease")).alias("easings"), many(n % 2, F.lit(1)).alias("numerics"))
+    return rows.select("p_partkey", motion.fidelity(rows).alias("grade"))
+
+
+@query("carrier_properties", """with p as (select p_partkey, case when p_size % 3 = 0 then ['opacity', 'cursor'] else ['z-index'] end || case when p_size % 2 = 0 then ['transform', 'opacity'] else [] end || [case p_size % 5 when 0 then 'width' when 1 then 'cursor' end] as k, case p_size % 5 when 0 then 'width' when 1 then 'cursor' end as own from part),
+ f as (select p_partkey, own, list_sort(list_distinct(list_filter(k, lambda x: x in ('opacity', 'transform', 'width')))) as c from p)
+ select p_partkey, array_to_string(case when len(c) > 0 then c when own is null then [] else [own] end, ' ') as carriers from f""")
+def carrier_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties that carry motion, of the keyframes and the property that remainders of p_size give."""
+    n, word = F.col("p_size"), lambda *k: F.create_map(*[x for c in k for x in (F.lit(c), F.lit("0"))])
+    first = F.when(n % 3 == 0, word("opacity", "cursor")).otherwise(word("z-index"))
+    last = F.when(n % 2 == 0, word("transform", "opacity"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.struct(first.alias("from"), last.alias("to")).alias("values"), F.when(n % 5 == 0, "width").when(n % 5 == 1, "cursor").alias("property"))
+    return rows.select("p_partkey", F.array_join(F.array_sort(motion.carriers(rows)), " ").alias("carriers"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import matching, tallies
+from weftline.operators import capture, crawl, matching, motion, tallies
 from weftline.queries.registry import query
 from weftline.session import table
 
 
-@query("tolerance_anti_join", """with l as (select distinct round(p_retailprice)::double as v from part), r as (select distinct round(l_extendedprice / 40)::double as v from lineitem where l_orderkey % 97 = 0)
+@query("tolerance_anti_join", """with l as (select distinct round(p_retailprice)::double as v from part), r as (select distinct round(l_extendedprice / 40)::double as v from lineitem)
  select v from l where not exists (select 1 from r where abs(l.v - r.v) <= greatest(16.0, l.v * 0.002))""")
 def tolerance_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "part").select(F.round("p_retailprice").cast("double").alias("v")).distinct()
@@ -31,16 +31,18 @@ def duration_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("curve_anti_join", "select distinct p_type from part where p_brand = 'Brand#11' and p_type not in (select p_type from part where p_brand = 'Brand#22')")
 def curve_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.where("p_brand = 'Brand#11'").select("p_type").distinct().join(part.where("p_brand = 'Brand#22'").select("p_type"), "p_type", "left_anti")
+    """Curves of one side that the other never uses; the types stand for curves."""
+    side = F.when(F.col("p_brand") == "Brand#11", "reference").when(F.col("p_brand") == "Brand#22", "build")
+    used = table(spark, sf_dir, "part").select(side.alias("side"), F.lit("easing").alias("kind"), F.concat(F.lit("cubic-bezier "), "p_type").alias("value")).where("side is not null")
+    return motion.lost_curves(used.groupBy("side", "kind", "value").agg(F.count("*").alias("n"))).select(F.replace("value", F.lit("cubic-bezier "), F.lit("")).alias("p_type"))
 
 
 @query("property_anti_join", "with a as (select p_type from part where p_size <= 25 group by p_type having count(*) >= 2) select p_type from a where p_type not in (select p_type from part where p_size > 45)")
 def property_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values used twice or more on one side and never on the other."""
-    part = table(spark, sf_dir, "part")
-    used = part.where("p_size <= 25").groupBy("p_type").agg(F.count("*").alias("n")).where("n >= 2").select("p_type")
-    return used.join(part.where("p_size > 45").select("p_type"), "p_type", "left_anti")
+    side = F.when(F.col("p_size") <= 25, "reference").when(F.col("p_size") > 45, "build")
+    used = table(spark, sf_dir, "part").select(side.alias("side"), F.lit("carrier").alias("kind"), F.col("p_type").alias("value")).where("side is not null")
+    return motion.lost_properties(used.groupBy("side", "kind", "value").agg(F.count("*").alias("n"))).select(F.col("value").alias("p_type"))
 
 
 @query("two_way_difference", "with a as (select distinct p_type from part where p_size <= 10), b as (select distinct p_type from part where p_size > 40) select p_type, 'fabricated' as side from (select * from a except select * from b) union all select p_type, 'dropped' from (select * from b except select * from a)")
@@ -63,7 +65,7 @@ def name_contains_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prefix_resolution", """with n as (select distinct lower(trim(c_name)) as name, lower(regexp_replace(c_name, '[ .]', '', 'g')) as flat, c_mktsegment as owner from customer),
- q as (select distinct q, lower(trim(q)) as low, lower(regexp_replace(q, '[ .]', '', 'g')) as flat from (select substr(c_name, 1, 10 + (c_custkey % 9)::int) as q from customer where c_custkey % 7 = 0 union all select 'zz' || c_custkey from customer where c_custkey % 50 = 0 union all select c_name || 'x' from customer where c_custkey % 31 = 0)),
+ q as (select distinct q, lower(trim(q)) as low, lower(regexp_replace(q, '[ .]', '', 'g')) as flat from (select substr(c_name, 1, 10 + (c_custkey % 9)::int) as q from customer union all select 'zz' || c_custkey from customer union all select c_name || 'x' from customer)),
  e as (select q.q, list_sort(list_distinct(list(owner))) as o from q join n on low = name group by q.q),
  p as (select q.q, list_sort(list_distinct(list(owner))) as o from q join n on length(q.flat) >= 3 and length(n.flat) >= 3 and (starts_with(n.flat, q.flat) or starts_with(q.flat, n.flat)) group by q.q)
  select q.q as query, case when coalesce(e.o, p.o) is null then 'miss' when len(coalesce(e.o, p.o)) = 1 then 'hit' else 'ambiguous' end as outcome, case when len(coalesce(e.o, p.o)) = 1 then coalesce(e.o, p.o)[1] end as owner from q left join e on e.q = q.q left join p on p.q = q.q""")
@@ -103,22 +105,24 @@ def two_sided_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("null_safe_fill", "select e.event_id, coalesce(case when e.value > 50 then e.value end, d.m) as filled from events e left join (select user_id, event_type, max(value) as m from events group by all) d on e.user_id = d.user_id and e.event_type = d.event_type")
 def null_safe_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later event fills what an earlier one lacks, by key."""
-    rows = table(spark, sf_dir, "events")
-    ends = rows.groupBy("user_id", "event_type").agg(F.max("value").alias("m"))
-    return rows.join(ends, ["user_id", "event_type"], "left").select("event_id", F.coalesce(F.when(F.col("value") > 50, F.col("value")), "m").alias("filled"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("element"), F.col("event_type").alias("property"), "value")
+    ends = rows.select("element", "property", F.col("value").alias("to"), F.col("value").alias("seq"))
+    return capture.filled_ends(rows.withColumn("to", F.when(F.col("value") > 50, F.col("value"))), ends).select("event_id", F.col("to").alias("filled"))
 
 
 @query("composite_anti_join", "select e.event_id from events e where e.value > 90 and not exists (select 1 from events f where f.user_id = e.user_id and f.event_type = e.event_type and f.value < 10)")
 def composite_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.where("value > 90").join(rows.where("value < 10").select("user_id", "event_type"), ["user_id", "event_type"], "left_anti").select("event_id")
+    """Rows of one channel that none of the other covers, by two keys."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"), F.col("event_type").alias("name"), "value")
+    return capture.uncovered_waapi(rows.where("value < 10"), rows.where("value > 90")).select("event_id")
 
 
 @query("unlisted_keys", "select distinct c_custkey from customer where c_custkey not in (select o_custkey from orders) and c_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def unlisted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.select("c_custkey").join(orders, "c_custkey", "left_anti").join(c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), "c_custkey", "left_anti")
+    """What a listing holds that was neither reached nor skipped with a reason."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment")
+    reached = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    return crawl.unexplained(c, reached, c.where("c_mktsegment = 'BUILDING'")).select(F.col("key").alias("c_custkey"))
 
 
 @query("distinct_shares", "with c as (select l_returnflag as v, count(*) as n from lineitem group by 1) select v, n, (select sum(n) from c)::bigint as total, case when n / (select sum(n) from c) >= 0.05 then 'structural' else 'decoration' end as tier from c")
