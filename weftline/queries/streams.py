@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.queries.registry import query
-from weftline.session import shared_dir
+from weftline.session import kept, shared_dir
 from weftline.streaming import recorder
 
 
@@ -17,42 +18,52 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _run(spark: SparkSession, out: DataFrame, mode: str, sink: str = "parquet") -> DataFrame:
-    """Replays into the shared folder (append) or, for whole results, into a table that each batch replaces."""
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def run(spark: SparkSession, out: DataFrame, mode: str, key: Sequence[str] = ()) -> DataFrame:
+    """Replays into the shared folder, until release().
+
+    append adds to a table, complete replaces it with each micro-batch, and
+    update keeps what each micro-batch changes in a folder of its own (written
+    again if it is repeated), of which the latest row of each key counts.
+    """
+    where = kept(spark, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
     w = out.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/log").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", f"{where}/out").start().awaitTermination()
-    else:
+    elif mode == "complete":
         w.foreachBatch(lambda d, _: d.write.mode("overwrite").parquet(f"{where}/out")).start().awaitTermination()
+    else:
+        w.foreachBatch(lambda d, n: d.write.mode("overwrite").parquet(f"{where}/out/micro_batch={n}")).start().awaitTermination()
+        rows = spark.read.parquet(f"{where}/out")
+        own = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "micro_batch"])
+        return rows.groupBy(*[F.col(f"`{k}`").alias(f"key_{k}") for k in key]).agg(F.max_by(own, "micro_batch").alias("latest")).select("latest.*")
     return spark.read.parquet(f"{where}/out")
 
 
 @query("stream_first_keys", "select distinct user_id, event_type from events")
 def stream_first_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per key: which keys there are doesn't depend on the order of arrival."""
-    return _run(spark, recorder.keep_first(_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
+    return run(spark, recorder.keep_first(_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
 
 
 @query("stream_running_counts", "select event_type, count(*) as n from events group by event_type")
 def stream_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, recorder.running_counts(_stream(spark, sf_dir), ["event_type"]), "complete")
+    return run(spark, recorder.running_counts(_stream(spark, sf_dir), ["event_type"]), "complete")
 
 
 @query("stream_channels", "select user_id, min(case when event_type = 'click' then 'event' else 'poll' end) as channel, count(*) as n from events group by user_id")
 def stream_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).withColumn("channel", F.when(F.col("event_type") == "click", "event").otherwise("poll"))
-    return _run(spark, recorder.merged_channels(rows, ["user_id"]), "complete")
+    return run(spark, recorder.merged_channels(rows, ["user_id"]), "complete")
 
 
 @query("stream_timed", "select event_type, count(*) as n from events where floor(value / 10) <> 0 group by event_type")
 def stream_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).withColumn("duration", F.floor(F.col("value") / 10))
-    return _run(spark, recorder.running_counts(recorder.timed(rows), ["event_type"]), "complete")
+    return run(spark, recorder.running_counts(recorder.timed(rows), ["event_type"]), "complete")
 
 
 @query("stream_ordered_first", "select user_id, min(event_id) as event_id from events group by user_id")
 def stream_ordered_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).withColumn("seq", F.col("event_id"))
-    got = _run(spark, recorder.numbered_first(rows, "user_id", "event_id", "seq"), "update")
+    got = run(spark, recorder.numbered_first(rows, "user_id", "event_id", "seq"), "update", ["user_id"])
     return got.select("user_id", "event_id")
