@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,37 +16,65 @@ from weftline.plans import gates
 
 #: Shortest text whose phrases count, rate per thousand words, floor, sizes of phrases, phrases kept.
 LEAST_WORDS, RATE, FLOOR, SIZES, KEPT = 150, 3.0, 5, (4, 3, 2), 3
+#: Texts that are counted at once.
+TOGETHER = 256
 
 
 def frequent_phrases(df: DataFrame, id_col: str, text_col: str, sizes=SIZES, habits: bool = True) -> DataFrame:
     """(id, n, phrase, hits, first, words): phrases over the budget of their text, with the place of the first hit. habits leaves out glue and subject matter.
 
-    Phrases are counted by a 64-bit hash, so the aggregate holds numbers of
-    fixed width; only those over the budget are read from their texts.
+    Each text is counted by itself, batch by batch: no row leaves its task.
+    A null or short text has none; rows that repeat each give theirs.
     """
-    base = df.select(id_col, text.tokens(F.col(text_col)).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    longest = max(sizes)
-    # each word with those that follow it, so that phrases are put together row by row in compiled code
-    ahead = F.arrays_zip(*[(F.slice("w", k + 1, F.size("w")) if k else F.col("w")).alias(f"w{k}") for k in range(longest)])
-    rows = base.select(id_col, F.size("w").alias("words"), F.posexplode(ahead).alias("first", "g")).select(id_col, "words", "first", "g.*")
-
-    def own(n: int) -> list[Column]:
-        return [F.col(f"w{k}") for k in range(n)]
-
-    def key(n: int) -> Column:
-        good = own(n)[-1].isNotNull()
+    tokens = text.tokens(F.col(text_col))
+    base = df.select(F.col(id_col).alias("id"), tokens.alias("w")).where(F.size("w") >= LEAST_WORDS).withColumn("budget", text.budget(RATE, FLOOR, F.size("w")).cast("double"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, TOGETHER):
+                yield counted(part.slice(at, TOGETHER), sizes, habits)
+
+    return base.mapInArrow(run, f"id {kind}, n int, phrase string, hits bigint, first int, words int").withColumnRenamed("id", id_col)
+
+
+def counted(part: pa.RecordBatch, sizes, habits: bool) -> pa.RecordBatch:
+    """The frequent phrases of some texts (id, w, budget). Phrases are numbered size by size: one of n words is one of n - 1 and a word."""
+    w = part.column("w")
+    size = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = w.flatten().dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    glue = np.array([x in GLUE_WORDS for x in words], bool)[code]
+    content = np.array([x not in FUNCTION_WORDS for x in words], np.int64)[code]
+    budget = part.column("budget").to_numpy(zero_copy_only=False)
+    found: list[tuple[np.ndarray, ...]] = []
+    number, all_glue, n_content = code, glue, content
+    for n in range(2, max(sizes) + 1):
+        m = len(code) - n + 1
+        if m <= 0:
+            break
+        number = np.unique(number[:m] * len(words) + code[n - 1 :], return_inverse=True)[1]
+        all_glue, n_content = all_glue[:m] & glue[n - 1 :], n_content[:m] + content[n - 1 :]
+        if n not in sizes:
+            continue
+        keep = owner[:m] == owner[n - 1 :]
         if habits:
-            glue = reduce(and_, (w.isin(*sorted(GLUE_WORDS)) for w in own(n)))
-            content = sum(((~w.isin(*sorted(FUNCTION_WORDS))).cast("int") for w in own(n)), F.lit(0))
-            good = good & ~glue & (content <= n // 3)
-        return F.when(good, F.struct(F.lit(n).alias("n"), F.xxhash64(*own(n)).alias("h")))
-
-    keyed = rows.select(id_col, "words", "first", F.explode(F.array(*[key(n) for n in sizes])).alias("p")).where("p is not null").select(id_col, "words", "first", "p.*")
-    counted = keyed.groupBy(id_col, "n", "h").agg(F.count("*").alias("hits"), F.min("first").alias("first"), F.max("words").alias("words"))
-    often = counted.where(F.col("hits") > text.budget(RATE, FLOOR, F.col("words")))
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    phrase = F.array_join(F.slice(text.tokens(F.col("__text")), F.col("first") + 1, F.col("n")), " ")
-    return often.join(texts, F.col(id_col) == F.col("__id")).select(id_col, "n", phrase.alias("phrase"), "hits", "first", "words")
+            keep &= ~all_glue & (n_content <= n // 3)
+        at = np.flatnonzero(keep)
+        if not len(at):
+            continue
+        _, first, hits = np.unique(owner[at] * (int(number.max()) + 1) + number[at], return_index=True, return_counts=True)
+        often = hits > budget[owner[at[first]]]
+        found.append((at[first[often]], np.full(int(often.sum()), n), hits[often]))
+    place, n, hits = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    own = owner[place] if len(place) else place
+    phrase = [" ".join(words[c] for c in code[p : p + k].tolist()) for p, k in zip(place.tolist(), n.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [part.column("id").take(pa.array(own)), pa.array(n, pa.int32()), pa.array(phrase, pa.string()), pa.array(hits, pa.int64()), pa.array(place - start[own], pa.int32()), pa.array(size[own], pa.int32())],
+        ["id", "n", "phrase", "hits", "first", "words"],
+    )
 
 
 def repeated_phrases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,25 +100,38 @@ def tell_hits(df: DataFrame, id_col: str, text_col: str, tells=TELLS) -> DataFra
     return base.select(id_col, F.explode(rows).alias("r")).select(id_col, "r.*")
 
 
+def dash_density(body: Column, n_words: Column, mark: str = "—") -> tuple[Column, Column]:
+    """How often a mark stands in a text, and whether that is too dense for its words."""
+    n = F.length(body) - F.length(F.replace(body, F.lit(mark), F.lit("")))
+    return n, n > F.greatest(F.lit(2.0), n_words / 150)
+
+
+def figure_density(body: Column, n_words: Column, figure: str = markup.FIGURE) -> tuple[Column, Column]:
+    """How many figures stand in a text, and whether that is less than one in a hundred words."""
+    n = F.regexp_count(body, F.lit(figure))
+    return n, n / n_words < 0.01
+
+
 def copy_gate(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", match: str | None = None) -> DataFrame:
     """Gate results of pages. Prose rules are left out where the match column is true: that copy isn't ours to rewrite."""
     flag = F.coalesce(F.col(match), F.lit(False)) if match else F.lit(False)
     base = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), flag.alias("match")).withColumn("text", text.visible_text(F.col("html")))
     base = base.withColumn("n", F.greatest(F.size(text.space_words(F.col("text"))), F.lit(1)))
     prose = base.where("not match")
-    em = F.length("text") - F.length(F.replace("text", F.lit("—"), F.lit("")))
+    em, dense = dash_density(F.col("text"), F.col("n"))
     tells = tell_hits(prose, "id", "text").select(
         F.col("id").cast("string").alias("scope_id"), F.col("category").alias("gate"), F.when(F.col("found") > F.col("allowed"), "FAIL").otherwise("pass").alias("status"), F.when(F.col("found") > F.col("allowed"), F.concat("found", F.lit(" occurrences"))).otherwise("").alias("detail")
     )
     shapes = gates.judged(
-        prose.withColumns({"em": em, "run": text.staccato(F.col("text"))}),
+        prose.withColumns({"em": em, "dense": dense, "run": text.staccato(F.col("text"))}),
         "id",
-        [gates.rule("em-dash density", F.col("em") <= F.greatest(F.lit(2.0), F.col("n") / 150), F.col("em")), gates.rule("staccato drama", F.col("run") < 4, F.col("run"))],
+        [gates.rule("em-dash density", ~F.col("dense"), F.col("em")), gates.rule("staccato drama", F.col("run") < 4, F.col("run"))],
     )
     habits = repeated_phrases(prose, "id", "text").select(F.col("id").cast("string").alias("scope_id"), F.lit("repetition").alias("gate"), F.lit("WARN").alias("status"), F.concat("phrase", F.lit(" x"), "hits").alias("detail"))
     title = text.html_unescape(F.coalesce(text.first_match(F.col("html"), markup.TITLE), F.lit("")))
     about = text.html_unescape(F.coalesce(text.first_match(F.col("html"), markup.DESCRIPTION), F.lit("")))
-    page = base.withColumns({"title": F.length(F.trim(title)), "about": F.length(F.trim(about)), "h1": F.regexp_count("html", F.lit(markup.H1)), "ld": markup.linked_data(F.col("html")), "bare": markup.images_without_alt(F.col("html")), "figures": F.regexp_count("text", F.lit(markup.FIGURE))})
+    figures, sparse = figure_density(F.col("text"), F.col("n"))
+    page = base.withColumns({"title": F.length(F.trim(title)), "about": F.length(F.trim(about)), "h1": F.regexp_count("html", F.lit(markup.H1)), "ld": markup.linked_data(F.col("html")), "bare": markup.images_without_alt(F.col("html")), "figures": figures, "sparse": sparse})
     missing = F.array_compact(F.array(*[F.when(~markup.og_flag(F.col("html"), n), F.lit(n)) for n in ("title", "description", "image")]))
     search = gates.judged(
         page,
@@ -105,7 +148,7 @@ def copy_gate(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             gates.rule("image alternatives", F.col("bare") == 0, F.col("bare")),
             gates.rule("structured data", F.size("ld") > 0, "no JSON-LD"),
             gates.rule("structured data parses", F.forall("ld", lambda b: F.try_parse_json(b).isNotNull()), "a block does not parse", "WARN"),
-            gates.rule("concrete figures", F.col("figures") / F.col("n") >= 0.01, F.concat("figures", F.lit(" in "), "n", F.lit(" words")), "WARN"),
+            gates.rule("concrete figures", ~F.col("sparse"), F.concat("figures", F.lit(" in "), "n", F.lit(" words")), "WARN"),
         ],
     )
     return gates.together(tells, shapes, habits, search)

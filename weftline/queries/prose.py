@@ -93,25 +93,27 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("numeric_density", f"select doc_id, numbers, n_words, numbers < 0.01 * n_words as sparse from (select doc_id, len(regexp_extract_all(text, '[0-9][0-9,.:]*')) as numbers, greatest(len({SPACE_SQL}), 1) as n_words from documents)")
 def numeric_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("[0-9][0-9,.:]*")).alias("numbers"), F.greatest(F.size(text.space_words(F.col("text"))), F.lit(1)).alias("n_words"))
-    return docs.withColumn("sparse", F.col("numbers") < 0.01 * F.col("n_words"))
+    docs = table(spark, sf_dir, "documents").withColumn("n_words", F.greatest(F.size(text.space_words(F.col("text"))), F.lit(1)))
+    numbers, sparse = copy_gate.figure_density(F.col("text"), F.col("n_words"), "[0-9][0-9,.:]*")
+    return docs.select("doc_id", numbers.alias("numbers"), "n_words", sparse.alias("sparse"))
 
 
 @query("dash_density", f"select doc_id, length(text) - length(replace(text, '-', '')) as dashes, (length(text) - length(replace(text, '-', ''))) > greatest(2.0, greatest(len({SPACE_SQL}), 1) / 150.0) as dense from documents")
 def dash_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The density rule of em dashes, over hyphens, which the driver's documents hold."""
-    n = F.length("text") - F.length(F.replace("text", F.lit("-"), F.lit("")))
-    words = F.greatest(F.size(text.space_words(F.col("text"))), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("dashes"), (n > F.greatest(F.lit(2.0), words / 150)).alias("dense"))
+    n, dense = copy_gate.dash_density(F.col("text"), F.greatest(F.size(text.space_words(F.col("text"))), F.lit(1)), "-")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("dashes"), dense.alias("dense"))
 
 
-@query("corpus_trace", "select item_id, doc_id from (select item_id, substr(text, 1, 40) as p from benchmark), documents where contains(text, p)")
+@query("corpus_trace", f"""with p as (select distinct item_id, array_to_string({SPACE_SQL}, ' ') as phrase from (select item_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[\\n' || chr(1) || ']')) as text from benchmark)),
+ d as (select doc_id, ' ' || array_to_string({SPACE_SQL}, ' ') || ' ' as body from documents)
+ select distinct item_id, doc_id from p, d where phrase <> '' and contains(body, ' ' || phrase || ' ')""")
 def corpus_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the opening of a benchmark item."""
+    """Documents that hold a whole sentence or line of a benchmark item."""
     from weftline.operators import matching
 
-    openings = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("phrase"))
-    return matching.phrases_in(table(spark, sf_dir, "documents"), openings, "text", "phrase").select("item_id", "doc_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\x01"), "[\n\x01]")).alias("phrase"))
+    return matching.word_phrases_in(table(spark, sf_dir, "documents"), items, "doc_id", "text", "phrase").select("item_id", "doc_id").distinct()
 
 
 @query("intent_dupes", "with i(intent, phrase) as (values ('a', 'the'), ('a', 'und'), ('a', 'que'), ('b', 'thin'), ('b', 'tion'), ('c', 'eau')), h as (select distinct conv_id, intent, phrase from conversations, i where contains(lower(text), phrase)) select conv_id, intent, count(*) as phrases from h group by conv_id, intent having count(*) > 1")
