@@ -348,3 +348,44 @@ def test_matching_edges(spark):
 
 def test_byte_types_cover_names(spark):
     assert binary.BY_NAME["mjs"] == "text/javascript" and copy_gate.KEPT == 3
+
+
+def test_update_mode_keeps_every_key(spark, tmp_path):
+    """Two files, one micro-batch each: keys of the first stay, and a later smaller record replaces its key's."""
+    from weftline.queries import streams
+    from weftline.streaming import recorder
+
+    rows = [(1, 10, 5), (2, 11, 6), (3, 12, 7)], [(2, 13, 1), (3, 14, 9), (4, 15, 2)]
+    schema = "user long, event long, seq long"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for forget in (None, 3_600_000):
+        out = streams.run(spark, recorder.numbered_first(stream, "user", "event", "seq", forget), "update", ["user"])
+        assert sorted((r.user, r.event, r.seq) for r in out.collect()) == [(1, 10, 5), (2, 13, 1), (3, 12, 7), (4, 15, 2)]
+
+
+def test_phrases_of_repeated_ids_count_once_a_row(spark):
+    body = "over and again " * 60
+    rows = spark.createDataFrame([(1, body), (1, body), (2, None), (3, "too short"), (4, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.phrase, r.hits, r["first"], r.words) for r in copy_gate.frequent_phrases(rows, "doc_id", "text", (2,), habits=False).collect())
+    assert got == sorted([(1, "over and", 60, 0, 180), (1, "and again", 60, 1, 180), (1, "again over", 59, 2, 180)] * 2)
+    assert copy_gate.frequent_phrases(rows.limit(0), "doc_id", "text").collect() == []
+
+
+def test_names_of_many_runs_are_traced(spark):
+    files = spark.createDataFrame([("a", "By The Old Red Barn Door Works, ltd\nat alpha.example!"), ("b", "alphabet red.barn"), ("c", None)], "rel string, text string")
+    names = spark.createDataFrame([("the old red barn door works",), ("alpha.example",), ("alpha",), ("red.barn",), ("barn door",)], "name string")
+    got = {(r.rel, r.line, r.name) for r in bundle.corpus_traces(files, names).collect()}
+    assert got == {("a", 1, "the old red barn door works"), ("a", 2, "alpha.example"), ("b", 1, "red.barn")}
+
+
+def test_phrases_beyond_a_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "the quick brown fox"), (2, "brown"), (3, None), (4, "")], "i int, t string")
+    phrases = spark.createDataFrame([("quick br",), ("o",), ("brown fox jumps",), ("brown",), ("",)], "p string")
+    small = sorted((r.i, r.p) for r in matching.phrases_in(texts, phrases, "t", "p").collect())
+    monkeypatch.setattr(matching, "SMALL", 1)
+    assert sorted((r.i, r.p) for r in matching.phrases_in(texts, phrases, "t", "p").collect()) == small
+    words = spark.createDataFrame([("quick  brown fox",), ("brown",), ("own",), (" ",), ("a b c d e f g",)], "p string")
+    texts = texts.unionByName(spark.createDataFrame([(5, "x a b\nc d e f g"), (6, "a b c d e g f"), (5, "brown")], "i int, t string"))
+    assert sorted((r.i, r.p) for r in matching.word_phrases_in(texts, words, "i", "t", "p").collect()) == [(1, "brown"), (1, "quick  brown fox"), (2, "brown"), (5, "a b c d e f g"), (5, "brown")]

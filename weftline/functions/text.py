@@ -96,6 +96,11 @@ def staccato(text: Column, most_words: int = 5) -> Column:
     return longest_run(sentences(text), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) <= most_words)
 
 
+def sample(text: Column, size: int = 60) -> Column:
+    """The first characters of a text, for reports."""
+    return F.substring(text, 1, size)
+
+
 def top_level_parts(text: Column) -> Column:
     """Parts between commas that stand outside parentheses, trimmed (parentheses nested once)."""
     return F.transform(F.split(text, r",(?![^(]*\))"), lambda s: F.trim(s))

@@ -82,13 +82,18 @@ def asset_url(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def url_tag(url: Column) -> Column:
+    """What tells files of one name apart: the first 8 digits of the URL's SHA-1."""
+    return F.substring(F.sha1(url), 1, 8)
+
+
 def asset_name(url: Column, clash: Column) -> Column:
     """Local file name: the base name, or with a hash of the URL before the extension if the URL has a query or the name is taken."""
     base = F.regexp_extract(part(url, "path"), r"([^/]*)$", 1)
     base = F.when(base == "", F.lit("index")).otherwise(base)
     stem, ext = F.regexp_extract(base, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(base, r"^.+?(\.[^.]*)?$", 1)
     stem = F.when(F.regexp_like(base, F.lit(r"^.+\.[^.]*$")), F.regexp_extract(base, r"^(.+)\.[^.]*$", 1)).otherwise(stem)
-    tagged = F.concat(stem, F.lit("__"), F.substring(F.sha1(url), 1, 8), ext)
+    tagged = F.concat(stem, F.lit("__"), url_tag(url), ext)
     return F.when((part(url, "query") != "") | clash, tagged).otherwise(base)
 
 

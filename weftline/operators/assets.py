@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import urls
@@ -133,11 +133,11 @@ def claimed(found: DataFrame) -> DataFrame:
     """(url, round, name, tag): local names. The first URL of a base name, by round and then alphabetically, keeps it plain; those with a query never do."""
     plain = urls.asset_name(F.col("url"), F.lit(False))
     base = F.regexp_extract(urls.part(F.col("url"), "path"), r"([^/]*)$", 1)
-    first = Window.partitionBy("__base").orderBy("round", "url")
     rows = found.groupBy("url").agg(F.min("round").alias("round")).withColumn("__base", F.when(base == "", "index").otherwise(base))
-    rows = rows.withColumn("__clash", F.row_number().over(first) > 1)
+    first = rows.groupBy("__base").agg(F.min_by("url", F.struct("round", "url")).alias("__first"))
+    rows = rows.join(first, "__base").withColumn("__clash", F.col("url") != F.col("__first"))
     named = F.when(F.col("__clash"), urls.asset_name(F.col("url"), F.lit(True))).otherwise(plain)
-    return rows.select("url", "round", named.alias("name"), F.when(named != F.col("__base"), F.substring(F.sha1("url"), 1, 8)).alias("tag"))
+    return rows.select("url", "round", named.alias("name"), F.when(named != F.col("__base"), urls.url_tag(F.col("url"))).alias("tag"))
 
 
 def rewrite(pages: DataFrame, page_assets: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -200,8 +200,19 @@ def totals(fetched: DataFrame) -> DataFrame:
     return v.agg(F.count_if(F.col("bucket").isNull()).alias("mirrored"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.length("body"))), F.lit(0)).alias("bytes"), F.count_if(F.col("bucket").isin("integrity_problems", "network_failures")).alias("problems"), *lists)
 
 
+def build_manifest_parts(fetched: DataFrame, changes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(section, json): the manifest of a build of any size as lines: a header with counts, each asset's failure with its kind, changes by class, and links."""
+    from weftline.plans import sinks
+
+    why = fetched.select("url", verdict(fetched).alias("why"), F.length("body").alias("size")).withColumn("bucket", F.when(~F.col("why").isin("ok", "stub"), bucket(F.col("why"))))
+    own = F.col("bucket").isNull()
+    header = why.agg(F.count_if(own).alias("mirrored"), F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(F.col("bucket").isin("integrity_problems", "network_failures")).alias("problems"))
+    links = placed.groupBy(F.when(F.col("place") == "#inert", "inert").otherwise("wired").alias("state")).agg(F.count("*").alias("n"))
+    return sinks.manifest_lines(header, failure=why.where(~own).select("bucket", "url", "why"), change=changes.groupBy("name").agg(F.sum("n").alias("n")), links=links)
+
+
 def build_manifest(fetched: DataFrame, changes: DataFrame, placed: DataFrame) -> DataFrame:
-    """One JSON document of a build: assets, changes by class (name, n), links wired and inert."""
+    """One JSON document of a small build: assets, changes by class (name, n), links wired and inert. All of it in one row; build_manifest_parts() is for any size."""
     c = changes.groupBy("name").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("changes"))
     w = placed.agg(F.count_if(F.col("place") != "#inert").alias("wired"), F.count_if(F.col("place") == "#inert").alias("inert"))
     return totals(fetched).crossJoin(c).crossJoin(w).select(F.to_json(F.struct("*")).alias("json"))

@@ -10,6 +10,8 @@ from weftline.operators import tallies
 #: Elements read of a page, and the style properties of each tally.
 ELEMENTS = 4000
 KINDS = {"families": "font-family", "type": "font-size", "colours": "color", "backgrounds": "background-color", "radii": "border-radius", "shadows": "box-shadow", "transitions": "transition", "spacing": "padding", "gaps": "gap", "borders": "border"}
+#: Classes that name a state, and elements of a selector path.
+STATE_CLASS, HOPS = r"^(is|has)-|active|visible", 4
 STATES = r"(?i):(hover|focus-visible|focus|active)\b"
 
 
@@ -94,6 +96,25 @@ def filled_ends(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return starts.join(last, ["element", "property"], "left").withColumn("to", F.coalesce("to", "__to")).drop("__to")
 
 
+def selector_paths(elements: DataFrame) -> DataFrame:
+    """(page, node, path): a selector of each element (page, node, parent, tag, id, classes, nth, alike): itself and its ancestors up to an id or HOPS of them, outermost first.
+
+    A step is the tag in small letters and #id, which ends the way up, or up
+    to two classes that are no state, and its place among siblings of its tag
+    where there are several (nth of alike). Each hop is an equi-join of the
+    elements still on their way.
+    """
+    kept = F.slice(F.filter(F.coalesce("classes", F.array().cast("array<string>")), lambda c: ~F.regexp_like(c, F.lit(STATE_CLASS))), 1, 2)
+    own = F.concat(F.lower("tag"), F.when(F.coalesce("id", F.lit("")) != "", F.concat(F.lit("#"), "id")).otherwise(F.concat(F.array_join(F.transform(kept, lambda c: F.concat(F.lit("."), c)), ""), F.when(F.col("alike") > 1, F.concat(F.lit(":nth-of-type("), "nth", F.lit(")"))).otherwise(""))))
+    steps = elements.select("page", "node", "parent", own.alias("step"), (F.coalesce("id", F.lit("")) != "").alias("named"))
+    way = steps.select("page", "node", F.when(~F.col("named"), F.col("parent")).alias("up"), F.col("step").alias("path"))
+    above = steps.select(F.col("page").alias("p"), F.col("node").alias("n"), F.col("parent").alias("next"), "step", "named")
+    for _ in range(HOPS - 1):
+        joined = way.join(above, (F.col("page") == F.col("p")) & (F.col("up") == F.col("n")), "left")
+        way = joined.select("page", "node", F.when(~F.col("named"), F.col("next")).alias("up"), F.when(F.col("step").isNotNull(), F.concat("step", F.lit(" > "), "path")).otherwise(F.col("path")).alias("path"))
+    return way.select("page", "node", "path")
+
+
 def design_dials(motion: DataFrame, sections: DataFrame) -> DataFrame:
     """(page, animations, durations, layouts): how much moves and how many layouts there are."""
     m = motion.groupBy("page").agg(F.count("*").alias("animations"), F.array_sort(F.collect_set("duration")).alias("durations"))

@@ -102,8 +102,16 @@ def missing_targets(placed: DataFrame, built: DataFrame) -> DataFrame:
     return placed.where("place <> '#inert'").select(F.col("place").alias("slug")).distinct().join(built.select("slug"), "slug", "left_anti")
 
 
+def manifest_parts(pages: DataFrame, skipped: DataFrame, coverage_rows: DataFrame, origin: str) -> DataFrame:
+    """(section, json): the manifest of a crawl of any size as lines: a header with counts, pages with their keys, skipped ones with reasons, differences with the sitemap."""
+    from weftline.plans import sinks
+
+    header = pages.agg(F.lit(origin).alias("origin"), F.count("*").alias("n_pages"))
+    return sinks.manifest_lines(header, page=pages.select("url", "slug", urls.key(F.col("url")).alias("key")), skipped=skipped.select("url", "reason"), coverage=coverage_rows.select("side", "url"))
+
+
 def manifest(pages: DataFrame, skipped: DataFrame, coverage_rows: DataFrame, origin: str) -> DataFrame:
-    """One JSON document of a crawl: pages, skipped with reasons, urlmap, differences with the sitemap."""
+    """One JSON document of a small crawl: pages, skipped with reasons, urlmap, differences with the sitemap. All of it in one row; manifest_parts() is for any size."""
     p = pages.agg(F.array_sort(F.collect_list(F.struct("url", "slug"))).alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(urls.key(F.col("url")).alias("key"), "slug")))).alias("urlmap"))
     s = skipped.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("url", "reason")))).alias("skipped"))
     c = coverage_rows.agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("url")))).alias(side) for side in ("sitemap_only", "crawl_only")])

@@ -43,6 +43,11 @@ def sections_of(elements: DataFrame) -> DataFrame:
     return elements.where(visible(elements) & ~F.upper("tag").isin("HEADER", "NAV", "FOOTER") & ~F.coalesce("in_nav", F.lit(False)) & (F.col("rect.height") >= 160) & (F.col("rect.width") >= 0.6 * F.col("viewport_w")))
 
 
+def eyebrow_budget(sections: Column) -> Column:
+    """Eyebrows that so many sections may have: one in three, rounded up."""
+    return F.ceil(sections / 3)
+
+
 def eyebrows(elements: DataFrame) -> DataFrame:
     """Small spaced capitals with a heading close below in the same host."""
     size, track = F.col("font_size"), F.col("letter_spacing")
@@ -161,7 +166,7 @@ def design_gate(
         per_case(per).join(top, "case", "left").join(run, "case", "left").join(cross, "case", "left").join(brows, "case", "left"),
         "case",
         [
-            gates.rule("eyebrows", F.coalesce("eyebrows", F.lit(0)) <= F.ceil(F.col("n") / 3), F.col("eyebrows")),
+            gates.rule("eyebrows", F.coalesce("eyebrows", F.lit(0)) <= eyebrow_budget(F.col("n")), F.col("eyebrows")),
             gates.rule("flat sections", F.col("flat") <= FLAT_SHARE, F.bround("flat", 2), "WARN"),
             gates.rule("opening shape", F.coalesce("repeats", F.lit(0)) < REPEAT, F.concat("shape", F.lit(" x"), "repeats"), "WARN", F.col("n").isNotNull()),
             gates.rule("split runs", F.col("split_run") < SPLIT_RUN, F.col("split_run")),

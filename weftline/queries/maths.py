@@ -109,17 +109,19 @@ def asset_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hash_prefix", "select page_id, substr(sha1(url), 1, 8) as tag from pages")
 def hash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.substring(F.sha1("url"), 1, 8).alias("tag"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_tag(F.col("url")).alias("tag"))
 
 
 @query("eyebrow_budget", "select conv_id, count(*) as sections, ceil(count(*) / 3.0)::bigint as allowed from conversations group by conv_id")
 def eyebrow_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("sections")).withColumn("allowed", F.ceil(F.col("sections") / 3))
+    from weftline.operators import design
+
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("sections")).withColumn("allowed", design.eyebrow_budget(F.col("sections")))
 
 
 @query("text_samples", "select doc_id, substr(text, 1, 60) as sample, lower(regexp_extract(text, '([A-Za-z0-9-]+)', 1)) as label from documents")
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("sample"), F.lower(F.regexp_extract("text", "([A-Za-z0-9-]+)", 1)).alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.sample(F.col("text")).alias("sample"), F.lower(F.regexp_extract("text", "([A-Za-z0-9-]+)", 1)).alias("label"))
 
 
 @query("first_attribute", """select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, nullif(trim(regexp_extract(html, '(?is)<html[^>]+lang="([^"]*)"', 1)), '') as lang, nullif(trim(regexp_extract(html, '(?is)<meta[^>]+charset="([^"]*)"', 1)), '') as charset from pages""")

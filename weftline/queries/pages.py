@@ -193,3 +193,57 @@ def origin_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = F.floor((F.length("html") - F.length(F.replace("html", F.col("origin"), F.lit("")))) / F.length("origin")).cast("long")
     off = F.size(F.filter(markup.hrefs(F.col("html")), lambda h: ~F.startswith(F.concat(F.lit(SITE), F.replace(h, F.lit("&amp;"), F.lit("&"))), F.col("origin"))))
     return pages.select("page_id", refs.alias("origin_refs"), off.cast("long").alias("off_origin"))
+
+
+@query(
+    "range_responses",
+    """select page_id as request_id, case when page_id % 4 = 3 then 404 else 200 end as status, case page_id % 4 when 0 then 'text/css' when 3 then null else 'text/plain' end as content_type,
+ length(body)::int as content_length, case when page_id % 4 < 2 then 'no-store' end as cache_control, body from (select page_id, case page_id % 4 when 0 then substr(url, 1, 4) when 1 then substr(url, 1, 5) || substr(url, 3, 8) when 2 then url end as body from pages)""",
+)
+def range_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs as files of a copied site: slices in the order asked for, an asset found by its base name, a malformed range, a missing file."""
+    from weftline.plans import serving
+
+    pages, n = table(spark, sf_dir, "pages"), F.col("page_id") % 4
+    files = pages.select(F.concat(F.when(n == 0, F.lit("/cdn/a")).otherwise("/p/"), "page_id", F.when(n == 0, ".css").otherwise(".txt")).alias("path"), F.encode("url", "UTF-8").alias("body")).where(n != 3)
+    target = F.when(n == 0, F.concat(F.lit("/made/by/script/a"), "page_id", F.lit(".css?v=2&range=0-3"))).when(n == 1, F.concat(F.lit("/p/"), "page_id", F.lit(".txt?range=0-4%2C2-9"))).when(n == 2, F.concat(F.lit("/p/"), "page_id", F.lit(".txt?range=9-1"))).otherwise(F.concat(F.lit("/p/"), "page_id", F.lit(".txt")))
+    out = serving.responses(pages.select(F.col("page_id").alias("request_id"), target.alias("target")), files)
+    return out.withColumn("body", F.decode("body", "UTF-8"))
+
+
+@query(
+    "selector_paths",
+    """select 'c' || c_custkey as node, case when n_nationkey % 5 = 0 then 'ul#n' || n_nationkey || ' > ' else 'body > div > ul > ' end || 'li.card.big' || case when c_custkey % 2 = 0 then ':nth-of-type(' || c_custkey || ')' else '' end as path from customer join nation on c_nationkey = n_nationkey""",
+)
+def selector_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers as nested elements of one page, and the paths to the innermost."""
+    from weftline.operators import capture
+
+    schema = ["page", "node", "parent", "tag", "id", "classes", "nth", "alike"]
+    none = F.array().cast("array<string>")
+    make = lambda d, *c: d.select(F.lit("w").alias("page"), *[x.alias(n) for x, n in zip(c, schema[1:], strict=True)])
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    one = F.lit(1).cast("long")
+    top = make(spark.range(1), F.lit("top"), F.lit(None).cast("string"), F.lit("BODY"), F.lit(""), none, one, one)
+    regions = make(table(spark, sf_dir, "region"), key("r", "r_regionkey"), F.lit("top"), F.lit("DIV"), F.lit(None).cast("string"), none, one, one)
+    nations = make(table(spark, sf_dir, "nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), F.lit("UL"), F.when(F.col("n_nationkey") % 5 == 0, key("n", "n_nationkey")), F.array(F.lit("has-list")), one, one)
+    classes = F.array(*[F.lit(c) for c in ("is-x", "card", "active-tab", "big", "huge")])
+    items = make(table(spark, sf_dir, "customer"), key("c", "c_custkey"), key("n", "c_nationkey"), F.lit("LI"), F.lit(""), classes, F.col("c_custkey").cast("long"), F.when(F.col("c_custkey") % 2 == 0, 2).otherwise(1).cast("long"))
+    return capture.selector_paths(top.unionByName(regions).unionByName(nations).unionByName(items)).where(F.col("node").startswith("c")).select("node", "path")
+
+
+TRACED = ["apache license", "license", "mit license", "que", "und", "the", "der", "http"]
+
+
+@query(
+    "corpus_names_traced",
+    f"""with l as (select doc_id, l, unnest(range(1, len(l) + 1)) as line, l[line] as body from (select doc_id, string_split(lower(text), chr(10)) as l from documents)),
+ h as (select doc_id, line, name, length(regexp_extract(body, '^((?s:.*?[^a-z0-9])??)' || name || '(?:[^a-z0-9]|$)', 1)) as place from l, (values {', '.join(f"('{n}')" for n in TRACED)}) as n(name) where regexp_matches(body, '(?:^|[^a-z0-9])' || name || '(?:[^a-z0-9]|$)'))
+ select doc_id::varchar as rel, line, arg_min(name, (place, -length(name))) as name from h group by doc_id, line""",
+)
+def corpus_names_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of some names on each line of all documents."""
+    from weftline.operators import bundle
+
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel"), "text")
+    return bundle.corpus_traces(files, spark.createDataFrame([(n,) for n in TRACED], "name string"))
