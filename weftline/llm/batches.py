@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a vectorised operator holds; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch that few_rows() sets: whole texts in batches of Spark's 10,000 rows (64 MB at most) fill a small executor's memory outside the heap.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of a session small, unless it has been told otherwise. For applications; operators leave the session alone."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 #: What the running Python worker keeps between tasks: one model, so that those of earlier stages don't fill its memory.
 _kept: tuple = (None, None)
 
 
 def only(key, make: Callable[[], object] = lambda: None):
-    """The worker's one kept model: the one of this key, made if another is kept."""
+    """The worker's one kept model: the one of this key, made if another is kept. What earlier tasks have left free goes back to the system."""
     global _kept
     if _kept[0] != key:
         _kept = (None, None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
         _kept = (key, make())
     return _kept[1]
 
