@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages it
 is written as Parquet and read again. All stages but the last return the
-columns of docs.
+columns of docs. Stages set the session's Arrow batches to few rows, where it
+has Spark's own number, so that all models and texts fit small executors.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts, and those without a letter, have no language and go.
     Each row is judged by its own text, so rows that repeat stay or go alike.
     """
+    batches.few_rows(spark)
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     if not model.langs:
         return docs
@@ -45,6 +47,7 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     texts are documents of their own, in the order of their texts' hashes.
     Documents without an id, or without words, stay.
     """
+    batches.few_rows(spark)
     own = quoted(docs)
     ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if ids[0] == ids[1]:
@@ -63,6 +66,7 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document with a smaller id holds too; documents of which nothing is left go. Null and empty texts, and rows without an id, stay as they are; repeated rows are cut alike."""
+    batches.few_rows(spark)
     out = passages.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -71,11 +75,13 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark. Each row is judged by its own text; null and empty texts hold none and stay."""
+    batches.few_rows(spark)
     return bench_leaks.clean(docs, table(spark, sf_dir, "benchmark")).select(*quoted(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, begins, ends, decoded) of every row, repeated ones too; a null text counts as empty and has no ids."""
+    batches.few_rows(spark)
     out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", "decoded")
 
