@@ -56,10 +56,11 @@ def media_type(name: Column, head: Column) -> Column:
 
 def byte_ranges(text: Column) -> Column:
     """"a-b,c-d" as inclusive ranges; null if any part is malformed or runs backwards."""
-    parts = F.split(text, ",")
-    good = F.forall(parts, lambda p: F.coalesce(F.regexp_like(F.trim(p), F.lit(r"^\d+-\d+$")), F.lit(False)))
-    made = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"(\d+)-(\d+)", 1).try_cast("long").alias("first"), F.regexp_extract(p, r"(\d+)-(\d+)", 2).try_cast("long").alias("last")))
-    return F.when(good & F.forall(made, lambda r: F.coalesce(r["first"] <= r["last"], F.lit(False))), made)
+    fine = F.regexp_like(text, F.lit(r"^ *\d+-\d+ *(?:, *\d+-\d+ *)*$"))
+    n = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
+    at = lambda i: F.get(n, i).try_cast("long")
+    made = F.transform(F.sequence(F.lit(0), (F.size(n) / 2).cast("int") - 1), lambda i: F.struct(at(2 * i).alias("first"), at(2 * i + 1).alias("last")))
+    return F.when(fine & F.forall(made, lambda r: F.coalesce(r["first"] <= r["last"], F.lit(False))), made)
 
 
 def sliced(payload: Column, ranges: Column) -> Column:

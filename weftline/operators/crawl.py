@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,46 +37,51 @@ def fetch_outcome(status, content_type, final_url):
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): nodes that edges (src, dst) reach from seeds (node), with the fewest steps. Level by level, each an anti-join with what is known."""
-    known = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    level, depth = known, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        fresh = edges.join(level.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-        level = cut(fresh.withColumn("depth", F.lit(depth)))
-        if not level.limit(1).count():
+    levels = [cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
+    while max_depth is None or len(levels) <= max_depth:
+        known = reduce(DataFrame.unionByName, levels)
+        fresh = edges.join(levels[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
+        levels.append(cut(fresh.withColumn("depth", F.lit(len(levels)))))
+        if not levels[-1].limit(1).count():
             break
-        known = cut(known.unionByName(level))
-    return known
+    return reduce(DataFrame.unionByName, levels)
 
 
-def crawl(edges: DataFrame, start: str, sitemap: DataFrame, allowed: DataFrame, max_pages: int = 30, max_depth: int = 2) -> tuple[DataFrame, DataFrame]:
+def crawl(edges: DataFrame, start: str, sitemap: DataFrame, allowed: DataFrame, max_pages: int = 30, max_depth: int = 2, sitemap_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pages in the order of a first-in first-out queue, and what was left out with a reason.
 
     edges (src, ord, dst) are keys of links, sitemap (ord, key) what is queued
     behind the start at depth 1, allowed (key, reason) the policy's answer
-    ("follow" or why not). Returns (key, depth, seq) of at most max_pages and
-    (key, reason) of the others.
+    ("follow" or why not). sitemap_first queues it before the start's own
+    links too. Returns (key, depth, seq) of at most max_pages and (key, reason)
+    of the others; a page that only pages beyond the cap name was never queued
+    and isn't among them.
+
+    A path of places gives each page its place in the queue: its finder's path
+    and its place there, below one digit for the start and one for the sitemap.
     """
+    top, mapped_at = ("1", "0") if sitemap_first else ("0", "1")
     spark = edges.sparkSession
     follow = allowed.where("reason = 'follow'").select("key")
-    seeds = spark.createDataFrame([(start, 0, "0")], "key string, depth int, path string")
-    mapped = sitemap.select("key", F.lit(1).alias("depth"), F.concat(F.lit("1."), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("path")).where(F.col("key") != start).join(follow, "key", "left_semi")
+    seeds = spark.createDataFrame([(start, 0, top)], "key string, depth int, path string")
+    mapped = sitemap.select("key", F.lit(1).alias("depth"), F.concat(F.lit(f"{mapped_at}."), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("path")).where(F.col("key") != start).join(follow, "key", "left_semi")
     first = lambda d: d.groupBy("key").agg(F.min(F.struct("depth", "path")).alias("q")).select("key", "q.depth", "q.path")
-    queue = cut(first(seeds.unionByName(mapped)))
-    done = queue
-    level = queue
+    levels = [cut(first(seeds.unionByName(mapped)))]
     for _ in range(max_depth):
-        found = edges.join(level.where(F.col("depth") < max_depth).select(F.col("key").alias("src"), "depth", "path"), "src")
+        found = edges.join(levels[-1].where(F.col("depth") < max_depth).select(F.col("key").alias("src"), "depth", "path"), "src")
         found = found.select(F.col("dst").alias("key"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("."), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("path"))
-        level = cut(first(found.join(follow, "key", "left_semi").join(done.select("key"), "key", "left_anti")))
-        if not level.limit(1).count():
+        known = reduce(DataFrame.unionByName, levels)
+        levels.append(cut(first(found.join(follow, "key", "left_semi").join(known.select("key"), "key", "left_anti"))))
+        if not levels[-1].limit(1).count():
             break
-        done = cut(done.unionByName(level))
-    top = done.orderBy("depth", "path").limit(max_pages).select("key", "depth", "path")
-    ranked = cut(top).withColumn("seq", F.expr("row_number() over (order by depth, path)")).select("key", "depth", "seq")
-    capped = done.join(ranked.select("key"), "key", "left_anti").select("key", F.lit("max-pages cap").alias("reason"))
+    done = reduce(DataFrame.unionByName, levels)
+    ranked = cut(done.orderBy("depth", "path").limit(max_pages).select("key", "depth", "path")).withColumn("seq", F.expr("row_number() over (order by depth, path)")).select("key", "depth", "path", "seq")
+    finder = F.regexp_replace("path", r"\.[^.]*$", "")
+    rest = done.join(ranked.select("key"), "key", "left_anti").withColumn("finder", finder)
+    queued = rest.join(ranked.select(F.col("path").alias("finder")).unionByName(spark.createDataFrame([(mapped_at,)], "finder string")), "finder", "left_semi")
+    capped = queued.select("key", F.lit("max-pages cap").alias("reason"))
     refused = allowed.where("reason <> 'follow'").select("key", "reason")
-    return ranked, capped.unionByName(refused).groupBy("key").agg(F.first("reason").alias("reason"))
+    return ranked.drop("path"), capped.unionByName(refused).groupBy("key").agg(F.first("reason").alias("reason"))
 
 
 def coverage(sitemap: DataFrame, reached: DataFrame) -> DataFrame:

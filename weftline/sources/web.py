@@ -25,14 +25,15 @@ def robots_rules(texts: DataFrame) -> DataFrame:
 
 
 def robots_blocked(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """urls with a column `robots`: a rule of its origin begins its path and query. Rules of a crawl are few and broadcast."""
+    """urls with a column `robots`: a rule of its origin begins its path and query. The rules of a crawl are broadcast where they are few (matching.SMALL origins)."""
     from weftline.functions import urls as U
+    from weftline.operators import matching
 
     u = F.col(url_col)
     tail = F.concat(U.part(u, "path"), F.when(U.part(u, "query") != "", F.concat(F.lit("?"), U.part(u, "query"))).otherwise(""))
     keyed = urls.withColumns({"__origin": U.origin(u), "__tail": tail})
     pats = rules.groupBy(F.col("origin").alias("__origin")).agg(F.collect_set(U.robots_pattern(F.col("rule"))).alias("__pats"))
-    j = keyed.join(F.broadcast(pats), "__origin", "left")
+    j = keyed.join(F.broadcast(pats) if matching.is_small(pats) else pats, "__origin", "left")
     return j.withColumn("robots", F.coalesce(F.exists("__pats", lambda p: F.regexp_like(F.col("__tail"), p)), F.lit(False))).drop("__origin", "__tail", "__pats")
 
 
