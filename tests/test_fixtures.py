@@ -389,3 +389,39 @@ def test_phrases_beyond_a_broadcast(spark, monkeypatch):
     words = spark.createDataFrame([("quick  brown fox",), ("brown",), ("own",), (" ",), ("a b c d e f g",)], "p string")
     texts = texts.unionByName(spark.createDataFrame([(5, "x a b\nc d e f g"), (6, "a b c d e g f"), (5, "brown")], "i int, t string"))
     assert sorted((r.i, r.p) for r in matching.word_phrases_in(texts, words, "i", "t", "p").collect()) == [(1, "brown"), (1, "quick  brown fox"), (2, "brown"), (5, "a b c d e f g"), (5, "brown")]
+
+
+def test_archives(spark):
+    import io
+    import zipfile
+
+    from weftline.plans import sinks
+
+    files = spark.createDataFrame([("a", "x/one.md", b"1"), ("a", "two.md", None), ("a", "two.md", b"zz"), ("b", "one.md", b"1"), ("b", None, b"1")], "bundle string, rel string, body binary")
+    got = {r.bundle: zipfile.ZipFile(io.BytesIO(r.archive)) for r in sinks.archives(files, "kit").collect()}
+    assert {b: {n: z.read(n) for n in z.namelist()} for b, z in got.items()} == {"a": {"kit/two.md": b"", "kit/x/one.md": b"1"}, "b": {"kit/one.md": b"1"}}
+    assert sinks.archives(files.limit(0), "kit").collect() == []
+
+
+def test_manifests_as_lines(spark):
+    pages = spark.createDataFrame([("https://a.example/x/", "x.html"), ("https://a.example/y", "y.html")], "url string, slug string")
+    skipped = spark.createDataFrame([("u", "robots")], "url string, reason string")
+    sides = spark.createDataFrame([("v", "crawl_only")], "url string, side string")
+    got = sorted((r.section, json.loads(r.json)) for r in crawl.manifest_parts(pages, skipped, sides, "https://a.example").collect() if r.section != "page")
+    assert got == [("coverage", {"side": "crawl_only", "url": "v"}), ("header", {"origin": "https://a.example", "n_pages": 2}), ("skipped", {"url": "u", "reason": "robots"})]
+    b = fixtures.build(spark)
+    rows_ = [(r.section, json.loads(r.json)) for r in assets.build_manifest_parts(b["fetched"], spark.createDataFrame([("sri", 2), ("sri", 1)], "name string, n int"), spark.createDataFrame([("index.html",), ("#inert",)], "place string")).collect()]
+    assert [x for k, x in rows_ if k == "change"] == [{"name": "sri", "n": 3}] and next(x for k, x in rows_ if k == "header")["problems"] == 2
+    assert sorted(x["bucket"] for k, x in rows_ if k == "failure") == ["integrity_problems", "network_failures", "origin_404s"]
+
+
+def test_answers_of_a_server(spark):
+    from weftline.plans import serving
+
+    files = spark.createDataFrame([("/a.bin", bytes(range(20))), ("/cdn/b.js", b"js"), ("/index.html", b"<p>")], "path string, body binary")
+    asked = spark.createDataFrame([(1, "/a.bin?range=0-1,18-99"), (2, "/deep/b.js?v=1#x"), (3, "/none"), (4, None), (5, "/a.bin?range=50-60"), (6, "/index.html")], "request_id int, target string")
+    out = serving.responses(asked, files)
+    got = {r.request_id: (r.status, r.content_type, r.content_length, r.cache_control, r.body and bytes(r.body)) for r in out.collect()}
+    assert got[1] == (200, "application/octet-stream", 4, "no-store", bytes([0, 1, 18, 19])) and got[2] == (200, "text/javascript", 2, None, b"js") and got[3] == got[4] == (404, None, None, None, None)
+    assert got[5][:4] == (200, "application/octet-stream", 0, "no-store") and got[6] == (200, "text/html", 3, None, b"<p>")
+    assert serving.counters(out).first()[:] == (2, 2, 2)
