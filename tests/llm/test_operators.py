@@ -146,6 +146,49 @@ def test_language(spark, edge):
     assert {r.lang_pred for r in language.identify(frame(spark, [(1, "abc")]), nothing).collect()} == {"und"}
 
 
+def test_language_against_a_plain_scorer(spark):
+    """Words first, then ever shorter n-grams of unseen words, with dictionaries."""
+    r = random.Random(29)
+    parts = {"aa": ["ka", "to", "mi", "é"], "bb": ["ren", "sol", "ka", "ß"], "cc": ["zu", "wi", "to", "ren"]}
+    say = lambda lang, n: " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    train = [(i, say(lang, 30) + r.choice([".", "!", " 12"]), lang) for i, lang in enumerate(list(parts) * 12)]
+    langs = sorted(parts)
+    counts: list = [defaultdict(lambda: [0] * 3) for _ in range(language.LONGEST + 1)]
+    for _, t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for size in range(language.LONGEST + 1):
+                marked = f" {w} "
+                for g in [w] if size == 0 else [marked[k : k + size] for k in range(len(marked) - size + 1)]:
+                    counts[size][g][langs.index(lang)] += 1
+
+    def row(size, g):
+        total = [sum(c[k] for c in counts[size].values()) for k in range(3)]
+        return np.array([np.log((counts[size][g][k] + 0.5) / (total[k] + 0.5 * len(counts[size]))) for k in range(3)])
+
+    def word_row(w):
+        if w in counts[0]:
+            return row(0, w)
+        marked, found = f" {w} ", []
+        for i in range(len(marked) - 1):
+            size = next((n for n in range(language.LONGEST, 0, -1) if i + n <= len(marked) and marked[i : i + n] in counts[n]), None)
+            if size:
+                found.append(row(size, marked[i : i + size]))
+        return language.UNSEEN * np.mean(found, 0) if found else np.zeros(3)
+
+    texts = [(100 + i, say(r.choice(langs), r.randint(1, 6)) + r.choice(["", " kax zuy", " qqq", " Éé ÏÏ"])) for i in range(60)] + [(300, "Ж"), (301, "qq"), (302, "12")]
+    model = language.fit(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    assert model.langs == langs
+    for x in language.identify(frame(spark, texts), model).collect():
+        words = re.findall(r"[^\W\d_]+", dict(texts)[x.doc_id].lower())
+        if not words:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        mean = np.mean([word_row(w) for w in words], 0)
+        p = np.exp((mean - mean.max()) * min(len(words), language.SURE))
+        assert abs(x.score - 1 / p.sum()) < 1e-4
+        assert mean[langs.index(x.lang_pred)] > mean.max() - 1e-5
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
 def test_language_held_out(spark):
     from weftline.llm.registry import QUERIES
