@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import batches
 from weftline.llm.batches import text_keys
+from weftline.session import held
 
 #: A cut is the least gear hash among so many bytes on either side, so chunks have 49 bytes on average and 25 at least.
 REACH = 24
@@ -131,8 +132,9 @@ def shared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     rows = chunks(df, id_col, text_col)
     who = F.struct("doc_id", "text_low", "text_high")
     known = rows.groupBy("low", "high").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first < last").select("low", "high", "first")
-    held = rows.join(known, ["low", "high"]).select("doc_id", "text_low", "text_high", F.struct("place", F.col("first.doc_id").alias("first"), (F.col("first") == who).alias("keeps")).alias("chunk"))
-    mine = held.groupBy("doc_id", "text_low", "text_high").agg(F.collect_set("chunk").alias("held"))
+    known = held(known, "shared")  # a table of its own, so that the join can split a chunk that very many documents hold
+    found = rows.join(known, ["low", "high"]).select("doc_id", "text_low", "text_high", F.struct("place", F.col("first.doc_id").alias("first"), (F.col("first") == who).alias("keeps")).alias("chunk"))
+    mine = found.groupBy("doc_id", "text_low", "text_high").agg(F.collect_set("chunk").alias("held"))
     kind = df.schema[id_col].dataType.simpleString()
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     names = ["doc_id", "text_low", "text_high", "first_doc", "n_passages", "shared_bytes", "removed_bytes", "removed"]
