@@ -17,20 +17,16 @@ def keep_first(stream: DataFrame, key: Sequence[str], time: str | None = None, d
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def numbered_first(stream: DataFrame, key: str, value: str, order: str, forget: int | None = None) -> DataFrame:
+def numbered_first(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, value, order): of each key the record with the smallest order seen up to now, given out when it changes.
 
     For update mode: what a micro-batch gives out replaces the rows of its
-    keys. A key that has been silent for `forget` milliseconds is forgotten
-    and starts anew; without it state grows with the keys.
+    keys. State is one record for each key, so it grows with the keys.
     """
     kind = {c: stream.schema[c].dataType.simpleString() for c in (key, value, order)}
     schema = f"{key} {kind[key]}, {value} {kind[value]}, `{order}` {kind[order]}"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = state.get if state.exists else None
         best = held
         for part in parts:
@@ -40,11 +36,8 @@ def numbered_first(stream: DataFrame, key: str, value: str, order: str, forget:
         if best is not None and best != held:
             state.update(best)
             yield pd.DataFrame({key: [k[0]], value: [best[0]], order: [best[1]]})
-        if forget is not None and best is not None:
-            state.setTimeoutDuration(forget)
 
-    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy(key).applyInPandasWithState(step, schema, f"v {kind[value]}, o {kind[order]}", "update", timeout)
+    return stream.groupBy(key).applyInPandasWithState(step, schema, f"v {kind[value]}, o {kind[order]}", "update", GroupStateTimeout.NoTimeout)
 
 
 def merged_channels(stream: DataFrame, key: Sequence[str]) -> DataFrame:
