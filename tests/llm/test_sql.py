@@ -17,10 +17,10 @@ def test_oracle(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14)) and "pipeline" in QUERIES
 
 
-@pytest.mark.parametrize("name", ["op1_token_counts", "op2_sentence_pieces", "op3_license_scan", "op4_language_id", "op9_token_store"])
+@pytest.mark.parametrize("name", ["op1_token_counts", "op2_sentence_pieces", "op3_license_scan", "op4_language_id", "op9_token_store", "op12_quality_classifier"])
 def test_a_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = QUERIES[name](spark, SF)

@@ -39,4 +39,39 @@ def license_sql() -> str:
  select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from d left join n on n.doc_id = d.doc_id left join f on f.doc_id = d.doc_id"""
 
 
-ORACLES = {"op3_license_scan": license_sql(), "op6_ngram_jaccard": JACCARD}
+AUDIT = r"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+ w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by t) as least from d),
+ m as (select doc_id, part, (len(w) < 200)::int as a, (100 * list_unique(w) < 50 * len(w))::int as b, (100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * len(t))::int as c,
+  regexp_matches(t, '[#$%&*|]')::int as d, coalesce(doc_id > least, false)::int as e from w),
+ l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by 1),
+ c as (select part, [a, b, c, d, e] as f, a + b + c + d + e as fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(bad, 0)) as bad from m left join l using (doc_id) group by all),
+ f as (select unnest([1, 2, 3, 4, 5]) as k),
+ o as (select [p.k, q.k, r.k, s.k, t.k] as o from f p, f q, f r, f s, f t where len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+ x as (select o, array_to_string(list_transform(o, lambda k: chr((64 + k)::int)), '') as filter_order, unnest(range(1, 6)) as step from o),
+ y as (select part, filter_order, step, n, good, bad, fails, f[o[step]] = 1 as own, coalesce(list_sum(list_transform(o[1:step - 1], lambda k: f[k])), 0) > 0 as before from c, x)
+ select part, filter_order, step::int as step, coalesce(sum(n) filter (not own and not before), 0)::bigint as kept, coalesce(sum(n) filter (own and not before), 0)::bigint as removed,
+  coalesce(sum(n) filter (own and before), 0)::bigint as redundant, coalesce(sum(n) filter (own and fails = 1), 0)::bigint as unique_fails, coalesce(sum(good) filter (own and not before), 0)::bigint as good_lost,
+  coalesce(sum(bad) filter (own and not before), 0)::bigint as toxic_lost, coalesce(sum(n * (120 // greatest(fails, 1))) filter (own), 0)::bigint as shapley from y group by all"""
+
+
+def codes_sql(parts: int = 4, rounds: int = 4) -> str:
+    """Every round as a statement of its own: all distances, the nearest entry, the floors of the means."""
+    floor = "(s[k] - ((s[k] % n) + n) % n) // n"
+    near = """select i, p, arg_min(e, (d, e)) as e, min(d) as d from (select x.i, x.p, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from x join b{r} b using (p)) group by i, p"""
+    steps = [f"a{r} as materialized ({near.format(r=r)})" for r in range(rounds + 1)]
+    means = [
+        f"""b{r + 1} as materialized (select p, b{r}.e, coalesce(m.v, b{r}.v) as v from b{r} left join (select p, e, list_transform(range(1, len(s) + 1), lambda k: {floor}) as v
+  from (select p, e, list(t order by k) as s, any_value(n) as n from (select p, e, k, sum(c)::bigint as t, count(*) as n from (select a.p, a.e, unnest(x.v) as c, unnest(range(1, len(x.v) + 1)) as k from a{r} a join x using (i, p)) group by p, e, k) group by p, e)) m using (p, e))"""
+        for r in range(rounds)
+    ]
+    chain = ", ".join(s for r in range(rounds) for s in (steps[r], means[r])) + ", " + steps[rounds]
+    return f"""with u as (select vec_id, label, row_number() over (order by vec_id) as i, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+ x as materialized (select i, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] as v from (select i, v, unnest(range({parts})) as p from u)),
+ b0 as materialized (select p, i - 1 as e, v from x where i <= 256), {chain},
+ h as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) as h from b{rounds}),
+ g as (select i, string_agg(lpad(to_hex(e), 2, '0'), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by i)
+ select vec_id, lower(code) as code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from u join g using (i), h"""
+
+
+ORACLES = {"op3_license_scan": license_sql(), "op6_ngram_jaccard": JACCARD, "op11_filter_audit": AUDIT, "op13_vector_codes": codes_sql()}
