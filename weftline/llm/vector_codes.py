@@ -80,7 +80,7 @@ class Books:
         parts, n, _ = entries.shape
         moved = np.zeros((parts, n)) if before is None else np.sqrt(((entries - before).astype(np.float64) ** 2).sum(2)) * (1 + SLACK)
         others, half = np.zeros((parts, n)), np.full((parts, n), np.inf)
-        for p in range(parts):
+        for p in range(parts if n else 0):
             order = np.argsort(-moved[p], kind="stable")
             others[p] = moved[p, order[0]]
             if n > 1:
