@@ -56,6 +56,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: What the hashes of sampled() are below.
+TOP = 1 << 63
+
+
+def sampled(rows: DataFrame, by: str, keys: list[str], most: int, size: Column | None = None, most_size: int = 0, least: int = 1) -> DataFrame:
+    """About `most` different rows by their keys, taken by a hash, for all values of `by`; rows that repeat are taken together.
+
+    Of each value `least` different rows are taken where there are as many, and
+    the one with the smallest hash always, so no value is lost. With a size of
+    a row, the sizes of those taken add up to about most_size. Shares are parts
+    of 2^63, so any table has a sample. A row for each value of `by` reaches
+    the driver.
+    """
+    spark = rows.sparkSession
+    hashed = rows.withColumn("__hash", F.xxhash64(*(F.col(f"`{k}`") for k in keys)).bitwiseAND(F.lit(TOP - 1)))
+    counts = hashed.groupBy(F.col(f"`{by}`").alias("v")).agg(F.approx_count_distinct("__hash").alias("n"), F.min("__hash").alias("low"), F.sum(size if size is not None else F.lit(0)).cast("double").alias("size")).collect()
+    n, total = sum(r.n for r in counts), sum(r.size for r in counts)
+    share = min(1.0, most / max(n, 1), most_size / total if most_size and total else 1.0)
+    if share == 1.0:
+        return rows
+    edges = [(r.v, max(min(TOP - 1, int(TOP * max(share, min(1.0, least / max(r.n, 1))))), r.low)) for r in counts]
+    limits = spark.createDataFrame(edges, f"__value {rows.schema[by].dataType.simpleString()}, __edge long")
+    return hashed.join(F.broadcast(limits), F.col(f"`{by}`") == F.col("__value")).where("__hash <= __edge").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def text_keys(text_col: str) -> list[Column]:
     """text_low and text_high: 128 bits that tell the texts of one id apart, by two hashes of different seeds."""
     text = F.col(f"`{text_col}`")
@@ -103,6 +128,47 @@ def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+class Numbers:
+    """Numbers by 64-bit hash (never 0): open addressing in a table that grows, so that six of ten slots at most are taken."""
+
+    def __init__(self, slots: int):
+        """slots: a power of two."""
+        self.keys, self.number, self.taken = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0
+
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(20)).astype(np.int64) & (len(self.keys) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of known hashes, -1 for others. There always is a free slot, at which an unknown one ends."""
+        out = np.full(len(h), -1, np.int32)
+        left, at, last = np.arange(len(h)), self._first(h), len(self.keys) - 1
+        while len(left):
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.number[at[hit]]
+            go = ~hit & (key != 0)
+            left, at = left[go], (at[go] + 1) & last
+        return out
+
+    def add(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Adds distinct hashes that are not there yet."""
+        slots = len(self.keys)
+        while 10 * (self.taken + len(h)) > 6 * slots:
+            slots *= 2
+        if slots > len(self.keys):
+            own = np.flatnonzero(self.keys)
+            h, number = np.concatenate([self.keys[own], h]), np.concatenate([self.number[own], number])
+            self.keys, self.number, self.taken = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0
+        self.taken += len(h)
+        left, at, last = np.arange(len(h)), self._first(h), slots - 1
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]
+            won = free & (self.keys[at] == h[left])
+            self.number[at[won]] = number[left[won]]
+            left, at = left[~won], (at[~won] + 1) & last
+
+
 class Spelling:
     """The bytes of numbered units, to compare units that have one hash."""
 

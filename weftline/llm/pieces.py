@@ -16,8 +16,8 @@ from weftline.llm.ragged import PairTable, merge
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-#: Units that a task remembers, and slots of its table; it starts anew when it is full.
-REMEMBER, SLOTS = 400_000, 1 << 20
+#: Units that a task remembers from step to step, slots that its table has at first, and new units that are merged together.
+REMEMBER, SLOTS, TOGETHER = 400_000, 1 << 20, 1 << 18
 U = np.uint64
 RANDOM = np.random.default_rng(2).integers(1, 1 << 63, 256, np.int64).astype(U)
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -225,29 +225,6 @@ class PieceModel:
         h[h == 0] = 1
         return begin, h
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of known hashes, -1 for others."""
-        out = np.full(len(h), -1, np.int32)
-        left, at = np.arange(len(h)), (h >> U(20)).astype(np.int64) & (SLOTS - 1)
-        while len(left):
-            key = self.keys[at]
-            hit = key == h[left]
-            out[left[hit]] = self.number[at[hit]]
-            go = ~hit & (key != 0)
-            left, at = left[go], (at[go] + 1) & (SLOTS - 1)
-        return out
-
-    def learn(self, h: np.ndarray, words: list[str]) -> None:
-        """Adds distinct unknown units to the table."""
-        number = self.store(words)
-        open_, at = np.arange(len(h)), (h >> U(20)).astype(np.int64) & (SLOTS - 1)
-        while len(open_):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[open_[free]]
-            won = free & (self.keys[at] == h[open_])
-            self.number[at[won]] = number[open_[won]]
-            open_, at = open_[~won], (at[~won] + 1) & (SLOTS - 1)
-
     def store(self, words: list[str]) -> np.ndarray:
         """Numbers of new units, whose pieces are kept; all are merged together."""
         get, over = self.ids.get, len(self.pieces)
@@ -274,8 +251,8 @@ class PieceModel:
         return number
 
     def forget(self) -> None:
-        """Starts the table of known units anew: open addressing from the hash of a unit to its number, and what holds for it by number."""
-        self.keys, self.number = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
+        """Starts the table of known units anew: from the hash of a unit to its number, and what holds for it by number."""
+        self.known = batches.Numbers(SLOTS)
         self.count, self.first, self.size = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = [np.zeros(0, np.int32) for _ in range(3)]
         self.spelled = batches.Spelling()
@@ -316,15 +293,17 @@ class PieceModel:
         begin, h = self.units(flat, np.unique(edge[:-1][np.diff(edge) > 0]))
         if len(self.count) > REMEMBER:
             self.forget()
-        number = self.find(h)
+        number = self.known.find(h)
         fresh = np.flatnonzero(number < 0)
         if len(fresh):
             new, at = np.unique(h[fresh], return_index=True)
             at = fresh[at]
             stop = np.append(begin, len(flat))[at + 1]
             held = flat.tobytes()
-            self.learn(new, [held[a:b].decode().replace(" ", SPACE) for a, b in zip(begin[at].tolist(), stop.tolist(), strict=True)])
-            number[fresh] = self.find(h[fresh])
+            for k in range(0, len(new), TOGETHER):
+                edges = zip(begin[at[k : k + TOGETHER]].tolist(), stop[k : k + TOGETHER].tolist(), strict=True)
+                self.known.add(new[k : k + TOGETHER], self.store([held[a:b].decode().replace(" ", SPACE) for a, b in edges]))
+            number[fresh] = self.known.find(h[fresh])
         size = np.diff(np.append(begin, len(flat)))
         other = self.spelled.differ(number, flat, begin, size)
         if len(other):  # units with the hash of another one

@@ -26,8 +26,8 @@ MEAN, MEMORY, MOST = 256, 8, 2048
 SHARD_DOCS = 50_000
 #: Shards whose sizes are added up in one task.
 BLOCK = 1000
-#: Units that a task remembers, and slots of its table.
-REMEMBER, SLOTS = 1_500_000, 1 << 22
+#: Units that a task remembers from step to step, slots that its table has at first, and new units that are added together.
+REMEMBER, SLOTS, AT_ONCE = 1_500_000, 1 << 22, 1 << 18
 #: Texts with one of these go through the library whole: other white space, letters whose lower case depends on what stands around, special strings.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Fixed value: the pre-tokens of the vocabulary.
@@ -69,37 +69,13 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Starts the table anew: open addressing from the hash of a unit to its number, ids of all units one behind the other."""
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.number = np.zeros(SLOTS, np.int32)
+        """Starts the table anew: from the hash of a unit to its number, ids of all units one behind the other."""
+        self.known = batches.Numbers(SLOTS)
         self.count = np.zeros(0, np.int64)
         self.first = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.spelled = batches.Spelling()
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of known hashes, -1 for others."""
-        out = np.full(len(h), -1, np.int32)
-        open_, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
-        while len(open_):
-            key = self.keys[at]
-            hit = key == h[open_]
-            out[open_[hit]] = self.number[at[hit]]
-            go = ~hit & (key != 0)
-            open_, at = open_[go], (at[go] + 1) & (SLOTS - 1)
-        return out
-
-    def learn(self, h: np.ndarray, units: list[str], simple: np.ndarray) -> None:
-        """Adds distinct unknown units to the table."""
-        number = self.store(units, simple)
-        left, at = np.arange(len(h)), (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
-        while len(left):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[left[free]]
-            won = free & (self.keys[at] == h[left])
-            self.number[at[won]] = number[left[won]]
-            left, at = left[~won], (at[~won] + 1) & (SLOTS - 1)
-
     def store(self, units: list[str], simple: np.ndarray) -> np.ndarray:
         """Numbers of new units, whose ids are kept. Simple ones are one pre-token each and go through the library together."""
         one = np.flatnonzero(simple).tolist()
@@ -138,14 +114,17 @@ class WordEncoder:
         begin, stop, h, simple = units_of(flat)
         if len(self.count) > REMEMBER:
             self.forget()
-        number = self.find(h)
+        number = self.known.find(h)
         fresh = np.flatnonzero(number < 0)
         if len(fresh):
             new, at = np.unique(h[fresh], return_index=True)
             at = fresh[at]
             raw = flat.tobytes()
-            self.learn(new, [raw[a:b].decode() for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)], simple[at])
-            number[fresh] = self.find(h[fresh])
+            for k in range(0, len(new), AT_ONCE):
+                some = at[k : k + AT_ONCE]
+                units = [raw[a:b].decode() for a, b in zip(begin[some].tolist(), stop[some].tolist(), strict=True)]
+                self.known.add(new[k : k + AT_ONCE], self.store(units, simple[some]))
+            number[fresh] = self.known.find(h[fresh])
         other = self.spelled.differ(number, flat, begin, stop - begin)
         if len(other):  # units with the hash of another one
             raw = flat.tobytes()
