@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from weftline.llm import batches
 from weftline.session import discard, held
 
-#: Documents that a model is fitted on, about: labelled rows are taken by a hash of their id, as many as make this number.
-FIT_DOCS = 20_000
+#: Documents that a model is fitted on, about, and the bytes of their texts: labelled rows are taken by a hash of id and text.
+FIT_DOCS, FIT_BYTES = 20_000, 1 << 28
+#: Documents of each language that are taken at least, where there are as many.
+FIT_LEAST = 100
 #: Longest character n-gram.
 LONGEST = 4
 #: Weight of an unseen word against a known one.
@@ -27,7 +30,16 @@ SURE = 24
 REMEMBER = 250_000
 #: Seed of the 64-bit hash that stands for a word or n-gram, as xxhash64() has it.
 SEED = 42
-WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that count as letters for \w, but aren't.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A word, for fitting and for predicting: letters in a row.
+WORD = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words of a text."""
+    return WORD.findall(text.lower()) if text else []
+
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -100,8 +112,7 @@ class Model:
         """Language and confidence of each text; ties go to the first language in order."""
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        split = [WORD.findall(t.lower()) if t else [] for t in texts]
-        split = [w if any(c.isalpha() for x in w[:50] for c in x) or any(c.isalpha() for x in w for c in x) else [] for w in split]
+        split = [words_of(t) for t in texts]
         if len(self.known) > REMEMBER:
             self.forget()
         flat = list(chain.from_iterable(split))
@@ -135,33 +146,41 @@ def logs(counts: pa.Table, langs: list[str]) -> Table:
     return Table(key, np.log((own + 0.5) / (own.sum(0) + 0.5 * len(own))).astype(np.float32))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = FIT_DOCS) -> Model:
-    """Fits on rows with a text and a language. Of more than `docs` rows, a share of about that size is taken by a hash of the id.
+def word_counts(batches_):
+    """(l, w, n) of batches of (l, t)."""
+    for b in batches_:
+        seen: Counter = Counter()
+        for lang, text in zip(b.column("l").to_pylist(), b.column("t").to_pylist(), strict=True):
+            seen.update((lang, w) for w in words_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["l", "w", "n"])
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = FIT_DOCS, size: int = FIT_BYTES) -> Model:
+    """Fits on rows with a text and a language: of more than `docs` different ones, or more than `size` bytes of text, on a share of about that size, taken by a hash of id and text.
 
-    Words and their n-grams are counted in Spark; every one of the fitted rows
-    is kept, as a 64-bit hash and a number for each language, so the model
-    grows with the distinct words of about `docs` rows and not with the table.
-    Rows that repeat count each; other columns are not read.
+    The share is never empty, and never without one of the languages (see
+    batches.sampled()). Words and their n-grams are counted in Spark; every one
+    of the fitted rows is kept, as a 64-bit hash and a number for each
+    language, so the model grows with the distinct words of the share and not
+    with the table. Rows that repeat count each; other columns are not read.
+    Without any labelled row the model knows no language.
     """
-    rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")).where("t is not null and l is not null")
-    n = rows.count()
-    if n > docs:
-        rows = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * docs / n))
-    counts = held(rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("w", "l").agg(F.count("*").alias("n")), "words")
+    rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l")).where("t is not null and l is not null")
+    rows = batches.sampled(rows, "l", ["i", "t"], docs, F.octet_length("t"), size, FIT_LEAST).select("l", "t")
+    langs = sorted(r.l for r in rows.select("l").distinct().collect())
+    counts = held(rows.mapInArrow(word_counts, "l string, w string, n long").groupBy("w", "l").agg(F.sum("n").alias("n")), "words")
     marked = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
 
     def gathered(of: DataFrame) -> pa.Table:
         return of.select(F.xxhash64("w").alias("h"), "l", "n").toArrow()
 
-    words = gathered(counts)
-    langs = sorted(set(words["l"].to_pylist()))
     grams = []
-    for size in range(1, LONGEST + 1):
-        starts = F.when(F.length(marked) >= size, F.sequence(F.lit(1), F.length(marked) - size + 1))
-        parts = counts.select("l", "n", marked.alias("m"), F.explode(starts).alias("k")).select("l", "n", F.substring(F.col("m"), F.col("k"), F.lit(size)).alias("w"))
+    for width in range(1, LONGEST + 1):
+        starts = F.when(F.length(marked) >= width, F.sequence(F.lit(1), F.length(marked) - width + 1))
+        parts = counts.select("l", "n", marked.alias("m"), F.explode(starts).alias("k")).select("l", "n", F.substring(F.col("m"), F.col("k"), F.lit(width)).alias("w"))
         grams.append(logs(gathered(parts.groupBy("w", "l").agg(F.sum("n").alias("n"))), langs))
+    model = Model(langs, logs(gathered(counts), langs), grams)
     discard(counts)
-    model = Model(langs, logs(words, langs), grams)
     model.forget()
     return model
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import batches
+
 #: Fixed values: (verdict, rule) with the rule's host before the first slash and its path from there.
 RULES = [
     ("allow", "com/"),
@@ -139,12 +141,9 @@ def fit_rows(urls: list[str], block: np.ndarray) -> Trees:
 
 
 def fit(labelled: DataFrame, url_col: str, verdict_col: str, most: int = FIT_URLS) -> Trees:
-    """Fits on URLs with verdict allow or block. Of more than `most` distinct ones, a share of about that size is taken by a hash of the URL."""
+    """Fits on URLs with verdict allow or block. Of more than `most` distinct ones, a share of about that size is taken by a hash of the URL, with one of each verdict at least where there is one."""
     rows = labelled.select(F.col(f"`{url_col}`").alias("u"), F.col(f"`{verdict_col}`").alias("v")).where("u is not null and v in ('allow', 'block')")
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("u"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    got = sorted((r["u"], r["v"]) for r in rows.distinct().collect())
+    got = sorted((r["u"], r["v"]) for r in batches.sampled(rows, "v", ["u"], most).distinct().collect())
     return fit_rows([u for u, _ in got], np.array([v == "block" for _, v in got], np.float64))
 
 
