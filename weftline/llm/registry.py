@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import audit, bench_leaks, language, licenses, neighbours, oracles, passages, pieces, quality, similar, token_counts, token_store, url_filter, vector_codes
+from weftline.llm import audit, batches, bench_leaks, language, licenses, neighbours, oracles, passages, pieces, quality, similar, token_counts, token_store, url_filter, vector_codes
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -74,6 +74,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches.few_rows(spark)
     store = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), token_store.new_store(spark))
     return token_store.summary(spark, store)
 
