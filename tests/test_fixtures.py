@@ -261,7 +261,7 @@ def test_small_kernels(spark):
     assert [tuple(r)[1:] for r in rows(spark, "fixture_compositing")] == [(127.5, 0.0, 127.5), (127.5, 127.5, 127.5), (255.0, 255.0, 255.0)]
     assert [r.seen for r in rows(spark, "fixture_unescape")] == ["a & b ©", None]
     r = spark.range(1).select(
-        urls.url_quote(F.lit("https://s.example/a b?q=ü")).alias("q"), urls.url_join(F.lit("https://s.example/a/b"), F.lit("../c")).alias("j"), urls.chunk_sibling(F.lit("x-chunk-1-indexes-")).alias("s"),
+        urls.url_quote(F.lit("https://s.example/a b?q=ü")).alias("q"), urls.resolved(F.lit("https://s.example/a/b"), F.lit("../c")).alias("j"), urls.chunk_sibling(F.lit("x-chunk-1-indexes-")).alias("s"),
         urls.next_root(F.lit("https://s.example/_next/static/a.js"), F.lit("static/chunks/b.js")).alias("n"), urls.robots_pattern(F.lit("/a*b$")).alias("p"), colour.hex_normal(F.lit("#AbC")).alias("h"), text.fence_free(F.lit("a\n```\nb\n```\nc")).alias("f"),
     ).first()
     assert tuple(r) == ("https://s.example/a%20b?q=%C3%BC", "https://s.example/c", "x-indexes-1-indexes-", "https://s.example/_next/static/chunks/b.js", "^/a.*b\\$", "#aabbcc", "a\n\nc")

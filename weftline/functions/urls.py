@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
+from urllib.parse import quote, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,7 +78,7 @@ def robots_pattern(rule: Column) -> Column:
 
 def asset_url(url: Column) -> Column:
     """A URL up to its first asset extension, with the query up to a stop character; null without an extension."""
-    found = F.regexp_extract(url, rf"(?i)^(.*?\.(?:{ASSET_EXTENSIONS})(?=[?#]|$|[^A-Za-z0-9]))(\?[^\s\"'<>\\`)#]*)?", 0)
+    found = F.regexp_extract(url, rf"(?is)^(.*?\.(?:{ASSET_EXTENSIONS})(?=[?#]|$|[^A-Za-z0-9]))(\?[^\s\"'<>\\`)#]*)?", 0)
     return F.when(found != "", found)
 
 
@@ -111,25 +111,64 @@ def skipped_scheme(ref: Column, absolute: bool = False) -> Column:
     return out
 
 
-def _joined(base: str | None, ref: str | None) -> str | None:
-    if base is None or ref is None:
-        return None
-    try:
-        return urljoin(base, ref)
-    except ValueError:
-        return None
+# The same for what is joined: a scheme is letters, digits and +.- behind a letter, whatever stands in front of another colon is a path.
+_STRICT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+_RELATIVE = ("http", "https", "ftp", "file")
 
 
-@F.pandas_udf(StringType())
-def url_join(base: pd.Series, ref: pd.Series) -> pd.Series:
-    """ref resolved against base; null where either is null or malformed."""
-    return pd.Series([_joined(b, r) for b, r in zip(base, ref, strict=True)])
+def without_dots(segments: Column) -> Column:
+    """Path segments without "." and with each ".." taking the one before it away; a dot segment at the end leaves an empty one."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        segments,
+        none,
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """ref as an absolute URL, against the absolute URL base (RFC 3986, with its leniency for a scheme that is the base's own).
+
+    A dot segment is "." or ".." and nothing else (";" has no meaning in it).
+    A reference of another scheme stays as it is, an empty one is the base, one
+    with a host keeps its path as written. White space before it, and tabs and
+    line ends in it, are taken out. Null where either is null, or where a host
+    has brackets that hold no address.
+    """
+    clean = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    own = {n: F.regexp_extract(clean, _STRICT, k) for k, n in enumerate(("scheme", "host", "path", "query", "fragment"), 1)}
+    top = {n: F.regexp_extract(base, _STRICT, k) for k, n in enumerate(("scheme", "host", "path", "query"), 1)}
+    scheme, same = F.lower(top["scheme"]), (own["scheme"] == "") | (F.lower(own["scheme"]) == F.lower(top["scheme"]))
+    folder = F.split(top["path"], "/")
+    folder = F.when(F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.size(folder) - 1)).otherwise(folder)
+    parts = F.split(own["path"], "/")
+    joined = F.concat(folder, parts)
+    joined = F.filter(joined, lambda s, i: (s != "") | (i == 0) | (i == F.size(joined) - 1))
+    path = F.array_join(without_dots(F.when(own["path"].startswith("/"), parts).otherwise(joined)), "/")
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+    def whole(host: Column, path: Column, query: Column) -> Column:
+        return F.concat(
+            scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(own["fragment"] != "", F.concat(F.lit("#"), own["fragment"])).otherwise("")
+        )
+
+    queried = F.when(own["query"] != "", own["query"]).otherwise(top["query"])
+    odd = F.regexp_like(own["host"], F.lit(r"[\[\]]")) & ~F.regexp_like(own["host"], F.lit(r"^([^\[\]@]*@)?\[[0-9A-Fa-f:.]+\](:[0-9]*)?$"))
+    return (
+        F.when(base.isNull() | ref.isNull() | odd, F.lit(None).cast("string"))
+        .when(ref == "", base)
+        .when(~same | ~F.lower(top["scheme"]).isin(*_RELATIVE), ref)
+        .when(own["host"] != "", whole(own["host"], own["path"], own["query"]))
+        .when(own["path"] == "", whole(top["host"], top["path"], queried))
+        .otherwise(whole(top["host"], rooted, own["query"]))
+    )
 
 
 def rooted_join(base: Column, ref: Column) -> Column:
-    """url_join that stays in the JVM for references from the root without dots, and asks Python for the others."""
-    plain = F.regexp_like(ref, F.lit(r"^/(?!/)[^?#]*(\?[^#]*)?(#.*)?$")) & ~F.contains(ref, F.lit("/."))
-    return F.when(plain, F.concat(origin(base), ref)).otherwise(url_join(base, ref))
+    """resolved(), with a short way for references from the root without dots."""
+    plain = F.regexp_like(ref, F.lit(r"^/(?!/)[^?#\t\r\n]*(\?[^#\t\r\n]+)?(#[^\t\r\n]+)?\z")) & ~F.contains(ref, F.lit("/."))
+    return F.when(plain, F.concat(origin(base), ref)).otherwise(resolved(base, ref))
 
 
 def _quoted(url: str) -> str:
@@ -144,13 +183,13 @@ def url_quote(url: pd.Series) -> pd.Series:
 
 
 def import_target(base: Column, ref: Column, imports: Column) -> Column:
-    """A module reference through an import map: its own entry, else the longest entry that ends in a slash and begins it, else resolved against base."""
+    """A module reference through an import map: its own entry, else the longest entry that ends in a slash and begins it, both as the map has them; else resolved against base."""
     keys = F.filter(F.map_keys(imports), lambda k: k.endswith("/") & ref.startswith(k))
     best = F.element_at(F.sort_array(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))), asc=False), 1)["k"]
     mapped = F.when(F.map_contains_key(imports, ref), F.element_at(imports, ref)).when(
         F.size(keys) > 0, F.concat(F.element_at(imports, best), F.substring(ref, F.length(best) + 1, F.length(ref)))
     )
-    return url_join(base, F.coalesce(mapped, ref))
+    return F.coalesce(mapped, resolved(base, ref))
 
 
 def chunk_sibling(url: Column) -> Column:

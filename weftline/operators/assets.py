@@ -4,79 +4,92 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import urls
+from weftline.functions import markup, urls
 from weftline.session import cut
 
-ASSET = re.compile(rf"^.*?\.(?:{urls.ASSET_EXTENSIONS})(?=[?#]|$|[^A-Za-z0-9])", re.I)
-#: How source text refers to files. The reference is the last group.
+#: How source text refers to files. The reference is the second group, behind its quote.
 PATTERNS = [
-    ("module", re.compile(r"""(?:import\s*\(|from\s+|new\s+URL\s*\()\s*(['"`])([^'"`]+)\1""")),
-    ("css", re.compile(r"""url\(\s*(['"]?)([^'")]+)\1""")),
-    ("attribute", re.compile(r"""(?:src|href|poster|data-src)\s*=\s*(["'])([^"']+)\1""", re.I)),
+    ("module", r"""(?:import\s*\(|from\s+|new\s+URL\s*\()\s*(['"`])([^'"`]+)\1"""),
+    ("css", r"""url\(\s*(['"]?)([^'")]+)\1"""),
+    ("attribute", r"""(?i)(?:src|href|poster|data-src)\s*=\s*(["'])([^"']+)\1"""),
 ]
-#: Absolute references, lists of candidates, names of chunks, and what ends a reference.
-ABSOLUTE = re.compile(r"https?://[^\s\"'<>\\`]+", re.I)
-SRCSET = re.compile(r"""\bsrcset\s*=\s*(["'])([^"']+)\1""", re.I)
-CHUNK_MAP = re.compile(r'(\d+)===(\w+)\?"static/chunks/"\+\2\+"-([0-9a-f]{6,})\.js"')
-CHUNK_LITERAL = re.compile(r'"(static/chunks/[\w./-]+\.js)"')
-STOP = re.compile(r"[\s\"'<>\\`)]")
+#: Absolute references, lists of candidates, names of chunks, and what is left out though it looks like a reference.
+ABSOLUTE = r"(?i)https?://[^\s\"'<>\\`]+"
+SRCSET = r"""(?i)\bsrcset\s*=\s*(["'])([^"']+)\1"""
+CHUNK_MAP = r'(\d+)===(\w+)\?"static/chunks/"\+\2\+"-([0-9a-f]{6,})\.js"'
+CHUNK_LITERAL = r'"(static/chunks/[\w./-]+\.js)"'
+TEMPLATE = "${i.value}"
+#: Rounds of fetching.
 ROUNDS = 6
 
 
-def trimmed(url: str) -> str | None:
-    """A URL up to its asset extension, and its query up to a stop character."""
-    m = ASSET.match(url)
-    if not m:
-        return None
-    rest = url[m.end() :].split("#")[0]
-    return m.group() + (STOP.split(rest)[0] if rest.startswith("?") else "")
+def plain_amp(text: Column) -> Column:
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
-def references(text: str, base: str) -> Iterator[tuple[str, str]]:
-    """(kind, absolute URL) of the assets that a source text names."""
+def named(text: Column) -> Column:
+    """(kind, ref) of all that a source text names, as written but for escaped ampersands."""
 
-    def resolved(ref: str) -> str | None:
-        if not ref or "${" in ref or ref.startswith(urls.SKIPPED_SCHEMES[:6]):
-            return None
-        try:
-            return trimmed(urljoin(base, ref))
-        except ValueError:
-            return None
+    def found(kind: str, refs: Column) -> Column:
+        return F.transform(refs, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("ref")))
 
-    plain = text.replace("&amp;", "&")
-    for m in ABSOLUTE.finditer(plain):
-        yield "absolute", trimmed(m.group())
+    parts = [found("absolute", F.regexp_extract_all(plain_amp(text), F.lit(ABSOLUTE), F.lit(0)))]
     for kind, pattern in PATTERNS:
-        for m in pattern.finditer(plain):
-            yield kind, resolved(m.groups()[-1].strip())
-    for m in SRCSET.finditer(plain):
-        for part in m.group(2).split(","):
-            if part.split():
-                yield "srcset", resolved(part.split()[0])
-    root = base.find("_next/")
-    if root >= 0:
-        for m in CHUNK_MAP.finditer(plain):
-            yield "chunk", f"{base[:root]}_next/static/chunks/{m.group(1)}-{m.group(3)}.js"
-        for m in CHUNK_LITERAL.finditer(plain):
-            yield "chunk", f"{base[:root]}_next/{m.group(1)}"
-
-
-def harvest(sources: DataFrame, url_col: str = "url", text_col: str = "text") -> DataFrame:
-    """(src_url, asset_url, kind): distinct references of source texts."""
+        refs = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda r: plain_amp(F.regexp_replace(r, r"^\s+|\s+$", "")))
+        parts.append(found(kind, F.filter(refs, lambda r: (r != "") & ~urls.skipped_scheme(r))))
+    lists = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SRCSET), F.lit(2)), markup.srcset_urls))
+    parts.append(found("srcset", F.transform(lists, plain_amp)))
+    mapped = F.transform(
+        F.regexp_extract_all(text, F.lit(CHUNK_MAP), F.lit(0)),
+        lambda m: F.concat(F.lit("static/chunks/"), F.regexp_extract(m, CHUNK_MAP, 1), F.lit("-"), F.regexp_extract(m, CHUNK_MAP, 3), F.lit(".js")),
+    )
+    parts.append(found("chunk", F.concat(mapped, F.regexp_extract_all(text, F.lit(CHUNK_LITERAL), F.lit(1)))))
+    return F.concat(*parts)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(u, a, k) for u, t in zip(part["u"], part["t"], strict=True) if isinstance(t, str) for k, a in references(t, u) if a]
-            yield pd.DataFrame(rows, columns=["src_url", "asset_url", "kind"])
 
-    rows = sources.select(F.col(url_col).alias("u"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, "src_url string, asset_url string, kind string").distinct()
+def by_import_map(refs: DataFrame, maps: DataFrame) -> DataFrame:
+    """(src_url, ref, mapped): references (src_url, ref) that their source's import map (src_url, entry, target) answers: by the whole reference, else by the longest entry that ends in a slash and begins it.
+
+    A reference is asked for as a whole and cut behind each slash, so an entry
+    is found by equality.
+    """
+    at = F.filter(F.sequence(F.lit(1), F.length("ref")), lambda i: F.substring(F.col("ref"), i, F.lit(1)) == "/")
+    asked = refs.select("src_url", "ref").distinct().withColumn("entry", F.explode(F.array_distinct(F.concat(F.array("ref"), F.transform(at, lambda i: F.substring(F.col("ref"), F.lit(1), i))))))
+    hit = asked.join(maps.dropDuplicates(["src_url", "entry"]), ["src_url", "entry"])
+    found = F.concat("target", F.substring(F.col("ref"), F.length("entry") + 1, F.length("ref")))
+    return hit.groupBy("src_url", "ref").agg(F.max_by(found, F.length("entry")).alias("mapped"))
+
+
+def harvest(sources: DataFrame, url_col: str = "url", text_col: str = "text", mapped: bool = False) -> DataFrame:
+    """(src_url, asset_url, kind, ref): distinct references of source texts, and the assets that they name.
+
+    mapped: modules, styles and attributes are looked up in the source's own
+    import map first. Every other reference is resolved against its source, and
+    cut behind the extension of a file; what has none is no asset.
+    """
+    text = F.col(text_col)
+    imports = markup.import_map(text) if mapped else F.lit(None).cast("map<string,string>")
+    src = sources.select(F.col(url_col).alias("src_url"), named(text).alias("all"), imports.alias("imports"))
+    refs = src.select("src_url", F.coalesce(F.size("imports") > 0, F.lit(False)).alias("has_map"), F.explode("all").alias("r")).select("src_url", "has_map", "r.kind", "r.ref").distinct()
+    full = (
+        F.when(F.col("kind") == "absolute", F.col("ref"))
+        .when(F.col("kind") == "chunk", urls.next_root(F.col("src_url"), F.when(F.contains("src_url", F.lit("_next/")), F.col("ref"))))
+        .otherwise(urls.resolved(F.col("src_url"), F.col("ref")))
+    )
+    if mapped:  # only sources that have a map take part in the join
+        own = refs.where("has_map and kind in ('module', 'css', 'attribute')")
+        entries = src.where("size(imports) > 0").select("src_url", F.explode("imports").alias("entry", "target"))
+        refs = refs.where("not (has_map and kind in ('module', 'css', 'attribute'))").withColumn("full", full).unionByName(own.join(by_import_map(own, entries), ["src_url", "ref"], "left").withColumn("full", F.coalesce("mapped", full)).drop("mapped"))
+    else:
+        refs = refs.withColumn("full", full)
+    odd = F.col("kind").isin("module", "css", "attribute") & F.contains("full", F.lit(TEMPLATE))
+    return refs.where(~F.coalesce(odd, F.lit(False))).select("src_url", urls.asset_url(F.col("full")).alias("asset_url"), "kind", "ref").where("asset_url is not null").distinct()
 
 
 def verdict(fetched: DataFrame) -> Column:
@@ -105,23 +118,25 @@ def bucket(why: Column) -> Column:
     )
 
 
-def fixpoint(pages: DataFrame, fetched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(url, round): assets that pages reach, through text assets that name further ones and through the siblings of paged collections.
+def fixpoint(pages: DataFrame, fetched: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Assets that pages reach, through text assets that name further ones and through the siblings of paged collections: (url, round) of those that `rounds` rounds fetch, and (url) of those that are left then.
 
-    Each round reads only what the one before has found; it ends without new
-    URLs or after `rounds`.
+    Each round reads only the texts that the one before has brought, and keeps
+    only URLs that no round has seen. The second table is empty where the
+    rounds came to an end by themselves. Import maps are those of the pages.
     """
-    found = harvest(pages, "url", "html").select(F.col("asset_url").alias("url")).distinct()
-    known = cut(with_siblings(found).withColumn("round", F.lit(0)))
-    level = known
-    for k in range(1, rounds):
-        text = fetched.where(verdict(fetched) == "ok").where(F.regexp_like(urls.part(F.col("url"), "path"), F.lit(urls.TEXT_ASSET))).join(level.select("url"), "url", "left_semi")
-        new = with_siblings(harvest(text.select("url", F.decode("body", "UTF-8").alias("text"))).select(F.col("asset_url").alias("url")).distinct())
-        level = cut(new.join(known.select("url"), "url", "left_anti").withColumn("round", F.lit(k)))
-        if not level.limit(1).count():
+    found = harvest(pages, "url", "html", mapped=True).select(F.col("asset_url").alias("url")).distinct()
+    levels = [cut(with_siblings(found).withColumn("round", F.lit(0)))]
+    readable = fetched.where(verdict(fetched) == "ok").where(F.regexp_like(urls.part(F.col("url"), "path"), F.lit(urls.TEXT_ASSET))).select("url", F.make_valid_utf8(F.col("body").cast("string")).alias("text"))
+    while len(levels) <= rounds:
+        text = readable.join(levels[-1].select("url"), "url", "left_semi")
+        new = with_siblings(harvest(text).select(F.col("asset_url").alias("url")).distinct())
+        known = reduce(DataFrame.unionByName, levels)
+        levels.append(cut(new.join(known.select("url"), "url", "left_anti").withColumn("round", F.lit(len(levels)))))
+        if not levels[-1].limit(1).count():
             break
-        known = cut(known.unionByName(level))
-    return known
+    done = reduce(DataFrame.unionByName, levels)
+    return done.where(F.col("round") < rounds), done.where(F.col("round") >= rounds).select("url")
 
 
 def with_siblings(found: DataFrame) -> DataFrame:
@@ -140,40 +155,74 @@ def claimed(found: DataFrame) -> DataFrame:
     return rows.select("url", "round", named.alias("name"), F.when(named != F.col("__base"), urls.url_tag(F.col("url"))).alias("tag"))
 
 
+def longest_first(text: str, own: dict[str, str], machine) -> str:
+    """text with each of its own patterns replaced, in one pass: of occurrences that overlap the longest counts (of equal ones the smaller, then the earlier)."""
+    at = sorted((-len(p), p, end + 1 - len(p)) for end, p in machine.iter(text) if p in own)
+    taken = bytearray(len(text))
+    chosen = []
+    for n, p, start in at:
+        # what is taken already is at least as long, so it covers an end of whatever it overlaps
+        if not (taken[start] or taken[start - n - 1]):
+            taken[start : start - n] = b"\1" * -n
+            chosen.append((start, p))
+    out, last = [], 0
+    for start, p in sorted(chosen):
+        out += [text[last:start], own[p]]
+        last = start + len(p)
+    return "".join([*out, text[last:]])
+
+
 def rewrite(pages: DataFrame, page_assets: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(url, html): absolute asset URLs of each page replaced by their places, longest URL first, written plainly or with escaped ampersands.
 
-    page_assets (src_url, asset_url, place) names what each page holds, so a
-    page folds over its own assets only. Assets that could not be fetched are
-    among them: nothing keeps pointing at the origin.
+    page_assets (src_url, asset_url, place) names what each page holds. All of
+    a batch's URLs make one automaton, which reads each of its pages once,
+    whatever their number. Assets that could not be fetched are among them:
+    nothing keeps pointing at the origin. Of several places of one URL the
+    smallest counts; an empty URL is none.
     """
-    own = page_assets.groupBy(F.col("src_url").alias("__u")).agg(F.sort_array(F.collect_set(F.struct(F.length("asset_url").alias("n"), F.col("asset_url").alias("a"), F.col("place").alias("p"))), asc=False).alias("__own"))
-    new = F.aggregate(
-        F.col("__own"),
-        F.col(html_col),
-        lambda acc, x: F.replace(F.replace(acc, x["a"], x["p"]), F.replace(x["a"], F.lit("&"), F.lit("&amp;")), x["p"]),
-    )
-    return pages.join(own, F.col(url_col) == F.col("__u"), "left").withColumn(html_col, F.when(F.col("__own").isNull(), F.col(html_col)).otherwise(new)).drop("__u", "__own")
+    import ahocorasick
+
+    both = F.explode(F.array_distinct(F.array("asset_url", F.replace("asset_url", F.lit("&"), F.lit("&amp;")))))
+    own = page_assets.where("asset_url <> '' and place is not null").select(F.col("src_url").alias("__u"), both.alias("a"), "place").groupBy("__u", "a").agg(F.min("place").alias("p"))
+    own = own.groupBy("__u").agg(F.map_from_entries(F.collect_list(F.struct("a", "p"))).alias("__own"))
+    joined = pages.join(own, F.col(url_col) == F.col("__u"), "left").drop("__u")
+    # pages that hold none of the assets stay out of Python
+    open_ = F.col("__own").isNotNull() & F.col(html_col).isNotNull()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            where = [dict(w) for w in part.pop("__own")]
+            machine = ahocorasick.Automaton()
+            for w in where:
+                for p in w:
+                    machine.add_word(p, p)
+            machine.make_automaton()
+            part[html_col] = [longest_first(t, w, machine) for t, w in zip(part[html_col], where, strict=True)]
+            yield part
+
+    done = joined.where(open_).mapInPandas(run, pages.schema)
+    return done.unionByName(joined.where(~open_).drop("__own"))
 
 
 def relative_rewrite(sources: DataFrame, places: DataFrame, url_col: str = "url", text_col: str = "text") -> DataFrame:
     """(url, text): relative references of source texts replaced by places; quotes, descriptors and everything else stay.
 
-    places (src_url, asset_url, place) is brought to each source by its URL.
+    places (src_url, ref, place) is what harvest() has found in each source,
+    joined with where its assets lie; it is brought to each source by its URL.
     """
-    own = places.groupBy(F.col("src_url").alias("__u")).agg(F.map_from_entries(F.collect_set(F.struct("asset_url", "place"))).alias("__places"))
+    wanted = places.where(~urls.skipped_scheme(F.col("ref"), absolute=True)).groupBy("src_url", "ref").agg(F.min("place").alias("place"))
+    own = wanted.groupBy(F.col("src_url").alias("__u")).agg(F.map_from_entries(F.collect_list(F.struct("ref", "place"))).alias("__places"))
+    patterns = [re.compile(p) for _, p in PATTERNS]
+    lists = re.compile(SRCSET)
 
-    def one(text: str, base: str, where: dict) -> str:
+    def one(text: str, where: dict) -> str:
         def target(ref: str) -> str:
-            try:
-                full = trimmed(urljoin(base, ref.replace("&amp;", "&").strip()))
-            except ValueError:
-                full = None
-            return where.get(full, ref) if full and not ref.startswith(urls.SKIPPED_SCHEMES) else ref
+            return where.get(ref.strip().replace("&amp;", "&"), ref)
 
         def swap(m: re.Match) -> str:
-            at, end = m.span(len(m.groups()))
-            return m.group()[: at - m.start()] + target(m.group(len(m.groups()))) + m.group()[end - m.start() :]
+            at, end = m.start(2) - m.start(), m.end(2) - m.start()
+            return m.group()[:at] + target(m.group(2)) + m.group()[end:]
 
         def swap_list(m: re.Match) -> str:
             parts = [p.split() for p in m.group(2).split(",") if p.split()]
@@ -182,15 +231,15 @@ def relative_rewrite(sources: DataFrame, places: DataFrame, url_col: str = "url"
                 return m.group()
             return m.group()[: m.start(2) - m.start()] + ", ".join(" ".join(p) for p in new) + m.group()[m.end(2) - m.start() :]
 
-        for _, pattern in PATTERNS:
+        for pattern in patterns:
             text = pattern.sub(swap, text)
-        return SRCSET.sub(swap_list, text)
+        return lists.sub(swap_list, text)
 
     @F.pandas_udf("string")
-    def apply(text: pd.Series, base: pd.Series, where: pd.Series) -> pd.Series:
-        return pd.Series([t if w is None or t is None else one(t, b, dict(w)) for t, b, w in zip(text, base, where, strict=True)])
+    def apply(text: pd.Series, where: pd.Series) -> pd.Series:
+        return pd.Series([t if w is None or t is None else one(t, dict(w)) for t, w in zip(text, where, strict=True)])
 
-    return sources.join(own, F.col(url_col) == F.col("__u"), "left").withColumn(text_col, apply(text_col, url_col, "__places")).drop("__u", "__places")
+    return sources.join(own, F.col(url_col) == F.col("__u"), "left").withColumn(text_col, apply(text_col, "__places")).drop("__u", "__places")
 
 
 def totals(fetched: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import markup, urls
+from weftline.operators.ordering import numbered
 from weftline.session import cut
 
 #: Content type of pages, and states that ask for a login.
@@ -47,41 +48,40 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     return reduce(DataFrame.unionByName, levels)
 
 
-def crawl(edges: DataFrame, start: str, sitemap: DataFrame, allowed: DataFrame, max_pages: int = 30, max_depth: int = 2, sitemap_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def crawl(edges: DataFrame, start: str, sitemap: DataFrame, allowed: DataFrame, max_pages: int = 30, max_depth: int = 2, sitemap_first: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pages in the order of a first-in first-out queue, and what was left out with a reason.
 
     edges (src, ord, dst) are keys of links, sitemap (ord, key) what is queued
-    behind the start at depth 1, allowed (key, reason) the policy's answer
-    ("follow" or why not). sitemap_first queues it before the start's own
-    links too. Returns (key, depth, seq) of at most max_pages and (key, reason)
-    of the others; a page that only pages beyond the cap name was never queued
-    and isn't among them.
-
-    A path of places gives each page its place in the queue: its finder's path
-    and its place there, below one digit for the start and one for the sitemap.
+    at depth 1, before the start's own links or (sitemap_first=False) behind
+    them, allowed (key, reason) the policy's answer ("follow" or why not).
+    Returns (key, depth, seq) of at most max_pages and (key, reason) of the
+    others; a page that only pages beyond the cap name was never queued and
+    isn't among them.
+
+    Each level is numbered as a whole, by its finder's place in the queue and
+    the link's place on that page, over range partitions. Only pages within the
+    cap are followed, so a crawl never looks further than one level beyond it.
     """
-    top, mapped_at = ("1", "0") if sitemap_first else ("0", "1")
     spark = edges.sparkSession
     follow = allowed.where("reason = 'follow'").select("key")
-    seeds = spark.createDataFrame([(start, 0, top)], "key string, depth int, path string")
-    mapped = sitemap.select("key", F.lit(1).alias("depth"), F.concat(F.lit(f"{mapped_at}."), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("path")).where(F.col("key") != start).join(follow, "key", "left_semi")
-    first = lambda d: d.groupBy("key").agg(F.min(F.struct("depth", "path")).alias("q")).select("key", "q.depth", "q.path")
-    levels = [cut(first(seeds.unionByName(mapped)))]
-    for _ in range(max_depth):
-        found = edges.join(levels[-1].where(F.col("depth") < max_depth).select(F.col("key").alias("src"), "depth", "path"), "src")
-        found = found.select(F.col("dst").alias("key"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("."), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("path"))
+    levels = [cut(spark.createDataFrame([(start, 0, 1)], "key string, depth int, seq long"))]
+    queued = 1
+    for depth in range(1, max_depth + 1):
+        found = edges.join(levels[-1].where(F.col("seq") <= max_pages).select(F.col("key").alias("src"), F.col("seq").alias("finder")), "src").select(F.col("dst").alias("key"), "finder", F.col("ord").cast("long").alias("ord"))
+        if depth == 1:
+            found = found.unionByName(sitemap.select("key", F.lit(0 if sitemap_first else 2).cast("long").alias("finder"), F.col("ord").cast("long").alias("ord")))
         known = reduce(DataFrame.unionByName, levels)
-        levels.append(cut(first(found.join(follow, "key", "left_semi").join(known.select("key"), "key", "left_anti"))))
-        if not levels[-1].limit(1).count():
+        fresh = found.groupBy("key").agg(F.min(F.struct("finder", "ord")).alias("q")).join(follow, "key", "left_semi").join(known.select("key"), "key", "left_anti")
+        new = numbered(fresh.select("key", "q.finder", "q.ord"), ["finder", "ord", "key"], "n")
+        levels.append(cut(new.select("key", F.lit(depth).alias("depth"), (F.col("n") + queued).alias("seq"))))
+        more = levels[-1].count()
+        if not more:
             break
+        queued += more
     done = reduce(DataFrame.unionByName, levels)
-    ranked = cut(done.orderBy("depth", "path").limit(max_pages).select("key", "depth", "path")).withColumn("seq", F.expr("row_number() over (order by depth, path)")).select("key", "depth", "path", "seq")
-    finder = F.regexp_replace("path", r"\.[^.]*$", "")
-    rest = done.join(ranked.select("key"), "key", "left_anti").withColumn("finder", finder)
-    queued = rest.join(ranked.select(F.col("path").alias("finder")).unionByName(spark.createDataFrame([(mapped_at,)], "finder string")), "finder", "left_semi")
-    capped = queued.select("key", F.lit("max-pages cap").alias("reason"))
+    capped = done.where(F.col("seq") > max_pages).select("key", F.lit("max-pages cap").alias("reason"))
     refused = allowed.where("reason <> 'follow'").select("key", "reason")
-    return ranked.drop("path"), capped.unionByName(refused).groupBy("key").agg(F.first("reason").alias("reason"))
+    return done.where(F.col("seq") <= max_pages), capped.unionByName(refused).groupBy("key").agg(F.min("reason").alias("reason"))
 
 
 def coverage(sitemap: DataFrame, reached: DataFrame) -> DataFrame:

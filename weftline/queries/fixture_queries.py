@@ -210,7 +210,7 @@ def fixture_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fixture_asset_fixpoint")
 def fixture_asset_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fixtures.build(spark)
-    return assets.claimed(assets.fixpoint(b["pages"], b["fetched"]))
+    return assets.claimed(assets.fixpoint(b["pages"], b["fetched"])[0])
 
 
 @query("fixture_asset_verdicts", listed(
@@ -226,8 +226,8 @@ def fixture_asset_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fixture_rewritten_page")
 def fixture_rewritten_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fixtures.build(spark)
-    named = assets.claimed(assets.fixpoint(b["pages"], b["fetched"])).select(F.col("url").alias("asset_url"), F.concat(F.lit("cdn/"), "name").alias("place"))
-    own = assets.harvest(b["pages"], "url", "html").select("src_url", "asset_url").distinct().join(named, "asset_url")
+    named = assets.claimed(assets.fixpoint(b["pages"], b["fetched"])[0]).select(F.col("url").alias("asset_url"), F.concat(F.lit("cdn/"), "name").alias("place"))
+    own = assets.harvest(b["pages"], "url", "html", mapped=True).join(named, "asset_url")
     done = assets.relative_rewrite(assets.rewrite(b["pages"], own), own, "url", "html")
     return done.select("slug", markup.neutralised(F.col("html")).alias("html"), markup.neutralised_counts(F.col("html")).alias("changes"))
 
