@@ -184,18 +184,27 @@ def test_provenance(spark):
         assert {g for g in got if g[0] == case} == {(case, gate, status)}, case
 
 
-def test_roles_of_keys_and_units():
+def test_roles_of_keys_and_units(spark):
     """Roles come from whole words of key names as the rules have them, and from units."""
     doc = {"items": [7.5], "dwell": 11.5, "hold_s": 12.5, "gutter": 13.5, "container": 14.5, "rhythm": 15.5, "gap": 16.5, "size": 17.5, "note": "18.5ms 19.5px 20.5s 21.5 #abc 22x33 rgb(1, 2, 300)", "curve_ms": "cubic-bezier(0.1, .2, 1, 1) cubic-bezier(a, 7, 8)"}
-    rows = list(provenance.walk(doc))
+    rows = [(r["class"], r.role, r.value) for r in provenance.measured_values(spark.createDataFrame([("c", json.dumps(doc)), ("bad", "{"), ("none", None)], "capture_id string, doc string")).collect()]
     roles = {v: r for c, r, v in rows if c == "num"}
     assert [roles[f"{k}.5"] for k in range(7, 22) if k != 8 and f"{k}.5" in roles] == [None, "time", "time", "len", "len", "len", None, None, "time", "len", "time", None]
     assert roles["22.0"] is None and roles["33.0"] is None and roles["0.2"] is None and roles["300.0"] is None
-    assert [v for c, _, v in rows if c in ("hex", "bezier", "count")] == ["1.0", "#aabbcc", "0.1 0.2 1 1"]
-    said = list(provenance.asserted("7) one 8. two\n9. three cubic-bezier(x, 41) 404s .5s 24 fps 3x 1,234,567 12,34 1440×900 May 2026 5.0 16em."))
+    assert sorted(v for c, _, v in rows if c in ("hex", "bezier", "count")) == ["#aabbcc", "0.1 0.2 1 1", "1.0"]
+    text = "7) one 8. two\n9. three cubic-bezier(x, 41) 404s .5s 24 fps 3x 1,234,567 12,34 1440×900 May 2026 5.0 16em."
+    said = spark.createDataFrame([(text,)], "t string").select(provenance.asserted(F.col("t")).alias("a")).first().a
     assert [(c, r) for c, r, *_ in said] == [("month", "May 2026"), ("num", "7"), ("num", "8."), ("num", "41"), ("num", ".5s"), ("num", "24"), ("num", "3"), ("num", "1234567"), ("num", "12"), ("num", "34"), ("num", "1440"), ("num", "900"), ("num", "5.0"), ("num", "16em")]
 
 
+def test_documents_are_opened_level_by_level(spark):
+    doc = {"a": {"width": [[16, 3], [20, True], [1, 2, 3]], "b": [{"c": [["x 5px", 7]]}, None, False, 2.5]}, "time": {"n": 9, "deep": {"deeper": {"deepest": [0.12345]}}}, "gap 16px": 1, "u": "1,234px in 2 remote ٣", "empty": [], "none": {}}
+    got = {(r["class"], r.role, r.value) for r in provenance.measured_values(spark.createDataFrame([("c", json.dumps(doc))], "capture_id string, doc string")).where("class <> 'blob'").collect()}
+    num = {("len", "16.0"), (None, "3.0"), ("len", "20.0"), ("len", "1.0"), ("len", "2.0"), ("len", "3.0"), ("len", "5.0"), (None, "7.0"), (None, "2.5"), ("time", "9.0"), ("time", "0.1234"), ("len", "234.0"), (None, "1.0"), (None, "2.0")}
+    assert {(r, v) for c, r, v in got if c == "num"} - {(None, None)} == num and {v for c, _, v in got if c == "count"} == {"3.0", "2.0", "4.0", "1.0", "0.0"}
+    assert provenance.measured_values(spark.createDataFrame([], "capture_id string, doc string")).collect() == []
+
+
 def test_provenance_allows(spark):
     entries, captures = fixtures.provenance(spark)
     allow = spark.createDataFrame([("made-px", "37px")], "capture_id string, token string")
