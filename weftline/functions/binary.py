@@ -57,9 +57,8 @@ def media_type(name: Column, head: Column) -> Column:
 def byte_ranges(text: Column) -> Column:
     """"a-b,c-d" as inclusive ranges; null if any part is malformed or runs backwards."""
     fine = F.regexp_like(text, F.lit(r"^ *\d+-\d+ *(?:, *\d+-\d+ *)*$"))
-    n = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
-    at = lambda i: F.get(n, i).try_cast("long")
-    made = F.transform(F.sequence(F.lit(0), (F.size(n) / 2).cast("int") - 1), lambda i: F.struct(at(2 * i).alias("first"), at(2 * i + 1).alias("last")))
+    ends = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), "-"))
+    made = F.transform(ends, lambda e: F.struct(F.get(e, F.lit(0)).try_cast("long").alias("first"), F.get(e, F.lit(1)).try_cast("long").alias("last")))
     return F.when(fine & F.forall(made, lambda r: F.coalesce(r["first"] <= r["last"], F.lit(False))), made)
 
 

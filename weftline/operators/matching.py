@@ -160,9 +160,11 @@ def word_phrases_in(texts: DataFrame, phrases: DataFrame, id_col: str, text: str
 
     The first HEAD_WORDS words of each phrase (all of a shorter one) are
     joined by hash with the words that begin at each place of each text, then
-    all words are compared. Neither side is broadcast by hand or multiplied
-    with the other, so both may grow. Null texts and phrases without words
-    match nothing; rows that repeat an id count as one.
+    all words are compared. The heads of up to SMALL phrases are broadcast, so
+    that places without one never leave their task, and a place that has one
+    takes its words along; of more phrases both sides are shuffled, so both may
+    grow. Null texts and phrases without words match nothing; rows that repeat
+    an id count as one.
     """
     split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
     rules = phrases.withColumn("__w", split(phrase)).withColumn("__k", F.least(F.size("__w"), F.lit(HEAD_WORDS))).where("__k > 0").withColumn("__h", F.xxhash64(F.slice("__w", F.lit(1), F.col("__k"))))
@@ -170,7 +172,13 @@ def word_phrases_in(texts: DataFrame, phrases: DataFrame, id_col: str, text: str
     row = texts.select(F.col(id_col).alias("__id"), split(text).alias("__t"))
     starts = row.join(F.broadcast(sizes), F.size("__t") >= F.col("__k"))
     grams = F.transform(F.sequence(F.lit(1), F.size("__t") - F.col("__k") + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("__t", i, F.col("__k"))).alias("h")))
-    spots = starts.select("__id", "__k", F.inline(F.transform(grams, lambda g: F.struct(g["at"].alias("__at"), g["h"].alias("__h")))))
+    inlined = F.inline(F.transform(grams, lambda g: F.struct(g["at"].alias("__at"), g["h"].alias("__h"))))
+    if is_small(phrases):
+        heads = rules.groupBy("__k", "__h").agg(F.max(F.size("__w")).alias("__n"))
+        near = starts.select("__id", "__t", "__k", inlined).join(F.broadcast(heads), ["__k", "__h"]).select("__id", "__k", "__h", F.slice("__t", F.col("__at"), F.col("__n")).alias("__s"))
+        hit = near.join(rules, ["__k", "__h"]).where(F.slice("__s", F.lit(1), F.size("__w")) == F.col("__w"))
+        return hit.select(F.col("__id").alias(id_col), *phrases.columns).distinct()
+    spots = starts.select("__id", "__k", inlined)
     likely = spots.join(rules, ["__k", "__h"]).drop("__k", "__h")
     hit = likely.join(row, "__id").where(F.slice("__t", F.col("__at"), F.size("__w")) == F.col("__w"))
     return hit.select(F.col("__id").alias(id_col), *phrases.columns).distinct()

@@ -120,10 +120,10 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.set_sizes(a, b, "user_id")
 
 
-@query("subset_lines", r"select doc_id, i, line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i, l[i] as line from (select doc_id, string_split(text, chr(10)) as l from documents)) where regexp_full_match(line, '[|:\- ]*') and line <> ''")
+@query("subset_lines", r"select doc_id, i, line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i, l[i] as line from (select doc_id, string_split_regex(text, '[\n ]') as l from documents)) where regexp_full_match(line, '[|:\- ]*') and line <> ''")
 def subset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines made of table marks alone."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    """Lines made of table marks alone; words stand for lines."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[\n ]")).alias("i", "line"))
     return rows.where(library.marks_only(F.col("line")) & (F.col("line") != "")).select("doc_id", (F.col("i") + 1).alias("i"), "line")
 
 

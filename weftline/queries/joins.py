@@ -10,12 +10,13 @@ from weftline.queries.registry import query
 from weftline.session import table
 
 
-@query("tolerance_anti_join", """with l as (select distinct round(p_retailprice)::double as v from part), r as (select distinct round(l_extendedprice / 40)::double as v from lineitem)
- select v from l where not exists (select 1 from r where abs(l.v - r.v) <= greatest(16.0, l.v * 0.002))""")
+@query("tolerance_anti_join", """with l as (select distinct round(o_totalprice)::double as v from orders), r as (select distinct round(abs(c_acctbal) * 50)::double as v from customer)
+ select v from l where not exists (select 1 from r where abs(l.v - r.v) <= greatest(16.0, l.v * 0.0005))""")
 def tolerance_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "part").select(F.round("p_retailprice").cast("double").alias("v")).distinct()
-    right = table(spark, sf_dir, "lineitem").select(F.round(F.col("l_extendedprice") / 40).cast("double").alias("other")).distinct()
-    return matching.tolerance_anti(left, right, "v", "other", tolerance=0.002, floor=16)
+    """Totals without a balance (fifty times as large) within tolerance; some have one, some don't."""
+    left = table(spark, sf_dir, "orders").select(F.round("o_totalprice").cast("double").alias("v")).distinct()
+    right = table(spark, sf_dir, "customer").select(F.round(F.abs("c_acctbal") * 50).cast("double").alias("other")).distinct()
+    return matching.tolerance_anti(left, right, "v", "other", tolerance=0.0005, floor=16)
 
 
 @query("duration_tolerance", """with l as (select distinct user_id, round(value * 20)::double as v from events where event_type = (select min(event_type) from events)), r as (select distinct user_id, round(value * 20)::double as v from events where event_type = (select max(event_type) from events))
@@ -29,26 +30,26 @@ def duration_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.tolerance_anti(left, rows.where("right").select("user_id", F.col("v").alias("other")), "v", "other", ["user_id"])
 
 
-@query("curve_anti_join", "select distinct p_type from part where p_brand = 'Brand#11' and p_type not in (select p_type from part where p_brand = 'Brand#22')")
+@query("curve_anti_join", "select distinct p_name from part where p_brand = 'Brand#11' and p_name not in (select p_name from part where p_brand = 'Brand#22')")
 def curve_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curves of one side that the other never uses; the types stand for curves."""
+    """Curves of one side that the other never uses; names stand for curves."""
     side = F.when(F.col("p_brand") == "Brand#11", "reference").when(F.col("p_brand") == "Brand#22", "build")
-    used = table(spark, sf_dir, "part").select(side.alias("side"), F.lit("easing").alias("kind"), F.concat(F.lit("cubic-bezier "), "p_type").alias("value")).where("side is not null")
-    return motion.lost_curves(used.groupBy("side", "kind", "value").agg(F.count("*").alias("n"))).select(F.replace("value", F.lit("cubic-bezier "), F.lit("")).alias("p_type"))
+    used = table(spark, sf_dir, "part").select(side.alias("side"), F.lit("easing").alias("kind"), F.concat(F.lit("cubic-bezier "), "p_name").alias("value")).where("side is not null")
+    return motion.lost_curves(used.groupBy("side", "kind", "value").agg(F.count("*").alias("n"))).select(F.replace("value", F.lit("cubic-bezier "), F.lit("")).alias("p_name"))
 
 
-@query("property_anti_join", "with a as (select p_type from part where p_size <= 25 group by p_type having count(*) >= 2) select p_type from a where p_type not in (select p_type from part where p_size > 45)")
+@query("property_anti_join", "with p as (select p_size, p_name || ' ' || p_brand as value from part), a as (select value from p where p_size <= 25 group by value having count(*) >= 2) select value from a where value not in (select value from p where p_size > 25)")
 def property_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values used twice or more on one side and never on the other."""
-    side = F.when(F.col("p_size") <= 25, "reference").when(F.col("p_size") > 45, "build")
-    used = table(spark, sf_dir, "part").select(side.alias("side"), F.lit("carrier").alias("kind"), F.col("p_type").alias("value")).where("side is not null")
-    return motion.lost_properties(used.groupBy("side", "kind", "value").agg(F.count("*").alias("n"))).select(F.col("value").alias("p_type"))
+    side = F.when(F.col("p_size") <= 25, "reference").when(F.col("p_size") > 25, "build")
+    used = table(spark, sf_dir, "part").select(side.alias("side"), F.lit("carrier").alias("kind"), F.concat("p_name", F.lit(" "), "p_brand").alias("value")).where("side is not null")
+    return motion.lost_properties(used.groupBy("side", "kind", "value").agg(F.count("*").alias("n")))
 
 
-@query("two_way_difference", "with a as (select distinct p_type from part where p_size <= 10), b as (select distinct p_type from part where p_size > 40) select p_type, 'fabricated' as side from (select * from a except select * from b) union all select p_type, 'dropped' from (select * from b except select * from a)")
+@query("two_way_difference", "with p as (select p_size, p_name || ' ' || p_brand as value from part), a as (select distinct value from p where p_size <= 20), b as (select distinct value from p where p_size > 30) select value, 'fabricated' as side from (select * from a except select * from b) union all select value, 'dropped' from (select * from b except select * from a)")
 def two_way_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return matching.both_ways(part.where("p_size <= 10"), part.where("p_size > 40"), "p_type", "fabricated", "dropped")
+    part = table(spark, sf_dir, "part").select("p_size", F.concat("p_name", F.lit(" "), "p_brand").alias("value"))
+    return matching.both_ways(part.where("p_size <= 20"), part.where("p_size > 30"), "value", "fabricated", "dropped")
 
 
 @query("name_collisions", "select p_name, count(distinct p_partkey) as n from part group by p_name having count(distinct p_partkey) > 1")
@@ -56,12 +57,13 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.collisions(table(spark, sf_dir, "part"), "p_name", "p_partkey").select("p_name", "n")
 
 
-@query("name_contains_pairs", """with n as (select p_type as name, list_distinct(list(p_brand)) as owners from part group by p_type union all select distinct split_part(p_type, ' ', 3), ['none'] from part where split_part(p_type, ' ', 3) <> '')
+@query("name_contains_pairs", """with n as (select name, list_distinct(list(owner)) as owners from (select p_name || ' ' || p_type as name, p_brand as owner from part union all select p_name, 'Brand#' || (p_size % 25 + 1) from part) group by name)
  select distinct a.name as inner, b.name as outer from n a, n b where a.name <> b.name and replace(a.name, ' ', '') <> '' and contains(regexp_replace(b.name, '[ .]', '', 'g'), replace(a.name, ' ', '')) and not list_has_any(a.owners, b.owners)""".replace("as inner", 'as "inner"').replace("as outer", 'as "outer"'))
 def name_contains_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names within longer ones, where no brand has both."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_type").alias("name"), F.col("p_brand").alias("owner")).unionByName(part.select(F.get(F.split("p_type", " "), 2).alias("name"), F.lit("none").alias("owner")))
-    return matching.contained_pairs(names.where("name is not null and name <> ''"), "name", "owner")
+    names = part.select(F.concat("p_name", F.lit(" "), "p_type").alias("name"), F.col("p_brand").alias("owner")).unionByName(part.select(F.col("p_name").alias("name"), F.concat(F.lit("Brand#"), (F.col("p_size") % 25 + 1).cast("string")).alias("owner")))
+    return matching.contained_pairs(names, "name", "owner")
 
 
 @query("prefix_resolution", """with n as (select distinct lower(trim(c_name)) as name, lower(regexp_replace(c_name, '[ .]', '', 'g')) as flat, c_mktsegment as owner from customer),
@@ -117,11 +119,11 @@ def composite_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.uncovered_waapi(rows.where("value < 10"), rows.where("value > 90")).select("event_id")
 
 
-@query("unlisted_keys", "select distinct c_custkey from customer where c_custkey not in (select o_custkey from orders) and c_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+@query("unlisted_keys", "select distinct c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F') and c_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def unlisted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a listing holds that was neither reached nor skipped with a reason."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment")
-    reached = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    reached = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
     return crawl.unexplained(c, reached, c.where("c_mktsegment = 'BUILDING'")).select(F.col("key").alias("c_custkey"))
 
 
