@@ -30,16 +30,18 @@ SURE = 24
 REMEMBER = 250_000
 #: Seed of the 64-bit hash that stands for a word or n-gram, as xxhash64() has it.
 SEED = 42
-#: Numbers that count as letters for \w, but aren't.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: A word, for fitting and for predicting: letters in a row.
-WORD = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words of a text."""
-    return WORD.findall(text.lower()) if text else []
-
+    """Lower-case words of a text, for fitting and for predicting: letters in a row."""
+    if not text:
+        return []
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # some numbers, such as fractions, count as letters there
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def hashes(words: list[str]) -> np.ndarray:
