@@ -46,10 +46,29 @@ def merged_channels(stream: DataFrame, key: Sequence[str]) -> DataFrame:
     return stream.groupBy(*key).agg(best.alias("channel"), F.count("*").alias("n"))
 
 
-def with_ends(starts: DataFrame, ends: DataFrame, key: Sequence[str], within: str = "1 minute") -> DataFrame:
-    """Starts with the end of their key that follows within a time, or without one once it can't come any more. Both have a column ts."""
-    s = starts.withWatermark("ts", within).alias("s")
-    e = ends.select(*[F.col(k).alias(f"e_{k}") for k in key], F.col("ts").alias("e_ts"), F.col("to").alias("e_to")).withWatermark("e_ts", within)
+def first_of_visit(stream: DataFrame, key: Sequence[str], value: str, order: str, time: str, gap: str, delay: str) -> DataFrame:
+    """(key..., begins, ends, value, n): of each visit of a key, the value of the record with the smallest order, and how many records it has.
+
+    A visit ends when no record of its key comes for a gap of time. Then it is
+    given out, once, and its state goes: what is held is one record for each
+    visit that is still open. Records that come later than `delay` behind the
+    newest one are dropped if their visit has ended.
+    """
+    visit = F.session_window(time, gap).alias("visit")
+    first = stream.withWatermark(time, delay).groupBy(*key, visit).agg(F.min_by(value, order).alias(value), F.count("*").alias("n"))
+    return first.select(*key, F.col("visit.start").alias("begins"), F.col("visit.end").alias("ends"), value, "n")
+
+
+def with_ends(starts: DataFrame, ends: DataFrame, key: Sequence[str], within: str = "1 minute", delay: str | None = None) -> DataFrame:
+    """Starts with each end of their key that follows within a time, or without one once none can come any more. Both have a column ts, ends a column to.
+
+    Each side is kept until the newest records of both are so far ahead that
+    nothing can match it any more, allowing for records that come `delay` late
+    (as long as `within`, if not given).
+    """
+    late = delay or within
+    s = starts.withWatermark("ts", late).alias("s")
+    e = ends.select(*[F.col(k).alias(f"e_{k}") for k in key], F.col("ts").alias("e_ts"), F.col("to").alias("e_to")).withWatermark("e_ts", late)
     on = [F.col(f"s.{k}") == F.col(f"e_{k}") for k in key]
     cond = on[0]
     for c in on[1:]:
