@@ -16,6 +16,7 @@ LANG = r"(?i)<html[^>]+lang="
 H1 = r"(?i)<h1[\s>]"
 IMAGE = r"(?i)<img\b[^>]*>"
 LINKED_DATA = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
+STYLE = r"(?is)<style[^>]*>(.*?)</style>"
 FIGURE = r"\b\d[\d,.:]*\b"
 
 
@@ -92,6 +93,11 @@ def neutralised_counts(html: Column) -> Column:
     return F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), v)])
 
 
+def styles(html: Column) -> Column:
+    """Style sheets that stand in a page, in order."""
+    return F.regexp_extract_all(html, F.lit(STYLE), F.lit(1))
+
+
 def selector_rules(css: Column, selector: str) -> Column:
     """Bodies of the rules of a selector in raw CSS."""
     import re

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import tallies
+from weftline.session import cut
 
 #: Elements read of a page, and the style properties of each tally.
 ELEMENTS = 4000
@@ -15,6 +18,64 @@ STATE_CLASS, HOPS = r"^(is|has)-|active|visible", 4
 STATES = r"(?i):(hover|focus-visible|focus|active)\b"
 
 
+#: A piece of a style sheet up to the next brace or semicolon that stands in no string and no brackets.
+_QUOTED = r"""\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'"""
+PIECE = rf"""(?s)(?:[^{{}};"'(]++|{_QUOTED}|\((?:[^()"']++|{_QUOTED})*+\)|\()*+[{{}};]"""
+
+
+def css_rules(sheets: DataFrame) -> DataFrame:
+    """(page, sheet, ord, type, selector, condition, media, declarations, css_text, readable): the rules of source text (page, sheet, css), those within grouping rules too.
+
+    type is style, or the at-rule's name; condition is what stands behind that
+    name; media are the conditions of the rules around, outermost first. What
+    stands in keyframes belongs to them and is no rule. A sheet is cut at its
+    braces; their running sum is the depth of each piece, and a piece belongs
+    to the last block that was opened on its level, so no sheet is walked in
+    one piece. Null and empty sheets have no rules, a block that isn't closed
+    ends with its sheet, a brace too many closes nothing.
+    """
+    clean = sheets.where("css is not null").select("page", "sheet", F.regexp_replace("css", r"(?s)/\*.*?\*/", " ").alias("css"))
+    clean = cut(clean.withColumn("id", F.monotonically_increasing_id()))
+    # what follows the last brace or semicolon counts as a piece of its own
+    pieces = F.regexp_extract_all(F.concat("css", F.lit(";")), F.lit(PIECE), F.lit(0))
+    w = Window.partitionBy("id").orderBy("pos")
+    mark, body = F.substring("piece", -1, 1), F.trim(F.regexp_replace(F.expr("left(piece, length(piece) - 1)"), r"\s+", " "))
+    rows = clean.select("id", F.posexplode(pieces).alias("pos", "piece")).select("id", "pos", mark.alias("mark"), body.alias("body"), F.length("piece").alias("size"), F.length(F.regexp_extract("piece", r"^\s*", 0)).alias("lead"))
+    step = F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)
+    rows = rows.withColumn("sum", F.sum(step).over(w)).withColumn("end", F.sum("size").over(w))
+    depth = F.col("sum") - F.least(F.min("sum").over(w), F.lit(0))
+    rows = rows.withColumn("after", depth)
+    level = F.when(F.col("mark") == "}", F.col("after") + 1).otherwise(F.col("after"))
+    rows = rows.select("id", "pos", "mark", "body", "end", (F.col("end") - F.col("size") + F.col("lead") + 1).alias("begin"), level.alias("level"))
+    # on its level, each block is opened and closed before the next one
+    by_level = Window.partitionBy("id", "level").orderBy("pos")
+    edges = rows.where("mark in ('{', '}')").withColumn("close", F.lead(F.when(F.col("mark") == "}", F.col("end"))).over(by_level))
+    opened = edges.where("mark = '{'").select("id", "pos", "level", "body", "begin", "close")
+    # declarations, and blocks one level further in, look for the last block that was opened before them
+    asking = rows.where("mark <> '{' and body <> ''").select("id", "pos", "level", F.col("body").alias("text"), F.lit(None).cast("int").alias("own")).unionByName(
+        opened.select("id", "pos", (F.col("level") - 1).alias("level"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("own"))
+    )
+    told = asking.unionByName(opened.select("id", "pos", "level", F.lit(None).cast("string").alias("text"), F.col("pos").alias("own")))
+    found = told.withColumn("owner", F.last("own", ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("own is null")
+    said = found.where("text is not null and owner is not null").groupBy("id", F.col("owner").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("said"))
+    parents = found.where("text is null").select("id", "pos", F.col("owner").alias("parent"))
+    kind = F.coalesce(F.nullif(F.lower(F.regexp_extract("body", r"^@(?:-[a-z]+-)?([\w-]+)", 1)), F.lit("")), F.lit("style"))
+    rest = F.trim(F.regexp_replace("body", r"^@[\w-]+", ""))
+    blocks = cut(opened.join(parents, ["id", "pos"], "left").select("id", "pos", "level", "parent", "begin", "close", "body", kind.alias("type"), rest.alias("rest")))
+    done = [blocks.where("parent is null").withColumn("media", F.array().cast("array<string>"))]
+    for depth_ in range(2, (blocks.agg(F.max("level")).first()[0] or 0) + 1):
+        above = done[-1].where("type <> 'keyframes'").select("id", F.col("pos").alias("parent"), F.when(F.col("type") == "style", F.col("media")).otherwise(F.array_append("media", F.col("rest"))).alias("media"))
+        done.append(cut(blocks.where(F.col("level") == depth_).join(above, ["id", "parent"]).select("id", "pos", "level", "parent", "begin", "close", "body", "type", "rest", "media")))
+    rules = reduce(DataFrame.unionByName, done).join(said, ["id", "pos"], "left").join(clean, "id")
+    pair = lambda d: F.struct(F.lower(F.trim(F.substring_index(d["text"], ":", 1))).alias("property"), F.trim(F.substring(d["text"], F.instr(d["text"], F.lit(":")) + 1, F.length(d["text"]))).alias("value"))
+    own = F.transform(F.filter(F.coalesce("said", F.array().cast("array<struct<pos:int,text:string>>")), lambda d: F.contains(d["text"], F.lit(":")) & ~d["text"].startswith("@")), pair)
+    return rules.select(
+        "page", "sheet", F.row_number().over(Window.partitionBy("id").orderBy("pos")).alias("ord"), "type", F.when(F.col("type").isin("style", "keyframes"), F.col("rest")).alias("selector"),
+        F.when(~F.col("type").isin("style", "keyframes", "font-face"), F.col("rest")).alias("condition"), "media", F.when(F.col("type") == "keyframes", F.array().cast("array<struct<property:string,value:string>>")).otherwise(own).alias("declarations"),
+        F.expr("substring(css, begin, coalesce(close, length(css)) - begin + 1)").alias("css_text"), F.lit(True).alias("readable"),
+    )
+
+
 def style_tallies(elements: DataFrame, top: int = 12) -> DataFrame:
     """(page, kind, value, n, rank): the most frequent values of each style property, over the first elements of a page that have a box."""
     seen = elements.where((F.col("ord") < ELEMENTS) & (F.col("rect.width") > 0) & (F.col("rect.height") > 0))

@@ -100,3 +100,29 @@ def crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = first.orderBy("page_id").first()
     done, skipped = crawl.crawl(edges, start.src if start else SITE, sitemap, allowed, pages.count() // 5, CRAWL_DEPTH)
     return done.select("key", "depth", "seq", F.lit(None).cast("string").alias("reason")).unionByName(skipped.select("key", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("seq"), "reason"))
+
+
+@query(
+    "style_rules",
+    """with p as (select page_id, page_id::varchar as n from pages), r as (
+ select page_id, 0 as sheet, 1 as ord, 'style' as type, 'p' as selector, null as condition, '' as media, 'margin=0' as said, 'p{margin:0}' as css_text from p
+ union all select page_id, 1, 1, 'media', null, '(min-width: ' || n || 'px)', '', '', null from p union all select page_id, 1, 2, 'style', 'a:hover, b', null, '(min-width: ' || n || 'px)', 'color=#0' || n || ';background=url(a;b}.png)', null from p
+ union all select page_id, 1, 3, 'supports', null, '(x: y)', '(min-width: ' || n || 'px)', '', null from p union all select page_id, 1, 4, 'style', '.c' || n, null, '(min-width: ' || n || 'px) and (x: y)', 'content="}";--w=' || n || 'px', '.c' || n || '{content:"}";--w:' || n || 'px}' from p
+ union all select page_id, 1, 5, 'keyframes', 'k' || n, null, '', '', '@keyframes k' || n || '{from{top:0}to{top:' || n || 'px}}' from p union all select page_id, 1, 6, 'style', ':root', null, '', '--gap=' || n || 'px', null from p)
+ select page_id, sheet, ord, type, selector, condition, media, said, case when sheet = 0 or ord in (4, 5) then css_text end as css_text from r""",
+)
+def style_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of each page's own style block, and of one with nested rules that is made for it."""
+    from weftline.operators import capture
+
+    n = F.col("page_id").cast("string")
+    made = F.concat(
+        F.lit("/* a{b:c} */ @import url(x;y.css);\n@media  (min-width: "), n, F.lit("px) {\n a:hover, b { color : #0"), n, F.lit("; background: url(a;b}.png) }\n @supports (x: y) { .c"), n, F.lit('{content:"}";--w:'), n,
+        F.lit("px} } }\n@keyframes k"), n, F.lit("{from{top:0}to{top:"), n, F.lit("px}} :root { --gap: "), n, F.lit("px }"),
+    )
+    sheets = F.array_append(markup.styles(F.col("html")), made)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("page_id"), F.posexplode(sheets).alias("sheet", "css"))
+    rules = capture.css_rules(pages.select("page", "sheet", "css"))
+    said = F.array_join(F.transform("declarations", lambda d: F.concat(d["property"], F.lit("="), d["value"])), ";")
+    whole = F.when((F.col("sheet") == 0) | F.col("ord").isin(4, 5), F.col("css_text"))
+    return rules.select(F.col("page").alias("page_id"), "sheet", "ord", "type", "selector", "condition", F.array_join("media", " and ").alias("media"), said.alias("said"), whole.alias("css_text"))
