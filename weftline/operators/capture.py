@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,6 +191,44 @@ def hydration(counts: DataFrame) -> DataFrame:
     return j.select("page", (F.col("b") >= 1.8 * F.col("r")).alias("failed"))
 
 
+#: Elements without content, and those that end an open one of their kind.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+SELF_CLOSING = ("p", "li", "tr", "td", "th", "option", "dt", "dd")
+#: Comments, what scripts and styles hold, and tags.
+TAGS = re.compile(r"""<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][\w-]*)(?:[^>"']|"[^"]*"|'[^']*')*>""", re.I | re.S)
+
+
+def tag_paths(html: str) -> list[str]:
+    """The distinct paths of tags of a page, sorted."""
+    stack: list[str] = []
+    found = set()
+    for m in TAGS.finditer(html):
+        raw, closes, tag = m.group(1), m.group(2), (m.group(3) or "").lower()
+        if raw:
+            found.add(" > ".join([*stack, raw.lower()]))
+        elif closes:
+            if tag in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+        elif tag:
+            if tag in SELF_CLOSING and tag in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+            found.add(" > ".join([*stack, tag]))
+            if tag not in VOID:
+                stack.append(tag)
+    return sorted(found)
+
+
+def by_structure(pages: DataFrame, page_col: str = "page", html_col: str = "html", depth: int = 3) -> DataFrame:
+    """(page, template, parts): the paths of tags of each page, and as its template a hash of those of few steps. Null and empty pages have no parts and share a template."""
+
+    @F.pandas_udf("array<string>")
+    def paths(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: tag_paths(h) if isinstance(h, str) else [])
+
+    rows = pages.select(F.col(page_col).alias("page"), paths(html_col).alias("parts"))
+    return rows.withColumn("template", F.md5(F.array_join(F.filter("parts", lambda p: F.size(F.split(p, " > ")) <= depth), "\n"))).select("page", "template", "parts")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(template, instances, fixed, varying): what all instances of a template share and what differs."""
     flat = pages.select("template", "page", F.explode("parts").alias("part"))

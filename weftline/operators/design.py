@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.functions import colour
 from weftline.operators import matching, tallies
@@ -244,9 +246,75 @@ SOURCE_SKIP = ("node_modules", "dist", "build", "out", "vendor", "coverage")
 SOURCE_EXT = ("js", "jsx", "ts", "tsx", "css", "scss", "html", "vue", "svelte", "astro", "mjs")
 
 
+#: Characters of a literal that lines are looked up by.
+GRAM = 3
+
+
+def required(pattern: str) -> str:
+    """The longest literal, in small letters, that every match of a pattern holds; empty where none is sure."""
+    from re import _constants as op
+    from re import _parser
+
+    best, run = "", ""
+
+    def take(parts) -> None:
+        nonlocal best, run
+        for what, value in parts:
+            if what is op.LITERAL and chr(value).lower() == chr(value).lower().casefold() and len(chr(value).lower()) == 1:
+                run += chr(value).lower()
+            elif what is op.SUBPATTERN and not value[1] and not value[2]:
+                take(value[3])
+                continue
+            elif what is not op.AT:
+                if what in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] > 0:  # once at least
+                    run = ""
+                    take(value[2])
+                run = ""
+            best = max(best, run, key=len)
+
+    try:
+        take(_parser.parse(pattern))
+    except Exception:  # a pattern of the engine's own kind
+        return ""
+    return best
+
+
+def line_hits(lines: DataFrame, rules: DataFrame, body: str = "body") -> DataFrame:
+    """Columns of lines and rules of each line in which a rule's pattern is found.
+
+    Rules (pattern, ...) are matching.SMALL at most. Lines are looked up by the
+    first characters of a literal that a rule's matches must hold, by an
+    equi-join; only those that hold the literal are tried with the pattern.
+    Rules without such a literal are tried on every line, in one expression.
+    Null lines have no hit; a rule that repeats gives each of its hits again.
+    """
+    from weftline.operators import matching
+
+    spark = lines.sparkSession
+    own = [r.asDict() for r in rules.limit(matching.SMALL + 1).collect()]
+    if len(own) > matching.SMALL:
+        raise ValueError(f"more than {matching.SMALL} rules")
+    kind = rules.schema
+    sure = [(required(r["pattern"]), r) for r in own]
+    low = F.lower(F.col(body))
+    found = []
+    by_gram = [(lit[:GRAM], lit, *(r[c] for c in kind.names)) for lit, r in sure if len(lit) >= GRAM]
+    if by_gram:
+        keyed = spark.createDataFrame(by_gram, StructType([StructField("__gram", StringType()), StructField("__literal", StringType()), *kind.fields]))
+        grams = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+        spots = lines.where(F.length(body) >= GRAM).withColumn("__gram", F.explode(grams))
+        hit = spots.join(F.broadcast(keyed), "__gram").where(F.contains(low, F.col("__literal"))).where(F.expr(f"regexp_like(`{body}`, pattern)"))
+        found.append(hit.select(*lines.columns, *rules.columns))
+    rest = [r for lit, r in sure if len(lit) < GRAM]
+    if rest:
+        tried = F.array(*[F.when(F.regexp_like(body, F.lit(r["pattern"])), F.struct(*[F.lit(r[c]).cast(kind[c].dataType).alias(c) for c in kind.names])) for r in rest])
+        found.append(lines.withColumn("__rule", F.explode(F.array_compact(tried))).select(*lines.columns, "__rule.*"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], StructType([*lines.schema.fields, *kind.fields]))
+
+
 def source_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rel, line, tier, message): one hit for each line and rule. files (rel, text); rules (pattern, tier, message) are few and broadcast."""
+    """(rel, line, tier, message): one hit for each line and rule. files (rel, text); rules (pattern, tier, message), see line_hits()."""
     parts = F.split("rel", "/")
     kept = files.where(~F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*SOURCE_SKIP) | p.startswith(".")) & F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(*SOURCE_EXT))
     lines = kept.select("rel", F.posexplode(F.split("text", "\n")).alias("at", "body"))
-    return lines.join(F.broadcast(rules), F.expr("regexp_like(body, pattern)")).select("rel", (F.col("at") + 1).alias("line"), "tier", "message")
+    return line_hits(lines, rules).select("rel", (F.col("at") + 1).alias("line"), "tier", "message")

@@ -112,6 +112,29 @@ def pixel_band_score(left: DataFrame, right: DataFrame, key: list[str]) -> DataF
     return j.groupBy(*key).agg((100 - F.avg("m") / 255 * 100).alias("similarity_pct"), (F.avg(F.when(F.col("top") <= 16, 100.0).otherwise(0.0))).alias("within16_pct"), F.max("top").alias("max_delta"))
 
 
+def band_scores(pairs: DataFrame, left: str, right: str, bands: dict[str, tuple[int, int]]) -> DataFrame:
+    """pairs with (band, similarity_pct, within16_pct, max_delta): two packed rasters compared band by band.
+
+    left and right are arrays of samples from 0 to 255, row by row; a band is
+    the samples from one place up to another (from 0). Samples that only one
+    side has differ by 255; a band beyond both is empty and scores null. Each
+    pair is compared where it is, as arrays, so no pixel is a row.
+    """
+    a, b = F.col(left), F.col(right)
+    apart = F.zip_with(a, b, lambda x, y: F.coalesce(F.abs(x - y), F.lit(255)).cast("int"))
+    rows = pairs.withColumn("__apart", apart)
+    cut_ = F.array(*[F.struct(F.lit(n).alias("band"), F.slice("__apart", F.lit(lo + 1), F.lit(hi - lo)).alias("d")) for n, (lo, hi) in bands.items()])
+    d, n = F.col("__band.d"), F.size("__band.d")
+    total = F.aggregate(d, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    scored = rows.withColumn("__band", F.explode(cut_)).withColumns({
+        "band": F.col("__band.band"),
+        "similarity_pct": F.when(n > 0, 100 - total / n / 255 * 100),
+        "within16_pct": F.when(n > 0, F.size(F.filter(d, lambda x: x <= 16)) / n * 100),
+        "max_delta": F.array_max(d),
+    })
+    return scored.drop("__apart", "__band")
+
+
 def text_layer(left: DataFrame, right: DataFrame) -> DataFrame:
     """(page, chars, same, pct): characters that stand at the same place in two texts of a page, against the longer one."""
     j = left.select("page", F.col("text").alias("a")).join(right.select("page", F.col("text").alias("b")), "page", "full_outer")

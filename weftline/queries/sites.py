@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,3 +128,102 @@ def style_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("declarations", lambda d: F.concat(d["property"], F.lit("="), d["value"])), ";")
     whole = F.when((F.col("sheet") == 0) | F.col("ord").isin(4, 5), F.col("css_text"))
     return rules.select(F.col("page").alias("page_id"), "sheet", "ord", "type", "selector", "condition", F.array_join("media", " and ").alias("media"), said.alias("said"), whole.alias("css_text"))
+
+
+@query(
+    "robots_verdicts",
+    rf"""with p as (select page_id, url, regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) as o, {PATH_SQL.format('url')} || case when regexp_extract(url, '^[^?#]*\?([^#]*)', 1) <> '' then '?' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) else '' end as t from pages),
+ r as (select distinct o, '/' || split_part(t, '/', 2) || '/' as b, (page_id % 10)::varchar as d, page_id % 4 as k, t from p where page_id % 4 < 3)
+ select p.page_id, bool_or(coalesce(case r.k when 0 then starts_with(p.t, r.b) and contains(substr(p.t, length(r.b) + 1), r.d) when 1 then starts_with(p.t, r.t) else starts_with(p.t, '/z') or contains(p.t, r.d || r.d || 'f') end, false)) as robots from p left join r using (o) group by p.page_id""",
+)
+def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against rules that are made of their own paths: a section with a star and a digit, a whole path, a beginning that no page has, a star in front."""
+    from weftline.sources import web
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    u, k, digit = F.col("url"), F.col("page_id") % 4, (F.col("page_id") % 10).cast("string")
+    tail = F.concat(urls.part(u, "path"), F.when(urls.part(u, "query") != "", F.concat(F.lit("?"), urls.part(u, "query"))).otherwise(""))
+    section = F.concat(F.lit("/"), F.element_at(F.split(tail, "/"), 2), F.lit("/*"), digit)
+    made = F.when(k == 0, F.array(section)).when(k == 1, F.array(tail)).otherwise(F.array(F.lit("/z"), F.concat(F.lit("*"), digit, digit, F.lit("f"))))
+    rules = pages.where(k < 3).select(urls.origin(u).alias("origin"), F.explode(made).alias("rule"))
+    return web.robots_blocked(pages, rules).select("page_id", "robots")
+
+
+LINE_RULES = [
+    ("mit license", "WARN"), ("(?i)Apache +License", "WARN"), ("idiot", "FAIL"), ("[$]{3} ", "WARN"), ("and the [a-z]+er", "WARN"), ("(?i)(?:heit|keit) und", "WARN"), ("que la(?: ou)? de", "WARN"), ("[.]$", "WARN"), ("^(The|Der|La) ", "WARN"),
+    ("[A-Z]{6}!!", "FAIL"), ("of of", "FAIL"), ("(?:th)+ing on", "WARN"), ("x{0,1}tion,", "WARN"), ("http://", "WARN"),
+]
+
+
+@query(
+    "line_rule_hits",
+    "with r(pattern, tier) as (values " + ", ".join(f"('{p}', '{t}')" for p, t in LINE_RULES) + """), l as (select doc_id, unnest(range(1, len(l) + 1)) as line, l from (select doc_id, string_split(text, chr(10)) as l from documents))
+ select pattern, tier, count(*) as hits, count(distinct doc_id) as docs, sum(doc_id * line)::bigint as places from l, r where regexp_matches(l[line], pattern) group by pattern, tier""",
+)
+def line_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents against a set of rules."""
+    from weftline.operators import design
+
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "body"))
+    hits = design.line_hits(lines, spark.createDataFrame(LINE_RULES, "pattern string, tier string"))
+    return hits.groupBy("pattern", "tier").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"), F.sum(F.col("doc_id") * (F.col("at") + 1)).alias("places"))
+
+
+PAGE_PATHS = [
+    ("<html", "html"), ("<head", "html > head"), ("<meta", "html > head > meta"), ("<title", "html > head > title"), ("<style", "html > head > style"), ("<script", "html > head > script"), ("<body", "html > body"), ("<nav", "html > body > nav"),
+    ("<ul", "html > body > nav > ul"), ("<li", "html > body > nav > ul > li"), ("<a ", "html > body > nav > ul > li > a"), ("<div", "html > body > div"), ("<article", "html > body > article"), ("<h1", "html > body > article > h1"), ("<p>", "html > body > article > p"),
+    ("<b>", "html > body > article > p > b"), ("<br>", "html > body > article > p > b > br"), ("<footer", "html > body > footer"),
+]
+
+
+@query(
+    "page_templates",
+    "with t(tag, path) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in PAGE_PATHS) + """), p as (select page_id, path from pages, t where contains(html, tag)), n as (select count(*) as n from pages), c as (select path, count(*) as k from p group by path)
+ select (select n from n) as instances, string_agg(path, '|' order by path) filter (k = (select n from n)) as fixed, coalesce(string_agg(path, '|' order by path) filter (k < (select n from n)), '') as varying from c""",
+)
+def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of all pages by the paths of their tags: how many pages each has, and which paths all or only some of them have."""
+    from weftline.operators import capture
+
+    out = capture.templates(capture.by_structure(table(spark, sf_dir, "pages"), "page_id"))
+    return out.select("instances", F.array_join("fixed", "|").alias("fixed"), F.array_join("varying", "|").alias("varying"))
+
+
+RASTER_SQL = "list_transform(embedding, lambda x: least(255, greatest(0, floor(128 + 400 * x::double)))::int)"
+BANDS = {"first": (0, 16), "second": (16, 40), "third": (40, 64)}
+
+
+@query(
+    "band_similarity",
+    f"""with v as (select vec_id, {RASTER_SQL} as r from embeddings), b(band, lo, hi) as (values ('first', 0, 16), ('second', 16, 40), ('third', 40, 64)),
+ d as (select a.vec_id, band, list_transform(list_zip(a.r[lo + 1:hi], c.r[lo + 1:hi], s.r[lo + 1:hi]), lambda z: [abs(z[1] - z[2]), abs(z[1] - z[3])]) as d from v a join v c on c.vec_id = a.vec_id + 1 join v s on s.vec_id = a.vec_id + 2, b),
+ m as (select vec_id, band, 100 - list_sum(list_transform(d, lambda x: x[1])) / len(d) / 255 * 100 as cross_pct, 100 - list_sum(list_transform(d, lambda x: x[2])) / len(d) / 255 * 100 as self_pct, len(list_filter(d, lambda x: x[1] <= 16)) / len(d) * 100 as w, list_max(list_transform(d, lambda x: x[1])) as x from d)
+ select vec_id, band, round(cross_pct, 6) as similarity_pct, round(w, 6) as within16_pct, x as max_delta, abs(cross_pct - self_pct) <= 0.5 as phase from m""",
+)
+def band_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as rasters of 64 samples, each compared band by band with the next one, and whether it differs as much from the one behind that."""
+    from weftline.operators import report
+
+    raster = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * x.cast("double")).cast("int"))))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", raster.alias("r"))
+    at = lambda n, name: v.select((F.col("vec_id") - n).alias("vec_id"), F.col("r").alias(name))
+    trio = v.join(at(1, "next"), "vec_id").join(at(2, "later"), "vec_id")
+    cross = report.band_scores(trio.select("vec_id", "r", "next", "later"), "r", "next", BANDS).drop("next").withColumnRenamed("similarity_pct", "cross_pct").withColumnsRenamed({"within16_pct": "w", "max_delta": "m"})
+    again = report.band_scores(trio.select("vec_id", "r", "later"), "r", "later", BANDS).select("vec_id", "band", F.col("similarity_pct").alias("self_pct"))
+    both = cross.join(again, ["vec_id", "band"])
+    phase = report.phase_residual(both.select(F.struct("vec_id", "band").alias("band"), "cross_pct", "self_pct"), 0.5).select("band.*", "phase")
+    return both.join(phase, ["vec_id", "band"]).select("vec_id", "band", F.round("cross_pct", 6).alias("similarity_pct"), F.round("w", 6).alias("within16_pct"), F.col("m").alias("max_delta"), "phase")
+
+
+@query("written_pages", "select page_id || '.html' as slug, md5(html) as digest, length(html) as n_chars from pages")
+def written_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as files by partitions, which appear together, and read back."""
+    from weftline.plans.page_files import PageFiles
+    from weftline.session import kept, shared_dir
+    from weftline.sources import web
+
+    spark.dataSource.register(PageFiles)
+    path = kept(spark, f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("slug"), "html").write.format("page_files").mode("append").save(path)
+    files = web.whole_files(spark, path, "*.html").select(F.regexp_extract("file", r"([^/]+)$", 1).alias("slug"), "text")
+    return files.select("slug", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))

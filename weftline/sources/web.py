@@ -25,16 +25,25 @@ def robots_rules(texts: DataFrame) -> DataFrame:
 
 
 def robots_blocked(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """urls with a column `robots`: a rule of its origin begins its path and query. The rules of a crawl are broadcast where they are few (matching.SMALL origins)."""
+    """urls with a column `robots`: a rule of its origin begins its path and query; stars in rules are wild.
+
+    What a rule has before its first star is joined for equality with as many
+    first characters of the paths of its origin; only then are stars tried. The
+    lengths of these beginnings reach the driver, no more numbers than the
+    longest rule has characters. A null URL isn't blocked.
+    """
     from weftline.functions import urls as U
-    from weftline.operators import matching
 
     u = F.col(url_col)
     tail = F.concat(U.part(u, "path"), F.when(U.part(u, "query") != "", F.concat(F.lit("?"), U.part(u, "query"))).otherwise(""))
     keyed = urls.withColumns({"__origin": U.origin(u), "__tail": tail})
-    pats = rules.groupBy(F.col("origin").alias("__origin")).agg(F.collect_set(U.robots_pattern(F.col("rule"))).alias("__pats"))
-    j = keyed.join(F.broadcast(pats) if matching.is_small(pats) else pats, "__origin", "left")
-    return j.withColumn("robots", F.coalesce(F.exists("__pats", lambda p: F.regexp_like(F.col("__tail"), p)), F.lit(False))).drop("__origin", "__tail", "__pats")
+    begins = F.substring_index("rule", "*", 1)
+    own = rules.where("rule is not null").select(F.col("origin").alias("__origin"), begins.alias("__begin"), F.length(begins).alias("__n"), F.when(F.contains("rule", F.lit("*")), U.robots_pattern(F.col("rule"))).alias("__pattern")).distinct()
+    sizes = sorted(r[0] for r in own.select("__n").distinct().collect())
+    asked = keyed.select("__origin", "__tail").where("__tail is not null").distinct().withColumn("__n", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("__tail"))))
+    hit = asked.withColumn("__begin", F.substring(F.col("__tail"), F.lit(1), F.col("__n"))).join(own, ["__origin", "__n", "__begin"])
+    hit = hit.where(F.col("__pattern").isNull() | F.regexp_like("__tail", F.col("__pattern"))).select("__origin", "__tail", F.lit(True).alias("__hit")).distinct()
+    return keyed.join(hit, ["__origin", "__tail"], "left").withColumn("robots", F.coalesce("__hit", F.lit(False))).drop("__origin", "__tail", "__hit").select(*urls.columns, "robots")
 
 
 def sitemap_urls(files: DataFrame, root: str) -> DataFrame:
