@@ -187,22 +187,19 @@ def rewrite(pages: DataFrame, page_assets: DataFrame, url_col: str = "url", html
     own = page_assets.where("asset_url <> '' and place is not null").select(F.col("src_url").alias("__u"), both.alias("a"), "place").groupBy("__u", "a").agg(F.min("place").alias("p"))
     own = own.groupBy("__u").agg(F.map_from_entries(F.collect_list(F.struct("a", "p"))).alias("__own"))
     joined = pages.join(own, F.col(url_col) == F.col("__u"), "left").drop("__u")
-    # pages that hold none of the assets stay out of Python
-    open_ = F.col("__own").isNotNull() & F.col(html_col).isNotNull()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            where = [dict(w) for w in part.pop("__own")]
+            where = [{} if w is None else dict(w) for w in part.pop("__own")]
             machine = ahocorasick.Automaton()
             for w in where:
                 for p in w:
                     machine.add_word(p, p)
             machine.make_automaton()
-            part[html_col] = [longest_first(t, w, machine) for t, w in zip(part[html_col], where, strict=True)]
+            part[html_col] = [longest_first(t, w, machine) if w and isinstance(t, str) else t for t, w in zip(part[html_col], where, strict=True)]
             yield part
 
-    done = joined.where(open_).mapInPandas(run, pages.schema)
-    return done.unionByName(joined.where(~open_).drop("__own"))
+    return joined.mapInPandas(run, pages.schema)
 
 
 def relative_rewrite(sources: DataFrame, places: DataFrame, url_col: str = "url", text_col: str = "text") -> DataFrame:
