@@ -110,3 +110,13 @@ def test_url_fit_on_repeated_urls(spark):
     model = url_filter.fit(spark.createDataFrame(many, "u string, v string"), "u", "v", most=300)
     assert model.trees and 0.1 < model.prior < 0.3
     assert url_filter.fit(spark.createDataFrame(many, "u string, v string"), "u", "v", most=1).prior == 1.5 / 4
+
+
+def test_rows_of_one_id_fill_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_DOCS", 20)
+    docs = spark.createDataFrame([(7 if k % 3 else None if k % 2 else k, f"word {k % 11}") for k in range(200)], "doc_id bigint, text string")
+    store = token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "store"))
+    sizes = [r["count"] for r in spark.read.parquet(f"{store}/recipes").groupBy("shard").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 60
+    rows = token_store.summary(spark, store).collect()
+    assert len(rows) == 200 and sorted(r.start for r in rows) == [sum(sorted_n[:k]) for sorted_n in [[r.n_tokens for r in sorted(rows, key=lambda r: r.start)]] for k in range(200)]

@@ -304,8 +304,9 @@ def write(df: DataFrame, path: str, to: str, end: int = 2, id_col: str = "doc_id
             )
 
     recipes = own.mapInArrow(rooted, f"doc_id {kind}, row bigint, n_tokens bigint, chunks array<binary>, root binary")
-    shards = max(1, -(-df.count() // SHARD_DOCS))
-    recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").withColumn("shard", F.spark_partition_id()).write.options(**CODEC).parquet(f"{to}/recipes")
+    shards = max(1, -(-rows.where("idx = 0").count() // SHARD_DOCS))
+    # rows that repeat an id, or have none, fill as many shards as they need
+    recipes.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").withColumn("shard", F.spark_partition_id()).write.options(**CODEC).parquet(f"{to}/recipes")
     remove(spark, staged)
 
     spark.read.parquet(f"{to}/recipes").select("shard", "doc_id", "row", "n_tokens", "root").groupBy("shard").applyInPandas(sealed, "shard int, docs bigint, n_tokens bigint, root binary").withColumn("width", F.lit(load(path).width.itemsize)).write.parquet(f"{to}/manifest")
