@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import quote, urlsplit, urlunsplit
 
 import pandas as pd
@@ -127,6 +128,16 @@ def without_dots(segments: Column) -> Column:
     return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _split(url: Column) -> Column:
+    """Scheme, host, path, query and fragment of a URL, by one match."""
+    return F.split(F.regexp_replace(F.translate(url, "\x01", ""), _STRICT, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01")
+
+
 def resolved(base: Column, ref: Column) -> Column:
     """ref as an absolute URL, against the absolute URL base (RFC 3986, with its leniency for a scheme that is the base's own).
 
@@ -137,32 +148,34 @@ def resolved(base: Column, ref: Column) -> Column:
     has brackets that hold no address.
     """
     clean = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    own = {n: F.regexp_extract(clean, _STRICT, k) for k, n in enumerate(("scheme", "host", "path", "query", "fragment"), 1)}
-    top = {n: F.regexp_extract(base, _STRICT, k) for k, n in enumerate(("scheme", "host", "path", "query"), 1)}
-    scheme, same = F.lower(top["scheme"]), (own["scheme"] == "") | (F.lower(own["scheme"]) == F.lower(top["scheme"]))
-    folder = F.split(top["path"], "/")
-    folder = F.when(F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.size(folder) - 1)).otherwise(folder)
-    parts = F.split(own["path"], "/")
-    joined = F.concat(folder, parts)
-    joined = F.filter(joined, lambda s, i: (s != "") | (i == 0) | (i == F.size(joined) - 1))
-    path = F.array_join(without_dots(F.when(own["path"].startswith("/"), parts).otherwise(joined)), "/")
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-
-    def whole(host: Column, path: Column, query: Column) -> Column:
-        return F.concat(
-            scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(own["fragment"] != "", F.concat(F.lit("#"), own["fragment"])).otherwise("")
+
+    def whole(scheme: Column, host: Column, path: Column, query: Column, fragment: Column) -> Column:
+        return F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+
+    def joined(p: Column) -> Column:
+        """The path of p.ref in the folder of p.top, without dots."""
+        own = F.get(p["own"], F.lit(2))
+        folder = let(F.split(F.get(p["top"], F.lit(2)), "/"), lambda f: F.when(F.element_at(f, -1) != "", F.slice(f, F.lit(1), F.size(f) - 1)).otherwise(f))
+        below = let(F.concat(folder, F.split(own, "/")), lambda both: F.filter(both, lambda s, i: (s != "") | (i == 0) | (i == F.size(both) - 1)))
+        path = let(F.when(own.startswith("/"), F.split(own, "/")).otherwise(below), lambda segments: F.array_join(without_dots(segments), "/"))
+        return let(path, lambda x: F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x)))
+
+    def answer(p: Column) -> Column:
+        own = [F.get(p["own"], F.lit(k)) for k in range(5)]
+        top = [F.get(p["top"], F.lit(k)) for k in range(4)]
+        scheme = F.lower(top[0])
+        odd = F.regexp_like(own[1], F.lit(r"[\[\]]")) & ~F.regexp_like(own[1], F.lit(r"^([^\[\]@]*@)?\[[0-9A-Fa-f:.]+\](:[0-9]*)?$"))
+        return (
+            F.when(odd, F.lit(None).cast("string"))
+            .when(p["ref"] == "", p["base"])
+            .when(((own[0] != "") & (F.lower(own[0]) != scheme)) | ~scheme.isin(*_RELATIVE), p["ref"])
+            .when(own[1] != "", whole(scheme, own[1], own[2], own[3], own[4]))
+            .when(own[2] == "", whole(scheme, top[1], top[2], F.when(own[3] != "", own[3]).otherwise(top[3]), own[4]))
+            .otherwise(whole(scheme, top[1], joined(p), own[3], own[4]))
         )
 
-    queried = F.when(own["query"] != "", own["query"]).otherwise(top["query"])
-    odd = F.regexp_like(own["host"], F.lit(r"[\[\]]")) & ~F.regexp_like(own["host"], F.lit(r"^([^\[\]@]*@)?\[[0-9A-Fa-f:.]+\](:[0-9]*)?$"))
-    return (
-        F.when(base.isNull() | ref.isNull() | odd, F.lit(None).cast("string"))
-        .when(ref == "", base)
-        .when(~same | ~F.lower(top["scheme"]).isin(*_RELATIVE), ref)
-        .when(own["host"] != "", whole(own["host"], own["path"], own["query"]))
-        .when(own["path"] == "", whole(top["host"], top["path"], queried))
-        .otherwise(whole(top["host"], rooted, own["query"]))
-    )
+    parts = F.struct(base.alias("base"), ref.alias("ref"), _split(base).alias("top"), _split(clean).alias("own"))
+    return F.when(base.isNotNull() & ref.isNotNull(), let(parts, answer))
 
 
 def rooted_join(base: Column, ref: Column) -> Column:

@@ -75,14 +75,15 @@ def harvest(sources: DataFrame, url_col: str = "url", text_col: str = "text", ma
     """
     text = F.col(text_col)
     imports = markup.import_map(text) if mapped else F.lit(None).cast("map<string,string>")
-    src = sources.select(F.col(url_col).alias("src_url"), named(text).alias("all"), imports.alias("imports"))
-    refs = src.select("src_url", F.coalesce(F.size("imports") > 0, F.lit(False)).alias("has_map"), F.explode("all").alias("r")).select("src_url", "has_map", "r.kind", "r.ref").distinct()
+    src = sources.select(F.col(url_col).alias("src_url"), text.alias("text"), imports.alias("imports"))
+    refs = src.select("src_url", F.coalesce(F.size("imports") > 0, F.lit(False)).alias("has_map"), F.explode(named(F.col("text"))).alias("r")).select("src_url", "has_map", "r.kind", "r.ref").distinct()
     full = (
         F.when(F.col("kind") == "absolute", F.col("ref"))
         .when(F.col("kind") == "chunk", urls.next_root(F.col("src_url"), F.when(F.contains("src_url", F.lit("_next/")), F.col("ref"))))
         .otherwise(urls.resolved(F.col("src_url"), F.col("ref")))
     )
-    if mapped:  # only sources that have a map take part in the join
+    if mapped:  # only sources that have a map take part in the join; texts are searched once
+        refs = cut(refs)
         own = refs.where("has_map and kind in ('module', 'css', 'attribute')")
         entries = src.where("size(imports) > 0").select("src_url", F.explode("imports").alias("entry", "target"))
         refs = refs.where("not (has_map and kind in ('module', 'css', 'attribute'))").withColumn("full", full).unionByName(own.join(by_import_map(own, entries), ["src_url", "ref"], "left").withColumn("full", F.coalesce("mapped", full)).drop("mapped"))

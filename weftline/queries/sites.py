@@ -40,9 +40,9 @@ def _words(pages: DataFrame, k: int):
 
 @query(
     "asset_closure",
-    f"""with recursive {WORDS_SQL}, e as (select 'https://site.example/css/' || w[1] || '.css?v=1' as src, 'https://site.example/css/' || w[2] || '.css?v=1' as dst from w
-  union select 'https://site.example/css/' || w[1] || '.css?v=1', 'https://site.example/img/' || w[3] || '-chunk-1.json' from w union select 'https://site.example/css/' || w[1] || '.css?v=1', 'https://site.example/img/' || w[3] || '-indexes-1.json' from w),
- s as (select 'https://site.example/css/' || w[6] || '.css?v=1' as url from w union select 'https://site.example/p/$' || '{{t}}.js' from w union select 'https://far.example/' || w[2] || '.png' from w
+    f"""with recursive {WORDS_SQL}, c as (select page_id, w, 'https://site.example/css/' || page_id || '.css?v=1' as src, 'https://site.example/css/' || (page_id * 7 + 3) % (select count(*) from pages) || '.css?v=1' as dst from w),
+ e as (select src, dst from c union select src, 'https://site.example/img/' || w[3] || page_id || '-chunk-1.json' from c union select src, 'https://site.example/img/' || w[3] || page_id || '-indexes-1.json' from c),
+ s as (select 'https://site.example/css/' || page_id // 40 * 40 || '.css?v=1' as url from w union select 'https://site.example/p/$' || '{{t}}.js' from w union select 'https://far.example/' || w[2] || '.png' from w
   union select 'https://site.example/' || w[4] || '.webp' from w union select 'https://site.example/p/x/' || w[5] || '.webp?w=2' from w
   union select case when page_id % 4 = 0 then 'https://cdn.example/x/' else 'https://site.example/p/lib/x/' end || w[1] || '.js' from w
   union select case when page_id % 4 = 0 then 'https://cdn.example/l/' else 'https://site.example/p/lib/' end || w[2] || '.mjs' from w union select case when page_id % 4 = 0 then '../own.js' else null end from w),
@@ -50,19 +50,22 @@ def _words(pages: DataFrame, k: int):
  select url, min(round) as round from r group by url""",
 )
 def asset_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets that pages and style sheets name, made of the pages' own anchors: absolute, from the root, with dots, through import maps, in lists of candidates, and as halves of collections. Round 6 is what six rounds leave."""
-    base = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(SITE + "/p/"), "page_id").alias("url"), *[_words(None, k) for k in range(6)])
+    """Assets that pages and style sheets name, made of the pages' own anchors and numbers: absolute, from the root, with dots, through import maps, in lists of candidates, and as halves of collections. Round 6 is what six rounds leave."""
+    pages = table(spark, sf_dir, "pages")
+    n = pages.count()
+    words = pages.select("page_id", F.concat(F.lit(SITE + "/p/"), "page_id").alias("url"), *[_words(None, k) for k in range(6)])
+    base = cut(words.withColumns({"sheet": (F.floor(F.col("page_id") / 40) * 40).cast("string"), "next": ((F.col("page_id") * 7 + 3) % n).cast("string")}))
     c = lambda *parts: F.concat(*[F.col(p) if p in base.columns else F.lit(p) for p in parts])
     maps = F.when(F.col("page_id") % 4 == 0, F.lit('<script type="importmap">{"imports": {"lib/": "https://cdn.example/l/", "lib/x/": "https://cdn.example/x/", "own": "../own.js"}}</script><script>import o from "own"</script>')).otherwise("")
     html = F.concat(
         maps,
-        c('<link rel="s" href="../css/./', "w5", '.css?v=1">', "<script>import a from 'lib/x/", "w0", ".js'; import(`lib/", "w1", ".mjs`); import(`./${i.value}.js`); import(`./${t}.js`)</script>"),
+        c('<link rel="s" href="../css/./', "sheet", '.css?v=1">', "<script>import a from 'lib/x/", "w0", ".js'; import(`lib/", "w1", ".mjs`); import(`./${i.value}.js`); import(`./${t}.js`)</script>"),
         c('<a href="mailto:x@y.css">', "https://far.example/", "w1", ".png)", '<img srcset="/', "w3", ".webp 1x, x/./", "w4", '.webp?w=2 2x" src="data:a.png">', "<p style='background: url(  #x.svg )'>"),
     )
-    sheet = c('@import url("../css/', "w1", '.css?v=1"); a{background:url(/a/../img/', "w2", "-chunk-1.json)}")
-    files = base.groupBy(c(SITE + "/css/", "w0", ".css?v=1").alias("url")).agg(F.array_join(F.array_sort(F.collect_set(sheet)), "\n").alias("text"))
+    body = c('@import url("../css/', "next", '.css?v=1"); a{background:url(/a/../img/', "w2", "page_id", "-chunk-1.json)}")
+    files = base.select(c(SITE + "/css/", "page_id", ".css?v=1").alias("url"), body.alias("text"))
     fetched = files.select("url", F.lit(200).alias("status"), F.lit("text/css").alias("content_type"), F.lit(None).cast("string").alias("error"), F.encode("text", "UTF-8").alias("body"))
-    found, left = assets.fixpoint(base.select("url", html.alias("html")), fetched)
+    found, left = assets.fixpoint(base.select("url", html.alias("html")), cut(fetched))
     return found.unionByName(left.withColumn("round", F.lit(assets.ROUNDS)))
 
 
