@@ -17,6 +17,8 @@ H1 = r"(?i)<h1[\s>]"
 IMAGE = r"(?i)<img\b[^>]*>"
 LINKED_DATA = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
 STYLE = r"(?is)<style[^>]*>(.*?)</style>"
+IMPORT_MAP = r"""(?is)<script[^>]+type=["']importmap["'][^>]*>(.*?)</script>"""
+APPEAR = r"""(?is)<script[^>]+type=["']framer/appear["'][^>]*>(.*?)</script>"""
 FIGURE = r"\b\d[\d,.:]*\b"
 
 
@@ -39,14 +41,14 @@ def linked_data(html: Column) -> Column:
 
 def import_map(html: Column) -> Column:
     """Entries of the first import map; an empty map without a readable one."""
-    raw = F.regexp_extract(html, r"""(?is)<script[^>]+type=["']importmap["'][^>]*>(.*?)</script>""", 1)
+    raw = F.regexp_extract(html, IMPORT_MAP, 1)
     parsed = F.from_json(raw, "struct<imports: map<string, string>>")
     return F.coalesce(parsed["imports"], F.from_json(F.lit("{}"), "map<string,string>"))
 
 
 def entrance_payloads(html: Column) -> Column:
     """Readable JSON of embedded entrance animations."""
-    raw = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']framer/appear["'][^>]*>(.*?)</script>"""), F.lit(1))
+    raw = F.regexp_extract_all(html, F.lit(APPEAR), F.lit(1))
     return F.filter(F.transform(raw, lambda s: F.to_json(F.try_parse_json(s))), lambda s: s.isNotNull())
 
 
@@ -65,7 +67,7 @@ def srcset_rewrite(srcset: Column, places: Column) -> Column:
     return F.when(F.exists(parts, lambda p: F.map_contains_key(places, F.element_at(p, 1))), F.array_join(new, ", ")).otherwise(srcset)
 
 
-#: (class of change, pattern, replacement) of each pass that takes live parts out of a page.
+#: Fixed values: (class of change, pattern, replacement) of each pass that takes live parts out of a page.
 NEUTRALISERS = [
     ("sri-strip", r"""\s(?:integrity|crossorigin)=(?:"[^"]*"|'[^']*')""", ""),
     ("sri-strip", r"""\s(?:crossorigin)(?=[\s>])""", ""),

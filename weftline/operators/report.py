@@ -32,9 +32,8 @@ def is_score(x: Column) -> Column:
 
 def missing_required(measurements: DataFrame) -> DataFrame:
     """(scope, path): required measurements that a scope lacks; with any, its report is refused."""
-    spark = measurements.sparkSession
-    wanted = spark.createDataFrame([(p,) for p in REQUIRED], "path string")
-    return measurements.select("scope").distinct().join(F.broadcast(wanted)).join(measurements.select("scope", "path"), ["scope", "path"], "left_anti")
+    wanted = measurements.select("scope").distinct().withColumn("path", F.explode(F.array(*map(F.lit, REQUIRED))))
+    return wanted.join(measurements.select("scope", "path"), ["scope", "path"], "left_anti")
 
 
 def skeleton(spark: SparkSession, scope: str) -> DataFrame:
