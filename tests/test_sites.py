@@ -132,7 +132,8 @@ def plain_crawl(edges, start, sitemap, allowed, max_pages, max_depth, sitemap_fi
         pages.append((key, depth, len(pages) + 1))
         if depth < max_depth:
             for _, d in sorted(links.get(key, [])):
-                put(d, depth + 1)
+                if depth or d not in {k for _, k in sitemap}:  # which has a place of its own
+                    put(d, depth + 1)
         if depth == 0 and not sitemap_first and max_depth:
             for _, key in sorted(sitemap):
                 put(key, 1)

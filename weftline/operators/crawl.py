@@ -53,7 +53,7 @@ def crawl(edges: DataFrame, start: str, sitemap: DataFrame, allowed: DataFrame,
 
     edges (src, ord, dst) are keys of links, sitemap (ord, key) what is queued
     at depth 1, before the start's own links or (sitemap_first=False) behind
-    them, allowed (key, reason) the policy's answer ("follow" or why not).
+    them, even if the start names it too, allowed (key, reason) the policy's answer ("follow" or why not).
     Returns (key, depth, seq) of at most max_pages and (key, reason) of the
     others; a page that only pages beyond the cap name was never queued and
     isn't among them.
@@ -68,8 +68,8 @@ def crawl(edges: DataFrame, start: str, sitemap: DataFrame, allowed: DataFrame,
     queued = 1
     for depth in range(1, max_depth + 1):
         found = edges.join(levels[-1].where(F.col("seq") <= max_pages).select(F.col("key").alias("src"), F.col("seq").alias("finder")), "src").select(F.col("dst").alias("key"), "finder", F.col("ord").cast("long").alias("ord"))
-        if depth == 1:
-            found = found.unionByName(sitemap.select("key", F.lit(0 if sitemap_first else 2).cast("long").alias("finder"), F.col("ord").cast("long").alias("ord")))
+        if depth == 1:  # what the sitemap lists has its place there, wherever that is
+            found = found.join(sitemap.select("key"), "key", "left_anti").unionByName(sitemap.select("key", F.lit(0 if sitemap_first else 2).cast("long").alias("finder"), F.col("ord").cast("long").alias("ord")))
         known = reduce(DataFrame.unionByName, levels)
         fresh = found.groupBy("key").agg(F.min(F.struct("finder", "ord")).alias("q")).join(follow, "key", "left_semi").join(known.select("key"), "key", "left_anti")
         new = numbered(fresh.select("key", "q.finder", "q.ord"), ["finder", "ord", "key"], "n")
