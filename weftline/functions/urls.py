@@ -196,13 +196,13 @@ def url_quote(url: pd.Series) -> pd.Series:
 
 
 def import_target(base: Column, ref: Column, imports: Column) -> Column:
-    """A module reference through an import map: its own entry, else the longest entry that ends in a slash and begins it, both as the map has them; else resolved against base."""
+    """A module reference through an import map: its own entry, else the longest entry that ends in a slash and begins it; resolved against base."""
     keys = F.filter(F.map_keys(imports), lambda k: k.endswith("/") & ref.startswith(k))
     best = F.element_at(F.sort_array(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))), asc=False), 1)["k"]
     mapped = F.when(F.map_contains_key(imports, ref), F.element_at(imports, ref)).when(
         F.size(keys) > 0, F.concat(F.element_at(imports, best), F.substring(ref, F.length(best) + 1, F.length(ref)))
     )
-    return F.coalesce(mapped, resolved(base, ref))
+    return resolved(base, F.coalesce(mapped, ref))
 
 
 def chunk_sibling(url: Column) -> Column:
