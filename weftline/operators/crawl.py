@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,11 @@ from weftline.session import cut
 HTML_TYPE, AUTH_STATUS = "text/html", (401, 403)
 
 
-def links(pages: DataFrame, url_col: str = "url", html_col: str = "html", site: str | None = None) -> DataFrame:
-    """(src_url, ord, href, target_url, key): anchors in order. Resolved against the page, or against a site's root."""
+def links(pages: DataFrame, url_col: str = "url", html_col: str = "html", site: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(src_url, ord, href, target_url, key): anchors in order, behind the columns of their page to keep. Resolved against the page, or against a site's root."""
     base = F.lit(site) if site else F.col("src_url")
     return (
-        pages.select(F.col(url_col).alias("src_url"), F.posexplode(markup.hrefs(F.col(html_col))).alias("ord", "href"))
+        pages.select(*keep, F.col(url_col).alias("src_url"), F.posexplode(markup.hrefs(F.col(html_col))).alias("ord", "href"))
         .withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&")))
         .withColumn("target_url", F.substring_index(urls.rooted_join(base, F.col("href")), "#", 1))
         .withColumn("key", urls.key(F.col("target_url")))
