@@ -1,6 +1,9 @@
 """Queries on tables in which keys repeat, names share beginnings or documents are many, against plain versions."""
 
+import random
+
 from tests.test_whole_joins import tables
+from weftline.operators import matching
 from weftline.queries import QUERIES
 
 
@@ -10,3 +13,19 @@ def test_coverage_diff_tells_pages_of_one_url_apart(spark, tmp_path):
     sf = tables(spark, tmp_path, pages=(rows, "page_id bigint, url string, html string"))
     want = {("https://site.example/one", "sitemap_only"), ("https://site.example/three", "crawl_only")}
     assert {tuple(r) for r in QUERIES["coverage_diff"](spark, sf).select("url", "side").collect()} == want
+
+
+def test_names_of_all_lengths_resolve_without_a_broadcast_of_them(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ab. B") for _ in range(r.randint(0, 7)))
+    names, asked = [(word(), r.choice("xyz")) for _ in range(60)] + [(None, "x"), ("abc", None)], [(word(),) for _ in range(300)] + [(None,)]
+    flat = lambda t: t.replace(" ", "").replace(".", "").lower()
+    want = {}
+    for (q,) in asked:
+        pairs = [(n, o) for n, o in names if q is not None and n is not None and o is not None]
+        found = {o for n, o in pairs if n.strip(" ").lower() == q.strip(" ").lower()}
+        found = found or {o for n, o in pairs if len(flat(n)) >= 3 and len(flat(q)) >= 3 and (flat(n).startswith(flat(q)) or flat(q).startswith(flat(n)))}
+        want[q] = sorted(found)
+    df = matching.resolve(spark.createDataFrame(asked, "q string"), spark.createDataFrame(names, "n string, o string"), "q", "n", "o")
+    assert {x.q: x.owners for x in df.collect()} == want
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()

@@ -92,18 +92,28 @@ def resolve(asked: DataFrame, names: DataFrame, query: str, name: str, owner: st
     """(query, outcome, owner, owners): a name resolved exactly, else by a prefix either way of 3 characters or more that leads to one owner.
 
     hit, ambiguous or miss. Prefixes of names, and names that are prefixes of
-    the query, are two equi-joins on cut-off strings.
+    the query, are two equi-joins on cut-off strings, of the lengths that the
+    other side has; what names begin with is kept once for each owner. Only
+    these lengths are broadcast: Spark takes a cut-up table to be as small as
+    the file it comes from, and would put it through the driver.
     """
     q = asked.select(query).distinct().withColumns({"__low": F.lower(F.trim(F.col(query))), "__flat": flat_name(F.col(query))})
     n = names.select(F.lower(F.trim(F.col(name))).alias("__name"), flat_name(F.col(name)).alias("__nflat"), F.col(owner).alias("__owner")).distinct()
-    exact = q.join(n, F.col("__low") == F.col("__name")).select(query, "__owner", F.lit(0).alias("__arm"))
-    cut_names = n.where(F.length("__nflat") >= 3).select("__owner", F.explode(F.transform(F.sequence(F.lit(3), F.length("__nflat")), lambda i: F.substring(F.col("__nflat"), F.lit(1), i))).alias("__p"))
-    cut_query = q.where(F.length("__flat") >= 3).select(query, F.explode(F.transform(F.sequence(F.lit(3), F.length("__flat")), lambda i: F.substring(F.col("__flat"), F.lit(1), i))).alias("__p"))
-    begins = q.where(F.length("__flat") >= 3).join(cut_names, F.col("__flat") == F.col("__p")).select(query, "__owner", F.lit(1).alias("__arm"))
-    begun = cut_query.join(n.where(F.length("__nflat") >= 3), F.col("__p") == F.col("__nflat")).select(query, "__owner", F.lit(1).alias("__arm"))
+    asked_flat, named_flat = q.where(F.length("__flat") >= 3), n.where(F.length("__nflat") >= 3).select("__nflat", "__owner").distinct()
+
+    def cuts(df: DataFrame, flat: str, others: DataFrame, other: str) -> DataFrame:
+        """df with __p, what each string begins with, in the lengths of the other side's strings."""
+        sizes = others.select(F.length(other).alias("__size")).distinct()
+        return df.join(F.broadcast(sizes), F.col("__size") <= F.length(flat)).withColumn("__p", F.substring(F.col(flat), F.lit(1), F.col("__size")))
+
+    cut_names = cuts(named_flat, "__nflat", asked_flat, "__flat").select("__owner", "__p").distinct()
+    cut_query = cuts(asked_flat, "__flat", named_flat, "__nflat").select(query, "__p")
+    exact = q.join(n.hint("merge"), F.col("__low") == F.col("__name")).select(query, "__owner", F.lit(0).alias("__arm"))
+    begins = asked_flat.join(cut_names.hint("merge"), F.col("__flat") == F.col("__p")).select(query, "__owner", F.lit(1).alias("__arm"))
+    begun = cut_query.join(named_flat.hint("merge"), F.col("__p") == F.col("__nflat")).select(query, "__owner", F.lit(1).alias("__arm"))
     best = exact.unionByName(begins).unionByName(begun).groupBy(query, "__arm").agg(F.array_sort(F.collect_set("__owner")).alias("owners"))
     best = best.groupBy(query).agg(F.min_by("owners", "__arm").alias("owners"))
-    return q.select(query).join(best, query, "left").select(
+    return q.select(query).join(best.hint("merge"), query, "left").select(
         query,
         F.when(F.col("owners").isNull(), "miss").when(F.size("owners") == 1, "hit").otherwise("ambiguous").alias("outcome"),
         F.when(F.size("owners") == 1, F.element_at("owners", 1)).alias(owner),
