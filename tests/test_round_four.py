@@ -3,7 +3,7 @@
 import random
 
 from tests.test_whole_joins import tables
-from weftline.operators import matching
+from weftline.operators import matching, provenance
 from weftline.queries import QUERIES
 
 
@@ -29,3 +29,19 @@ def test_names_of_all_lengths_resolve_without_a_broadcast_of_them(spark):
     df = matching.resolve(spark.createDataFrame(asked, "q string"), spark.createDataFrame(names, "n string, o string"), "q", "n", "o")
     assert {x.q: x.owners for x in df.collect()} == want
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
+
+
+def test_documents_are_opened_without_tables_in_between(spark, monkeypatch):
+    monkeypatch.setattr(provenance, "cut", lambda df: (_ for _ in ()).throw(AssertionError("written")))
+    docs = [("a", '{"delay": [[1, 2], "[{\\"", {"x": []}], "n": null}'), ("b", "7"), ("c", "{[[["), ("d", None), ("e", '"\\\\"')]
+    got = {tuple(r) for r in provenance.measured_values(spark.createDataFrame(docs, "capture_id string, doc string")).collect()}
+    assert got == {
+        ("a", "blob", None, "delay"), ("a", "count", None, "3.0"), ("a", "count", None, "2.0"), ("a", "num", "time", "1.0"), ("a", "num", None, "2.0"), ("a", "blob", None, '[{"'), ("a", "blob", None, "x"),
+        ("a", "count", None, "0.0"), ("a", "blob", None, "n"), ("b", "num", None, "7.0"), ("e", "blob", None, "\\"),
+    }
+
+
+def test_deep_documents_are_opened_to_the_end(spark):
+    deep = "[" * 19 + '{"end": 5}' + "]" * 19
+    got = {tuple(r)[1:] for r in provenance.measured_values(spark.createDataFrame([("a", deep)], "capture_id string, doc string")).collect()}
+    assert got == {("count", None, "1.0"), ("blob", None, "end"), ("num", None, "5.0")}

@@ -15,14 +15,15 @@ HEX_SQL = "lower(lpad(to_hex(o_orderkey % 16777216), 6, '0'))"
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(capture_id, doc): each order with its lines as a measured document: a time, a list of pairs of lengths and numbers, a key that states a time, a note with units, colours and a curve."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("[%d, %d]", F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")))), ", ").alias("lines"))
-    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("k"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("capture_id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("[%d, %d]", F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")))), ", ").alias("lines"))
+    # joined by the id itself, so that what documents hold is already where their ids are
+    o = table(spark, sf_dir, "orders").withColumn("capture_id", F.col("o_orderkey").cast("string")).join(lines, "capture_id")
     doc = F.format_string(
         '{"duration": %s, "container": {"lines": [%s]}, "rest 12s": true, "none": null, "note": "in %ds %dpx #%s rgb(%d, 7, 9) 3x4 cubic-bezier(0.1, .2,0.30, 1)"}',
         F.format_string("%.2f", F.col("o_totalprice") + 10000), F.col("lines"), (F.col("o_custkey") % 59 + 1).cast("int"), F.col("o_custkey").cast("int"),
         F.lower(F.lpad(F.hex(F.col("o_orderkey") % 16777216), 6, "0")), (F.col("o_orderkey") % 300).cast("int"),
     )
-    return o.select(F.col("o_orderkey").cast("string").alias("capture_id"), doc.alias("doc"))
+    return o.select("capture_id", doc.alias("doc"))
 
 
 @query(
