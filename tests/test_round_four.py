@@ -1,8 +1,14 @@
 """Queries on tables in which keys repeat, names share beginnings or documents are many, against plain versions."""
 
 import random
+import tracemalloc
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
 from tests.test_whole_joins import tables
+from weftline.llm import batches, pieces
 from weftline.operators import matching, provenance
 from weftline.queries import QUERIES
 
@@ -53,3 +59,22 @@ def test_untraced_values_broadcast_nothing(spark):
     df = provenance.untraced(said, seen)
     assert {r.raw for r in df.collect()} == {"13px", "#00ff11", "June 2026"}
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
+
+
+def test_steps_of_pieces_take_little_memory():
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(200)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    want = [model.encode([t])[0].tolist() for t in texts[:20]]
+    model.forget()
+    tracemalloc.start()
+    got = []
+    for part in batches.steps(batch, limit=pieces.STEP_BYTES):
+        ids, _, _, count, _ = model.encode(part.column("text").to_pylist())
+        got += [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and got[:20] == want
+    assert peak < 90_000_000

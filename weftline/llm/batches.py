@@ -116,13 +116,13 @@ def arrow_rows(df: DataFrame, column: str, add: Callable, schema: str, key) -> D
     return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
 
 
-def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded text. make() runs once in a task and returns the step; it names the model that the worker keeps with only()."""
+def map_steps(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", limit: int = STEP_BYTES) -> DataFrame:
+    """mapInArrow over slices of about `limit` bytes of text. make() runs once in a task and returns the step; it names the model that the worker keeps with only()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in steps(batch, column):
+            for part in steps(batch, column, limit):
                 yield step(part)
 
     return df.mapInArrow(run, schema)

@@ -17,7 +17,9 @@ from weftline.llm.ragged import PairTable, merge
 SPACE = "▁"
 UNKNOWN = " ⁇ "
 #: Units that a task remembers from step to step, slots that its table has at first, and new units that are merged together.
-REMEMBER, SLOTS, TOGETHER = 400_000, 1 << 20, 1 << 18
+REMEMBER, SLOTS, TOGETHER = 200_000, 1 << 18, 1 << 18
+#: Text bytes of a step, whose arrays take many times as much.
+STEP_BYTES = 1 << 18
 U = np.uint64
 RANDOM = np.random.default_rng(2).integers(1, 1 << 63, 256, np.int64).astype(U)
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -386,4 +388,4 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return step
 
     more = "begins array<int>, ends array<int>, " if spans else ""
-    return batches.map_steps(src, make, f"doc_id {kind}, ids array<int>, {more}decoded string").withColumnRenamed("doc_id", id_col)
+    return batches.map_steps(src, make, f"doc_id {kind}, ids array<int>, {more}decoded string", limit=STEP_BYTES).withColumnRenamed("doc_id", id_col)
