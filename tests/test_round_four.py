@@ -1,5 +1,6 @@
 """Queries on tables in which keys repeat, names share beginnings or documents are many, against plain versions."""
 
+import json
 import random
 import tracemalloc
 
@@ -53,6 +54,50 @@ def test_deep_documents_are_opened_to_the_end(spark):
     assert got == {("count", None, "1.0"), ("blob", None, "end"), ("num", None, "5.0")}
 
 
+def test_documents_are_opened_without_a_job_before(spark):
+    """Documents of many depths, two of them of one id, are read as a plain walk reads them, and no job looks at all of them first."""
+    docs = [
+        ("a", {"duration": 5, "container": {"lines": [[1, 2], [3, 4], []], "x": {}}, "none": None, "yes": True}), ("a", {"duration": 6, "lines": [[1, 2]]}), ("b", []), ("c", {"px": [7, 8, 9], "gap": [[["word", 2]]]}),
+        ("d", {"width": [[[[[[1, 2], [[3, 4]]]]]], 5]}), ("e", [[[[1]]]]), ("f", [[[[[1]]]]]), ("g", {"a": {"b": {"c": {"delay": {}}}}}), ("h", {"a": {"b": {"c": {"delay": {"e": [1.5, []]}}}}}),
+    ]
+    want = set()
+
+    def walk(k, x, role):
+        if isinstance(x, dict):
+            for key, v in x.items():
+                own = "time" if key in ("duration", "delay") else "len" if key in ("container", "px", "width") else role
+                want.add((k, "blob", None, key))
+                walk(k, v, own)
+        elif isinstance(x, list):
+            want.add((k, "count", None, f"{len(x)}.0"))
+            for i, v in enumerate(x):
+                walk(k, v, None if role and len(x) == 2 and i and isinstance(x[1], (int, float)) else role)
+        elif isinstance(x, str):
+            want.add((k, "blob", None, x))
+        elif x is not None and x is not True:
+            want.add((k, "num", role, f"{float(x)}"))
+
+    for k, doc in docs:
+        walk(k, doc, None)
+    frame = spark.createDataFrame([(k, json.dumps(d)) for k, d in docs], "capture_id string, doc string")
+    spark.sparkContext.setJobGroup("opened", "while the frame is made")
+    try:
+        got = provenance.measured_values(frame)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("opened")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_texts_without_digits_state_themselves(spark):
+    texts = {"t": "plain words cubic-bezier(a, b)", "u": "#abc", "v": "5px 6 remx .5s -7. 8.s 9 ms", "w": "rgb(1, 2, 3) ٣px"}
+    rows = provenance.measured_values(spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()], "capture_id string, doc string")).where("class <> 'blob' or capture_id = 't'").collect()
+    assert {tuple(r) for r in rows} == {
+        ("t", "blob", None, texts["t"]), ("u", "hex", None, "#aabbcc"), ("v", "num", "len", "5.0"), ("v", "num", None, "6.0"), ("v", "num", "time", "0.5"), ("v", "num", None, "-7.0"), ("v", "num", "time", "8.0"), ("v", "num", "time", "9.0"),
+        ("w", "hex", None, "#010203"), ("w", "num", None, "1.0"), ("w", "num", None, "2.0"), ("w", "num", None, "3.0"),
+    }
+
+
 def test_untraced_values_broadcast_nothing(spark):
     seen = provenance.measured_values(spark.createDataFrame([("a", '{"width": [12, "#00ff00"], "note": "2026-05"}')], "capture_id string, doc string"))
     said = provenance.asserted_values(spark.createDataFrame([("a", "12px 13px #0f0 #0f1 May 2026 June 2026")], "capture_id string, text string"))

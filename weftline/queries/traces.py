@@ -42,11 +42,12 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def measured_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the documents of all orders hold, by class and role."""
-    rows = provenance.measured_values(captures(spark, sf_dir))
-    number = F.col("class").isin("num", "count")
-    by = rows.groupBy("capture_id", "class", F.coalesce("role", F.lit("")).alias("role"))
-    total = F.sum(F.when(number, F.col("value").cast("decimal(18,4)"))).cast("decimal(38,4)").cast("string")
-    return by.agg(F.count("*").alias("n"), total.alias("total"), F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(~number, F.col("value")))), " "), F.lit("")).alias("shown"))
+    rows = provenance.measured_values(captures(spark, sf_dir)).withColumn("role", F.coalesce("role", F.lit("")))
+    number, value = F.col("class").isin("num", "count"), F.col("value")
+    # numbers are summed by hash before texts are collected, so only a few rows of a group are sorted
+    sums = rows.groupBy("capture_id", "class", "role", F.when(~number, value).alias("text")).agg(F.count("*").alias("n"), F.sum(F.when(number, value.cast("decimal(18,4)"))).alias("total"))
+    total = F.sum("total").cast("decimal(38,4)").cast("string")
+    return sums.groupBy("capture_id", "class", "role").agg(F.sum("n").alias("n"), total.alias("total"), F.nullif(F.array_join(F.array_sort(F.collect_list("text")), " "), F.lit("")).alias("shown"))
 
 
 @query(
